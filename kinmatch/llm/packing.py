@@ -102,7 +102,7 @@ def plan_bins(counts: dict[int, int], capacity: tuple[int, int, int], weights: t
         each = min(c // a for c, a in zip(capacity, asked, strict=True))
         if not each:
             raise ValueError(f"a piece of {length} tokens fits no bin")
-        left, rank, smallest = counts[length], 0, length
+        left, rank = counts[length], 0
         while left:
             states = [s for s in free if all(x >= a for x, a in zip(s, asked, strict=True))]
             if not states:
@@ -129,7 +129,6 @@ def plan_bins(counts: dict[int, int], capacity: tuple[int, int, int], weights: t
                     free[state] = kept
                 if not left:
                     break
-        del smallest
     return records, bins
 
 

@@ -30,6 +30,18 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinmatch.llm.suffix import remove_earlier
+
+    return remove_earlier(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinmatch.llm.substring import remove_repeated
+
+    return remove_repeated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinmatch.llm.simhash import near_duplicates
 
