@@ -24,6 +24,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinmatch.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinmatch.llm.sharding import shard_documents
 
