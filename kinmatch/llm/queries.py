@@ -30,6 +30,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinmatch.llm.gif import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinmatch.llm.sharding import shard_documents
 
