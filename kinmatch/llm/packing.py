@@ -17,7 +17,10 @@ its length and its rank among the pieces of that length, in an equi-join.
 from __future__ import annotations
 
 import math
+import os
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,10 @@ from pyspark.sql import functions as F
 from kinmatch.llm.common import byte_lists, checkpoint, chunks
 
 END_ID = 1
-CACHED_WORDS = 150_000
+#: Words kept from one chunk of texts to the next, about.
+CACHED_WORDS = 500_000
+#: What is split from letters and digits before it.
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def piece_lengths(n: int, most: int) -> list[int]:
@@ -35,49 +41,65 @@ def piece_lengths(n: int, most: int) -> list[int]:
 
 
 class WordIds:
-    """A text's token ids as little-endian 32-bit bytes.
+    """Texts' token ids as little-endian 32-bit bytes.
 
-    The tokenizer never joins what white space parts, so words are encoded
-    once and kept; a text that may hold a special token is encoded whole.
+    The tokenizer lowers case, never joins what white space parts, and splits
+    letters or digits from marks that follow. So words are encoded once, less
+    the marks at their end, and kept; a text that may hold a special token is
+    encoded whole. Broadcast, it keeps its words from task to task of a worker.
     """
 
     def __init__(self, model: str, cached: int = CACHED_WORDS):
-        from tokenizers import Tokenizer
+        self.model, self.cached, self.known, self.tokenizer = model, cached, {}, None
 
-        self.tokenizer, self.cached, self.known = Tokenizer.from_str(model), cached, {}
+    def __getstate__(self) -> dict:
+        return vars(self) | {"known": {}, "tokenizer": None}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: bytes) -> bytes:
-        if b"<|" in text:
-            return self._encode([text.decode()])[0]
-        words, known = text.split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > self.cached:
-            known.clear()
-            new = list(set(words))
-        known.update(zip(new, self._encode([w.decode() for w in new]), strict=True))
-        return b"".join([known[w] for w in words])
+        if self.tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_str(self.model)
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known = self.known
+        if len(known) > self.cached:
+            self.known = known = {w: known[w] for w in words if w in known}
+        stems, new = {}, set()
+        for w in words.difference(known):
+            stem = w.rstrip(MARKS)
+            if stem and stem != w and stem.decode()[-1].isalnum():
+                stems[w] = stem, w[len(stem) :]
+                new.update(stems[w])
+            else:
+                new.add(w)
+        listed = list(new.difference(known))
+        known.update(zip(listed, self._encode([w.decode() for w in listed]), strict=True))
+        for w, (stem, tail) in stems.items():
+            known[w] = known[stem] + known[tail]
+
+    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
+        words = [None if b"<|" in t else t.lower().split() for t in texts]
+        self._learn(set().union(*[w for w in words if w]))
+        known = self.known
+        for text, own in zip(texts, words, strict=True):
+            yield self._encode([text.decode()])[0] if own is None else b"".join([known[w] for w in own])
 
 
 def cut_pieces(docs: DataFrame, model: str, max_tokens: int = 4096, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents, end id included, in pieces of max_tokens at most."""
-    model = docs.sparkSession.sparkContext.broadcast(model)
+    ids_of = docs.sparkSession.sparkContext.broadcast(WordIds(model))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     types = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        ids_of = WordIds(model.value)
-        for batch in chunks(batches, 8 << 20):
+        for batch in chunks(batches, 4 << 20):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), byte_lists(batch.column("text")), strict=True):
-                ids, start = ids_of(text) + end, 0
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of.value(byte_lists(batch.column("text"))), strict=True):
+                ids, start = ids + end, 0
                 for k, n in enumerate(piece_lengths(len(ids) // 4, max_tokens)):
                     rows.append((doc, k, start, n, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + n)])))
                     start += n
