@@ -42,12 +42,24 @@ def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinmatch.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinmatch.llm.sharding import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinmatch.llm.urlfilter import filter_pages
+
+    return filter_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinmatch.llm.suffix import remove_earlier
 
@@ -71,6 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from kinmatch.llm import sharding
+    from kinmatch.llm import sharding, urlfilter
 
-    return {"op6_sharding": sharding.oracle_sql()}
+    return {"op6_sharding": sharding.oracle_sql(), "op7_url_filter": urlfilter.oracle_sql()}
