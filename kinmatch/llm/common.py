@@ -36,13 +36,18 @@ def id_text() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id as k1 (NO_ID if null), the text's hash as k2, and the text (null: empty).
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id as k1 (NO_ID if null), the text's hash as k2, the text (null: empty), and what else is asked for.
 
     Rows that agree in doc_id and text share a key and get equal results.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"), *more)
+
+
+def others(docs: DataFrame) -> Column:
+    """All columns but the text, as one; column names may then be used that docs has too."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
 
 
 def real_id(k1: str = "k1") -> Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import byte_lists, checkpoint, chunks, partitions
+from kinmatch.llm.common import byte_lists, checkpoint, chunks, keyed, others, partitions, real_id
 
 SEED = 42
 BITS = 64
@@ -58,15 +58,15 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
-    types = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """k1, k2 and fp, the fingerprint as a signed long, of every row of keyed documents."""
+    types = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in chunks(batches, 8 << 20):
             fps = [signed(fingerprint(shingle_hashes(t, width))) for t in byte_lists(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], schema=types)
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(fps, pa.int64())], schema=types)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, fp long")
 
 
 class BKTree:
@@ -188,6 +188,16 @@ def star_components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
+def components(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """k1, k2, fp and component, the least k1 that links reach, of every row of keyed documents."""
+    rows = checkpoint(fingerprints(docs, width))
+    fps = rows.groupBy("fp").agg(F.min("k1").alias("least"))
+    roots = star_components(fingerprint_links(fps.select("fp"), radius))
+    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return rows.join(rooted.join(named, "root").select("fp", "root", "component"), "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
@@ -196,10 +206,17 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     linked like any other; equal rows get equal results; other columns are
     ignored and no documents give no rows.
     """
-    rows = checkpoint(fingerprints(docs, width))
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = star_components(fingerprint_links(fps.select("fp"), radius))
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = components(keyed(docs), radius, width)
+    return found.select(real_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real_id("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """docs with one row of each component: the least doc_id, null last, and of those the least hash of the text.
+
+    Of rows that agree in both one stays, whichever. Columns stay as they are;
+    a null text becomes empty.
+    """
+    rows = keyed(docs, others(docs))
+    first = components(rows, radius, width).groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("f")).select("f.k1", "f.k2")
+    kept = rows.join(first.distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

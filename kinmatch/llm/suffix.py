@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm import blobs
-from kinmatch.llm.common import bucket_keys, byte_lists, chunks, keyed, partitions, real_id
+from kinmatch.llm.common import bucket_keys, byte_lists, chunks, keyed, others, partitions, real_id
 from kinmatch.llm.induced import LIMIT, suffix_array
 from kinmatch.llm.rolling import BYTE_SYMBOLS, Slices, merged, mix, sliding_min, spans
 
@@ -287,6 +287,18 @@ def earlier_intervals(docs: DataFrame, width: int = WIDTH, most_contexts: int =
     return decided.union(sorted_intervals(fetched, width, limit))
 
 
+def kept_parts(text: bytes, starts: list[int] | None, stops: list[int] | None) -> tuple[bytes, int]:
+    """The text without the intervals, and how many runs that removes."""
+    if not starts:
+        return text, 0
+    _, a, b = merged(np.zeros(len(starts), np.int64), np.array(starts), np.array(stops))
+    return b"".join([text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True)]), len(a)
+
+
+def _texts(batch: pa.RecordBatch):
+    return zip(byte_lists(batch.column("text")), batch.column("starts").to_pylist(), batch.column("stops").to_pylist(), strict=True)
+
+
 def remove_earlier(docs: DataFrame, width: int = WIDTH, most_contexts: int = MOST_CONTEXTS, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every row.
 
@@ -301,15 +313,30 @@ def remove_earlier(docs: DataFrame, width: int = WIDTH, most_contexts: int = MOS
     def cut(batches):
         for batch in chunks(batches, 8 << 20):
             out = []
-            for k1, text, starts, stops in zip(batch.column("k1").to_pylist(), byte_lists(batch.column("text")), batch.column("starts").to_pylist(), batch.column("stops").to_pylist(), strict=True):
-                kept, removed = text, 0
-                if starts:
-                    _, a, b = merged(np.zeros(len(starts), np.int64), np.array(starts), np.array(stops))
-                    removed = len(a)
-                    kept = b"".join([text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True)])
+            for k1, (text, starts, stops) in zip(batch.column("k1").to_pylist(), _texts(batch), strict=True):
+                kept, removed = kept_parts(text, starts, stops)
                 out.append((k1, len(text), len(text) - len(kept), removed, hashlib.sha256(kept).hexdigest(), kept))
             yield blobs.batch(out, types)
 
     joined = blobs.with_intervals(rows, earlier_intervals(rows, width, most_contexts, limit))
     done = joined.mapInArrow(cut, "k1 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.select(real_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
+def cut_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with texts less their bytes that occur earlier; what is left of a cut character goes too.
+
+    No row goes, a null text becomes empty, and an n_chars column is counted again.
+    """
+    rows = keyed(docs, others(docs))
+    joined = blobs.with_intervals(rows, earlier_intervals(rows.select("k1", "k2", "text"), width))
+    joined = joined.select("row", "text", "starts", "stops")
+
+    def cut(batches):
+        for batch in chunks(batches, 8 << 20):
+            texts = [kept_parts(*x)[0].decode(errors="ignore") for x in _texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+    done = joined.mapInArrow(cut, joined.select("row", "text").schema)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None}
+    return done.select(*[new[c] if c in new else F.col(f"row.`{c}`") for c in docs.columns])
