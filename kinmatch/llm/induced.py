@@ -23,7 +23,7 @@ import tempfile
 from array import array
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -31,86 +31,60 @@ LIMIT = 4_000_000
 
 
 class SpillingQueue:
-    """A priority queue for keys of which equal ones are pushed in order; ascending, or descending."""
+    """A priority queue of (place, common length) for symbols taken in one direction; under one symbol, first in, first out."""
 
     def __init__(self, descending: bool = False, limit: int = LIMIT):
         self.sign, self.limit = -1 if descending else 1, limit
         self.heap: list[int] = []
         self.lists: dict[int, deque[tuple[int, int]]] = {}
         self.away: dict[int, list[tuple[int, int]]] = {}
-        self.file = None
+        self.file = self.current = None
         self.held = 0
 
-    def push(self, key: int, at: int, common: int) -> None:
-        held = self.lists.get(key)
-        if held is None:
-            self.lists[key] = held = deque()
-            heapq.heappush(self.heap, key * self.sign)
-        held.append((at, common))
-        self.held += 1
-        if self.held > self.limit:
-            self._spill()
-
-    def _spill(self) -> None:
+    def list_of(self, symbol: int) -> deque[tuple[int, int]]:
+        """Where to append for a symbol that has no list yet."""
+        self.lists[symbol] = out = deque()
+        heapq.heappush(self.heap, symbol * self.sign)
+        return out
+
+    def spill(self) -> None:
+        """Write the lists that are needed last to the file, until half of the limit is left."""
+        self.held = sum(map(len, self.lists.values()))
+        if self.held <= self.limit:
+            return
         self.file = self.file or tempfile.TemporaryFile()
-        for key in sorted(self.lists, key=lambda k: -k * self.sign):
+        for symbol in sorted(self.lists, key=lambda k: -k * self.sign):
             if self.held <= self.limit // 2:
                 break
-            if held := self.lists[key]:
+            if symbol != self.current and (held := self.lists[symbol]):
                 self.file.seek(0, 2)
-                self.away.setdefault(key, []).append((self.file.tell(), len(held)))
+                self.away.setdefault(symbol, []).append((self.file.tell(), len(held)))
                 array("q", [x for pair in held for x in pair]).tofile(self.file)
                 self.held -= len(held)
                 held.clear()
 
-    def least(self) -> int | None:
-        """The next key."""
+    def next_symbol(self) -> int | None:
         while self.heap:
-            key = self.heap[0] * self.sign
-            if self.lists[key] or key in self.away:
-                return key
+            symbol = self.heap[0] * self.sign
+            if self.lists[symbol] or symbol in self.away:
+                return symbol
             heapq.heappop(self.heap)
-            del self.lists[key]
+            del self.lists[symbol]
         return None
 
-    def pop(self, key: int) -> tuple[int, int]:
-        if key in self.away:
-            (place, n), *more = self.away.pop(key)
-            if more:
-                self.away[key] = more
-            self.file.seek(place)
-            back = array("q")
-            back.fromfile(self.file, 2 * n)
-            self.lists[key].extendleft(zip(reversed(back[::2]), reversed(back[1::2]), strict=True)) if not more else self._return(key, back)
-            self.held += n
-        self.held -= 1
-        return self.lists[key].popleft()
-
-    def _return(self, key: int, back: array) -> None:
-        """Older entries go before newer ones: read all that is away under this key."""
-        for place, n in self.away.pop(key):
-            self.file.seek(place)
-            back.fromfile(self.file, 2 * n)
-            self.held += n
-        self.lists[key].extendleft(zip(reversed(back[::2]), reversed(back[1::2]), strict=True))
-
-
-class Lengths:
-    """The least of the common-prefix lengths since some rank."""
-
-    def __init__(self):
-        self.ranks, self.values = [-1], [0]
-
-    def add(self, rank: int, value: int) -> None:
-        while self.values and self.values[-1] >= value:
-            self.values.pop()
-            self.ranks.pop()
-        self.values.append(value)
-        self.ranks.append(rank)
-
-    def since(self, rank: int) -> int:
-        """Of the ranks after this one."""
-        return self.values[bisect_right(self.ranks, rank)]
+    def drain(self, symbol: int) -> Iterator[tuple[int, int]]:
+        """All entries of a symbol, also those that come in meanwhile."""
+        self.current = symbol
+        for place, n in self.away.pop(symbol, ()):
+            for at in range(0, n, 65_536):
+                self.file.seek(place + 16 * at)
+                part = array("q")
+                part.fromfile(self.file, 2 * min(65_536, n - at))
+                yield from zip(part[::2], part[1::2], strict=True)
+        held = self.lists[symbol]
+        take = held.popleft
+        while held:
+            yield take()
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -127,13 +101,14 @@ def _types(text: np.ndarray) -> np.ndarray:
 
 
 def _common(text: bytes, a: int, b: int, cap: int) -> int:
-    x, y = text[a : a + cap], text[b : b + cap]
+    """How many of the next `cap` symbols, four bytes each, are the same."""
+    x, y = text[4 * a : 4 * (a + cap)], text[4 * b : 4 * (b + cap)]
     if x == y:
-        return len(x)
-    low, high = 0, min(len(x), len(y))
+        return len(x) // 4
+    low, high = 0, min(len(x), len(y)) // 4
     while low < high:
         mid = (low + high + 1) // 2
-        if x[:mid] == y[:mid]:
+        if x[: 4 * mid] == y[: 4 * mid]:
             low = mid
         else:
             high = mid - 1
@@ -162,75 +137,106 @@ def _starts_in_order(text: np.ndarray, small: np.ndarray, limit: int) -> list[in
     return starts[np.array(order)].tolist()
 
 
-def _induce(text: Sequence[int], small: np.ndarray, seeds: list[int], raw: bytes | None, cap: int, limit: int) -> tuple[list[int], list[int]]:
-    n, values = len(text), raw if raw is not None else text.tolist()
+class _Sweep:
+    """One direction of the induction; `take` visits a suffix and queues its left neighbour if that is of the wanted type."""
+
+    def __init__(self, values: list[int], wanted: list[bool], cap: int, limit: int, descending: bool):
+        self.queue = SpillingQueue(descending, limit)
+        queue, lists, list_of = self.queue, self.queue.lists, self.queue.list_of
+        ranks, lengths, last = [-1], [0], {}  # the stack of lengths: each is less than all above it
+        rank, pushed, check = 0, 0, max(1, limit // 4)
+
+        def take(at: int, common: int) -> None:
+            nonlocal rank, pushed
+            if cap:
+                while lengths and lengths[-1] >= common:
+                    lengths.pop()
+                    ranks.pop()
+                lengths.append(common)
+                ranks.append(rank)
+            if at and wanted[at - 1]:
+                at -= 1
+                symbol = values[at]
+                shared = 0
+                if cap:
+                    was = last.get(symbol)
+                    if was is not None:
+                        shared = 1 + lengths[bisect_right(ranks, was)]
+                        if shared > cap:
+                            shared = cap
+                    last[symbol] = rank
+                held = lists.get(symbol)
+                if held is None:
+                    held = list_of(symbol)
+                held.append((at, shared))
+                pushed += 1
+                if pushed == check:
+                    pushed = 0
+                    queue.spill()
+            rank += 1
+
+        self.take = take
+
+
+def _induce(text: np.ndarray, small: np.ndarray, seeds: list[int], cap: int, limit: int) -> tuple[array, array]:
+    n, values = len(text), text.tolist()
+    raw = text.astype(">u4").tobytes() if cap else b""
     is_small = small.tolist()
-    carry = raw is not None
-    common = (lambda a, b: _common(raw, a, b, cap)) if carry else (lambda a, b: 0)
-
-    # ascending: L suffixes from L suffixes and seeds
-    queue, lengths, last = SpillingQueue(limit=limit), Lengths(), {}
     large, large_common = array("q"), array("i")
 
-    def push(at: int, now: int) -> None:
-        key = values[at]
-        was = last.get(key)
-        queue.push(key, at, min(cap, 1 + lengths.since(was)) if carry and was is not None else 0)
-        last[key] = now
-
-    if n:
-        push(n - 1, 0)
-    rank, k, before = 1, 0, n
+    # ascending: L suffixes from the end, from L suffixes and from seeds; of one symbol the L suffixes come first
+    sweep = _Sweep(values, (~small).tolist(), cap, limit, False)
+    take, queue = sweep.take, sweep.queue
+    take(n, 0)
+    k, before = 0, n
     while True:
-        key = queue.least()
-        if k < len(seeds) and (key is None or values[seeds[k]] < key):
-            at, shared = seeds[k], 0
-            if carry and before < n and values[before] == values[at]:
-                shared = common(before, at)
+        symbol = queue.next_symbol()
+        if symbol is None or (k < len(seeds) and values[seeds[k]] < symbol):
+            if k == len(seeds):
+                break
+            symbol = values[seeds[k]]
+        if symbol in queue.lists:
+            for at, common in queue.drain(symbol):
+                large.append(at)
+                large_common.append(common)
+                take(at, common)
+                before = at
+        while k < len(seeds) and values[seeds[k]] == symbol:
+            at = seeds[k]
+            take(at, _common(raw, before, at, cap) if cap and before < n and values[before] == symbol else 0)
+            before = at
             k += 1
-        elif key is not None:
-            at, shared = queue.pop(key)
-            large.append(at)
-            large_common.append(shared)
-        else:
-            break
-        if carry:
-            lengths.add(rank, shared)
-        if at and not is_small[at - 1]:
-            push(at - 1, rank)
-        before = at
-        rank += 1
-
-    # descending: S suffixes from L and S suffixes; an entry's length is the one it has in common with the entry after it
-    queue, lengths, last = SpillingQueue(descending=True, limit=limit), Lengths(), {}
+
+    # descending: S suffixes from L and S suffixes; of one symbol the S suffixes come first. A length is shared with the suffix taken before
+    sweep = _Sweep(values, is_small, cap, limit, True)
+    take, queue = sweep.take, sweep.queue
     out, out_common = array("q"), array("i")
-    rank, k, after = 0, len(large) - 1, -1
+    k, after = len(large) - 1, -1
     while True:
-        key = queue.least()
-        if k >= 0 and (key is None or values[large[k]] > key):
+        symbol = queue.next_symbol()
+        if symbol is None or (k >= 0 and values[large[k]] > symbol):
+            if k < 0:
+                break
+            symbol = values[large[k]]
+        if symbol in queue.lists:
+            for at, common in queue.drain(symbol):
+                out.append(at)
+                out_common.append(common)
+                take(at, common)
+                after = at
+        while k >= 0 and values[large[k]] == symbol:
             at = large[k]
-            if after < 0:
-                shared = 0
+            if after < 0 or values[after] != symbol:
+                common = 0
             elif is_small[after]:
-                shared = common(at, after) if carry and values[at] == values[after] else 0
+                common = _common(raw, at, after, cap) if cap else 0
             else:
-                shared = large_common[k + 1]
+                common = large_common[k + 1]
+            out.append(at)
+            out_common.append(common)
+            take(at, common)
+            after = at
             k -= 1
-        elif key is not None:
-            at, shared = queue.pop(key)
-        else:
-            break
-        out.append(at)
-        out_common.append(shared)
-        if carry:
-            lengths.add(rank, shared)
-        if at and is_small[at - 1]:
-            symbol = values[at - 1]
-            was = last.get(symbol)
-            queue.push(symbol, at - 1, min(cap, 1 + lengths.since(was)) if carry and was is not None else 0)
-            last[symbol] = rank
-        after = at
-        rank += 1
     out.reverse()
     out_common.reverse()
     return out, array("i", [0, *out_common[:-1]] if out else [])
@@ -238,12 +244,11 @@ def _induce(text: Sequence[int], small: np.ndarray, seeds: list[int], raw: bytes
 
 def suffix_order(text: np.ndarray, limit: int = LIMIT) -> list[int]:
     small = _types(text)
-    return _induce(text, small, _starts_in_order(text, small, limit), None, 0, limit)[0].tolist()
+    return _induce(text, small, _starts_in_order(text, small, limit), 0, limit)[0].tolist()
 
 
-def suffix_array(text: bytes, cap: int, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes in order, and the length of the prefix that each shares with the one before, up to `cap`."""
-    symbols = np.frombuffer(text, np.uint8)
-    small = _types(symbols)
-    order, common = _induce(symbols, small, _starts_in_order(symbols, small, limit), text, cap, limit)
+def suffix_array(text: np.ndarray, cap: int, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of a text of symbols from 0 in order, and the length of the prefix that each shares with the one before, up to `cap`."""
+    small = _types(text)
+    order, common = _induce(text, small, _starts_in_order(text, small, limit), cap, limit)
     return np.array(order, np.int64), np.array(common, np.int64)

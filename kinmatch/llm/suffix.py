@@ -2,21 +2,24 @@
 
 A window is `width` bytes of one document. Windows that are equal hold the
 same 16-byte runs, so the run with the least hash, the window's anchor, is the
-same too and stands at the same place in it. Neighbouring windows mostly share
-an anchor; together they are a context, the bytes from the first window's
-start to the last one's end, and every window is in exactly one context.
+same too and stands at the same place in it. If that is in the first half, the
+window reaches far behind the anchor, else far before it; so many bytes (half
+the width less the anchor, and the anchor) are the window's core. Neighbouring
+windows mostly share anchor and half, so core; together they are a context,
+the bytes from the first window's start to the last one's end, and every
+window is in exactly one context.
 
 1. Each map task finds its documents' contexts. Contexts that are equal are
    sent on once, by the earliest; the windows of the others start earlier too.
-2. Contexts meet by their anchor's hash. Equal ones are again counted once.
-   Where the contexts left under an anchor differ, their windows may still be
+2. Contexts meet by their core's hash. Equal ones are again counted once.
+   Where the contexts left with a core differ, their windows may still be
    equal in part: these contexts' bytes are fetched from their documents.
-3. Such contexts, again dealt out by anchor, are put in a suffix array with
-   common-prefix values by external induced sorting (`induced.py`). Suffixes at
-   window starts with `width` bytes in common are equal windows; all but the
-   earliest go.
+3. Such contexts, again dealt out by core, are put in a suffix array with
+   common-prefix values by external induced sorting (`induced.py`); the core,
+   which they share, is one symbol there. Suffixes at window starts with a
+   window's symbols in common are equal windows; all but the earliest go.
 
-An anchor that more than `most_contexts` different contexts share is dealt out
+A core that more than `most_contexts` different contexts share is dealt out
 by whole windows in step 3 in place of contexts, so that no task gets all.
 """
 
@@ -39,10 +42,15 @@ RUN = 16
 MOST_CONTEXTS = 50_000
 SEGMENT = 2 << 20
 #: Between contexts in one text; UTF-8 has no such byte.
-GAP = b"\xff"
+GAP = 255
 
-SENT = {"k1": "int64", "k2": "int64", "doc": "int32", "start": "int32", "n": "int32", "anchor": "uint64", "context": "uint64"}
-FETCHED = {"k1": "int64", "k2": "int64", "doc": "int32", "start": "int32", "n": "int32", "anchor": "uint64", "bytes": "uint8"}
+SENT = {"k1": "int64", "k2": "int64", "doc": "int32", "start": "int32", "n": "int32", "at": "uint16", "core": "uint64", "context": "uint64"}
+FETCHED = {"k1": "int64", "k2": "int64", "doc": "int32", "start": "int32", "n": "int32", "at": "uint16", "core": "uint64", "bytes": "uint8"}
+
+
+def core_size(width: int) -> int:
+    run = min(RUN, width)
+    return (width - run) // 2 + run
 
 
 def segments(texts: list[bytes], width: int) -> list[tuple[int, int, int]]:
@@ -51,8 +59,9 @@ def segments(texts: list[bytes], width: int) -> list[tuple[int, int, int]]:
 
 
 def contexts(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, ...]:
-    """doc, start, windows, anchor hash and context hash of every context."""
+    """doc, start, windows, where in it its core is, the core's hash and its own, of every context."""
     run = min(RUN, width)
+    half = (width - run) // 2
     found, group, size = [], [], 0
     parts = segments(texts, width)
     for k, part in enumerate(parts):
@@ -69,24 +78,27 @@ def contexts(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, ...]:
         least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), width - run + 1)
         starts = spans(first, counts)
         anchor = (least[starts] & low).astype(np.int64)
+        behind = anchor - starts <= half
         new = np.ones(len(starts), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1) | (behind[1:] != behind[:-1])
         at = np.flatnonzero(new)
         n = np.diff(np.append(at, len(starts)))
         a = starts[at]
         of = np.searchsorted(first, a, "right") - 1
         whole = slices(a, a + n + width - 1) ^ mix((anchor[at] - a).astype(np.uint64) * np.uint64(1 << 32) + n.astype(np.uint64))
-        found.append((docs[of], a - first[of] + ats[of], n, grams[anchor[at]], whole))
+        begin = np.where(behind[at], anchor[at], anchor[at] - half)
+        core = slices(begin, begin + half + run) ^ mix(behind[at].astype(np.uint64) + np.uint64(1))
+        found.append((docs[of], a - first[of] + ats[of], n, begin - a, core, whole))
         group, size = [], 0
     if not found:
-        return tuple(np.zeros(0, t) for t in ("int64", "int64", "int64", "uint64", "uint64"))
+        return tuple(np.zeros(0, t) for t in ("int64", "int64", "int64", "int64", "uint64", "uint64"))
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def once(place: np.ndarray, start: np.ndarray, anchor: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by anchor, context, document's place and start; and where in it an equal context stands before."""
-    order = np.lexsort((start, place, context, anchor))
-    a, c = anchor[order], context[order]
+def once(place: np.ndarray, start: np.ndarray, core: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by core, context, document's place and start; and where in it an equal context stands before."""
+    order = np.lexsort((start, place, context, core))
+    a, c = core[order], context[order]
     same = np.zeros(len(order), bool)
     same[1:] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
     return order, same
@@ -107,22 +119,22 @@ def context_blobs(docs: DataFrame, width: int, flush: int = 16 << 20) -> DataFra
     keys = bucket_keys(docs.sparkSession, partitions(docs.sparkSession))
 
     def send(parts, k1, k2):
-        doc, start, n, anchor, context = map(np.concatenate, zip(*parts, strict=True))
-        order, same = once(place_of(k1, k2)[doc], start, anchor, context)
+        doc, start, n, at_core, core, context = map(np.concatenate, zip(*parts, strict=True))
+        order, same = once(place_of(k1, k2)[doc], start, core, context)
         rows = []
         gone = order[same]
         d, a, b = merged(doc[gone], start[gone], start[gone] + n[gone] + width - 1)
         if len(d):
             own1, own2, at = blobs.documents_of(d, k1, k2)
-            rows.append((keys[int(k2[d[0]]) % len(keys)], own1, own2, at, a.astype("int32").tobytes(), (b - a).astype("int32").tobytes(), b"", b""))
+            rows.append((keys[int(k2[d[0]]) % len(keys)], own1, own2, at, a.astype("int32").tobytes(), (b - a).astype("int32").tobytes(), b"", b"", b""))
         kept = order[~same]
-        bucket = (mix(anchor[kept]) % np.uint64(len(keys))).astype(np.int32)
+        bucket = (mix(core[kept]) % np.uint64(len(keys))).astype(np.int32)
         kept = kept[np.lexsort((start[kept], doc[kept], bucket))]
         edges = np.searchsorted(np.sort(bucket), np.arange(len(keys) + 1))
         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if a < b:
                 x = kept[a:b]
-                rows.append((keys[k], *blobs.documents_of(doc[x], k1, k2), start[x].astype("int32").tobytes(), n[x].astype("int32").tobytes(), anchor[x].tobytes(), context[x].tobytes()))
+                rows.append((keys[k], *blobs.documents_of(doc[x], k1, k2), start[x].astype("int32").tobytes(), n[x].astype("int32").tobytes(), at_core[x].astype("uint16").tobytes(), core[x].tobytes(), context[x].tobytes()))
         return blobs.batch(rows, types)
 
     def run(batches):
@@ -144,77 +156,79 @@ def context_blobs(docs: DataFrame, width: int, flush: int = 16 << 20) -> DataFra
     return docs.mapInArrow(run, sql)
 
 
-MET = pa.schema([*blobs.INTERVALS, ("anchor", pa.int64()), ("hot", pa.bool_())])
-MET_SQL = blobs.INTERVALS_SQL + ", anchor long, hot boolean"
+MET = pa.schema([*blobs.INTERVALS, ("at", pa.int32()), ("core", pa.int64()), ("hot", pa.bool_())])
+MET_SQL = blobs.INTERVALS_SQL + ", at int, core long, hot boolean"
 
 
 def meet(sent: DataFrame, width: int, most_contexts: int) -> DataFrame:
-    """Intervals that are decided (anchor null), and contexts whose bytes are needed (start, stop, anchor, hot)."""
+    """Intervals that are decided (core null), and contexts whose bytes are needed (start, stop, at, core, hot)."""
 
-    def rows(a, which, start, stop, anchor=None, hot=None):
+    def rows(a, which, start, stop, at=None, core=None, hot=None):
         columns = [pa.array(x.astype(np.int64)) for x in (a["k1"][which], a["k2"][which], start, stop)]
-        if anchor is None:
-            return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(start), pa.int64()), pa.nulls(len(start), pa.bool_())], schema=MET)
-        return pa.RecordBatch.from_arrays([*columns, pa.array(anchor.view(np.int64)), pa.array(hot)], schema=MET)
+        if core is None:
+            return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(start), MET.field(n).type) for n in ("at", "core", "hot"))], schema=MET)
+        return pa.RecordBatch.from_arrays([*columns, pa.array(at.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(hot)], schema=MET)
 
     def run(batches):
         local, held = [], []
         for b in batches:
-            alone = np.array([not x for x in b.column("anchor").to_pylist()], bool)
+            alone = np.array([not x for x in b.column("core").to_pylist()], bool)
             local.append(b.filter(pa.array(alone)))
             held.append(b.filter(pa.array(~alone)))
         own = blobs.arrays(local, SENT)
         yield rows(own, own["doc"], own["start"], own["start"].astype(np.int64) + own["n"])
         a = blobs.arrays(held, SENT)
         blobs.same_documents(a)
-        order, same = once(a["doc"], a["start"], a["anchor"], a["context"])
+        order, same = once(a["doc"], a["start"], a["core"], a["context"])
         gone = order[same]
         doc, start, stop = merged(a["doc"][gone], a["start"][gone], a["start"][gone].astype(np.int64) + a["n"][gone] + width - 1)
         yield rows(a, doc, start, stop)
         kept = order[~same]
-        anchor = a["anchor"][kept]
+        core = a["core"][kept]
         new = np.ones(len(kept), bool)
-        new[1:] = anchor[1:] != anchor[:-1]
+        new[1:] = core[1:] != core[:-1]
         count = np.diff(np.append(np.flatnonzero(new), len(kept)))[np.cumsum(new) - 1] if len(kept) else np.zeros(0, np.int64)
-        differ = kept[count > 1]
-        yield rows(a, a["doc"][differ], a["start"][differ], a["start"][differ].astype(np.int64) + a["n"][differ] + width - 1, a["anchor"][differ], count[count > 1] > most_contexts)
+        x = kept[count > 1]
+        yield rows(a, a["doc"][x], a["start"][x], a["start"][x].astype(np.int64) + a["n"][x] + width - 1, a["at"][x], a["core"][x], count[count > 1] > most_contexts)
 
     return sent.mapInArrow(run, MET_SQL)
 
 
 def fetch(docs: DataFrame, needed: DataFrame, width: int, flush: int = 16 << 20) -> DataFrame:
-    """The bytes of the needed contexts, to buckets by anchor; of hot anchors each window, to buckets by its hash."""
+    """The bytes of the needed contexts, to buckets by core; of hot cores each window, to buckets by its hash."""
     types, sql = blobs.schema(FETCHED)
     keys = bucket_keys(docs.sparkSession, partitions(docs.sparkSession))
-    wanted = needed.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop", "anchor", "hot")).alias("w"))
-    joined = docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", *[F.col(f"w.{c}").alias(c) for c in ("start", "stop", "anchor", "hot")])
+    names = ("start", "stop", "at", "core", "hot")
+    wanted = needed.groupBy("k1", "k2").agg(F.collect_list(F.struct(*names)).alias("w"))
+    joined = docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", *[F.col(f"w.{c}").alias(c) for c in names])
 
     def send(found, k1, k2):
         rows: dict[int, list] = {}
         for item in found:
-            rows.setdefault(item[3] % len(keys), []).append(item)
+            rows.setdefault(item[4] % len(keys), []).append(item)
         out = []
         k1, k2 = np.array(k1), np.array(k2)
         for k, items in rows.items():
-            doc, start, n, anchor = (np.array(x) for x in list(zip(*items, strict=True))[:4])
-            out.append((keys[k], *blobs.documents_of(doc, k1, k2), start.astype("int32").tobytes(), n.astype("int32").tobytes(), anchor.astype("uint64").tobytes(), b"".join([x[4] for x in items])))
+            doc, start, n, at, core, parts = zip(*items, strict=True)
+            columns = [np.array(x, t).tobytes() for x, t in ((start, "int32"), (n, "int32"), (at, "uint16"), (core, "uint64"))]
+            out.append((keys[k], *blobs.documents_of(np.array(doc), k1, k2), *columns, b"".join(parts)))
         return blobs.batch(out, types)
 
     def run(batches):
         found, k1, k2, size = [], [], [], 0
         for batch in chunks(batches, 8 << 20):
-            columns = [batch.column(c).to_pylist() for c in ("k1", "k2", "start", "stop", "anchor", "hot")]
-            for text, a, b, starts, stops, anchors, hots in zip(byte_lists(batch.column("text")), *columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("k1", "k2", *names)]
+            for text, a, b, *rest in zip(byte_lists(batch.column("text")), *columns, strict=True):
                 k1.append(a)
                 k2.append(b)
-                for start, stop, anchor, hot in zip(starts, stops, anchors, hots, strict=True):
+                for start, stop, at, core, hot in zip(*rest, strict=True):
                     if not hot:
-                        found.append((len(k1) - 1, start, stop - start - width + 1, anchor & (2**64 - 1), text[start:stop]))
+                        found.append((len(k1) - 1, start, stop - start - width + 1, at, core & (2**64 - 1), text[start:stop]))
                         size += stop - start
                         continue
                     raw = np.frombuffer(text[start:stop], np.uint8)
                     for k, h in enumerate(Slices(BYTE_SYMBOLS[raw]).runs(width).tolist()):
-                        found.append((len(k1) - 1, start + k, 1, h, text[start + k : start + k + width]))
+                        found.append((len(k1) - 1, start + k, 1, 0, h, text[start + k : start + k + width]))
                         size += width
             if size >= flush:
                 yield send(found, k1, k2)
@@ -225,26 +239,35 @@ def fetch(docs: DataFrame, needed: DataFrame, width: int, flush: int = 16 << 20)
     return joined.mapInArrow(run, sql)
 
 
-def later_windows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, raw: bytes, width: int, limit: int = LIMIT) -> np.ndarray:
-    """For each window of the contexts that stand one after another in raw: whether an equal one comes earlier."""
-    sizes = n + width - 1
-    first = np.cumsum(sizes) - sizes
-    text = GAP.join([raw[a : a + s] for a, s in zip(first.tolist(), sizes.tolist(), strict=True)])
+def later_windows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, raw: np.ndarray, width: int, limit: int = LIMIT) -> np.ndarray:
+    """For each window of the contexts that stand one after another in raw: whether an equal one comes earlier.
+
+    at: where in a context its core is; group: a number for the core.
+    """
+    sizes, size = n + width - 1, core_size(width)
+    base = np.cumsum(sizes + 1) - sizes - 1
+    text = np.full(int((sizes + 1).sum()), GAP, np.int64)
+    text[spans(base, sizes)] = raw
+    text[base + at] = GAP + 1 + group
     of = np.full(len(text), -1, np.int64)
-    of[spans(first + np.arange(len(n)), n)] = np.arange(int(n.sum()))
-    order, common = suffix_array(text, width, limit)
-    group = np.cumsum(common < width)
+    of[spans(base, n)] = np.arange(int(n.sum()))
+    kept = np.ones(len(text), bool)
+    kept[spans(base + at + 1, np.full(len(n), size - 1))] = False
+    text, of = text[kept], of[kept]
+    symbols = width - size + 1
+    order, common = suffix_array(text, symbols, limit)
+    alike = np.cumsum(common < symbols)
     window = of[order]
-    group, window = group[window >= 0], window[window >= 0]
-    place, at = np.repeat(doc, n), spans(start, n)
-    by = np.lexsort((at[window], place[window], group))
-    group, window = group[by], window[by]
+    alike, window = alike[window >= 0], window[window >= 0]
+    place, where = np.repeat(doc, n), spans(start, n)
+    by = np.lexsort((where[window], place[window], alike))
+    alike, window = alike[by], window[by]
     later = np.zeros(int(n.sum()), bool)
-    same = group[1:] == group[:-1]
+    new = np.ones(len(window), bool)
+    new[1:] = alike[1:] != alike[:-1]
+    lead = window[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(window) else window
     # a repeated row of a document is that document: its windows are not earlier
-    where = np.flatnonzero(~np.concatenate([[False], same]))
-    lead = window[where[np.cumsum(np.concatenate([[True], ~same])) - 1]] if len(window) else window
-    later[window] = (place[window] != place[lead]) | (at[window] != at[lead])
+    later[window] = (place[window] != place[lead]) | (where[window] != where[lead])
     return later
 
 
@@ -256,21 +279,21 @@ def sorted_intervals(fetched: DataFrame, width: int, limit: int, text_bytes: int
         blobs.same_documents(a)
         sizes = a["n"].astype(np.int64) + width - 1
         first = np.cumsum(sizes) - sizes
-        order = np.argsort(a["anchor"], kind="stable")
+        order = np.argsort(a["core"], kind="stable")
         if not len(order):
             return
-        anchor = a["anchor"][order]
-        ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(order))
+        core = a["core"][order]
+        group = np.cumsum(np.append(True, core[1:] != core[:-1]))
+        ends = np.append(np.flatnonzero(core[1:] != core[:-1]) + 1, len(order))
         total = np.cumsum(sizes[order])
-        raw, at = a["bytes"].tobytes(), 0
+        at = 0
         while at < len(order):
             done = total[at - 1] if at else 0
-            k = np.searchsorted(total[ends - 1], done + text_bytes, "right")  # whole anchors, one at least
+            k = np.searchsorted(total[ends - 1], done + text_bytes, "right")  # whole cores, one at least
             end = max(int(ends[k - 1]) if k else 0, int(ends[np.searchsorted(ends, at, "right")]))
             x = order[at:end]
             doc, start, n = a["doc"][x], a["start"][x].astype(np.int64), a["n"][x].astype(np.int64)
-            text = b"".join([raw[f : f + s] for f, s in zip(first[x].tolist(), sizes[x].tolist(), strict=True)])
-            later = later_windows(doc, start, n, text, width, limit)
+            later = later_windows(doc, start, n, a["at"][x].astype(np.int64), group[at:end] - group[at], a["bytes"][spans(first[x], sizes[x])], width, limit)
             place, where = np.repeat(doc, n)[later], spans(start, n)[later]
             yield blobs.interval_batch(*merged(place, where, where + width), a["k1"], a["k2"])
             at = end
@@ -282,8 +305,8 @@ def earlier_intervals(docs: DataFrame, width: int = WIDTH, most_contexts: int =
     """k1, k2, start, stop: the bytes of a keyed document that windows cover which also start earlier."""
     p = partitions(docs.sparkSession)
     met = meet(context_blobs(docs, width).repartition(p, "bucket"), width, most_contexts)
-    decided = met.where("anchor is null").select("k1", "k2", "start", "stop")
-    fetched = fetch(docs, met.where("anchor is not null"), width).repartition(p, "bucket")
+    decided = met.where("core is null").select("k1", "k2", "start", "stop")
+    fetched = fetch(docs, met.where("core is not null"), width).repartition(p, "bucket")
     return decided.union(sorted_intervals(fetched, width, limit))
 
 
