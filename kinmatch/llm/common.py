@@ -22,6 +22,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
+    """df; its session then hands Python so many rows or bytes at once at most, for texts can be long."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and cut its lineage there."""
     spark = df.sparkSession
@@ -42,7 +51,7 @@ def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     Rows that agree in doc_id and text share a key and get equal results.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"), *more)
+    return bounded_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"), *more)
 
 
 def others(docs: DataFrame) -> Column:

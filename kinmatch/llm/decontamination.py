@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmatch.llm.common import byte_lists, chunks
+from kinmatch.llm.common import bounded_batches, byte_lists, chunks
 from kinmatch.llm.rolling import Slices
 
 WIDTH = 8
@@ -194,7 +194,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches",
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
-    docs = docs.drop(column).withColumn(column, F.array().cast(MATCH))
+    docs = bounded_batches(docs).drop(column).withColumn(column, F.array().cast(MATCH))
     templates = sc.broadcast(Templates())
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import byte_lists, chunks, id_text
+from kinmatch.llm.common import bounded_batches, byte_lists, chunks, id_text
 
 UNKNOWN = "und"
 WINDOW = 64
@@ -220,8 +220,8 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Network:
     return fit(windows, np.array([languages.index(lang) for lang, _ in rows]), languages, settings)
 
 
-def identify(docs: DataFrame, net: Network | None = None, settings: Settings = Settings()) -> DataFrame:
-    """The columns of docs, with held_out, lang_pred and score (the pooled probability of lang_pred).
+def identify(docs: DataFrame, net: Network | None = None, settings: Settings = Settings(), columns: list[str] | None = None) -> DataFrame:
+    """The columns of docs, or those named, with held_out, lang_pred and score (the pooled probability of lang_pred).
 
     A text that is null or has no letter is `und` with score 0, as is every
     text if there is nothing to learn from. Equal texts get equal results. Own
@@ -229,7 +229,8 @@ def identify(docs: DataFrame, net: Network | None = None, settings: Settings = S
     """
     net = train(docs, settings) if net is None else net
     model = docs.sparkSession.sparkContext.broadcast(net)
-    docs = docs.drop("held_out", "lang_pred", "score")
+    docs = bounded_batches(docs).drop("held_out", "lang_pred", "score")
+    columns = [*(docs.columns if columns is None else columns), "held_out"]
     letters = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
 
     def run(batches):
@@ -241,10 +242,8 @@ def identify(docs: DataFrame, net: Network | None = None, settings: Settings = S
             known = [bool(names) and x for x in batch.column("_letters").to_pylist()]
             lang = [names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known, strict=True)]
             score = [float(min(1.0, p[i, b])) if k else 0.0 for i, (b, k) in enumerate(zip(best.tolist(), known, strict=True))]
-            kept = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != "_letters"]
-            names_kept = [n for n in batch.schema.names if n != "_letters"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names_kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
 
     ready = docs.withColumn("held_out", held_out()).withColumn("_letters", letters)
-    schema = ready.drop("_letters").schema.add("lang_pred", "string").add("score", "double")
-    return ready.mapInArrow(run, schema)
+    schema = ready.select(*columns).schema.add("lang_pred", "string").add("score", "double")
+    return ready.select(*dict.fromkeys([*columns, "text", "_letters"])).mapInArrow(run, schema)

@@ -33,7 +33,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinmatch.llm.langid import identify
 
-    return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(table(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
