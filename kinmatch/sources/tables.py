@@ -45,7 +45,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def split_ids(c: Column) -> Column:
     """A comma list as an array, trimmed, without empty parts."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
