@@ -16,24 +16,36 @@ its length and its rank among the pieces of that length, in an equi-join.
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import zlib
-from array import array
-from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import byte_lists, checkpoint, chunks
+from kinmatch.llm.common import bounded_batches, byte_lists, checkpoint, chunks
+from kinmatch.llm.rolling import BYTE_SYMBOLS, Slices, spans
 
 END_ID = 1
-#: Words kept from one chunk of texts to the next, about.
-CACHED_WORDS = 500_000
-#: What is split from letters and digits before it.
-MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Pieces whose ids a worker keeps, at most; then it begins anew.
+KEPT_PIECES = 2_000_000
+
+
+def _bytes(values) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+_SPACE = _bytes(b"\t\n\x0b\x0c\r ")
+_PLAIN = _bytes(b"0123456789abcdefghijklmnopqrstuvwxyz")
+_MARK = _bytes(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+#: First bytes of two-byte characters that are letters, but for two signs.
+_LATIN = _bytes([0xC3, 0xC4, 0xC5])
 
 
 def piece_lengths(n: int, most: int) -> list[int]:
@@ -44,48 +56,81 @@ class WordIds:
     """Texts' token ids as little-endian 32-bit bytes.
 
     The tokenizer lowers case, never joins what white space parts, and splits
-    letters or digits from marks that follow. So words are encoded once, less
-    the marks at their end, and kept; a text that may hold a special token is
-    encoded whole. Broadcast, it keeps its words from task to task of a worker.
+    letters or digits from marks that follow. So texts are cut into words, and
+    marks at the end of words, in numpy; each different piece is encoded once
+    and its ids kept under its 64-bit hash. A text that may hold a special
+    token is encoded whole. Broadcast, it keeps its pieces from task to task of
+    a worker.
     """
 
-    def __init__(self, model: str, cached: int = CACHED_WORDS):
-        self.model, self.cached, self.known, self.tokenizer = model, cached, {}, None
+    def __init__(self, model: str, kept: int = KEPT_PIECES):
+        self.model, self.kept, self.tokenizer = model, kept, None
+        self._forget()
 
     def __getstate__(self) -> dict:
-        return vars(self) | {"known": {}, "tokenizer": None}
+        return {"model": self.model, "kept": self.kept}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
+    def _forget(self) -> None:
+        self.hashes, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
         if self.tokenizer is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_str(self.model)
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[bytes]) -> None:
-        known = self.known
-        if len(known) > self.cached:
-            self.known = known = {w: known[w] for w in words if w in known}
-        stems, new = {}, set()
-        for w in words.difference(known):
-            stem = w.rstrip(MARKS)
-            if stem and stem != w and stem.decode()[-1].isalnum():
-                stems[w] = stem, w[len(stem) :]
-                new.update(stems[w])
-            else:
-                new.add(w)
-        listed = list(new.difference(known))
-        known.update(zip(listed, self._encode([w.decode() for w in listed]), strict=True))
-        for w, (stem, tail) in stems.items():
-            known[w] = known[stem] + known[tail]
-
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        words = [None if b"<|" in t else t.lower().split() for t in texts]
-        self._learn(set().union(*[w for w in words if w]))
-        known = self.known
-        for text, own in zip(texts, words, strict=True):
-            yield self._encode([text.decode()])[0] if own is None else b"".join([known[w] for w in own])
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _places(self, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray, raw: bytes) -> np.ndarray:
+        """Where the ids of pieces, all different, are kept; unknown pieces are encoded first."""
+        if len(self.hashes) + len(hashes) > self.kept:
+            self._forget()
+        at = np.searchsorted(self.hashes, hashes)
+        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        new = np.flatnonzero(~known)
+        new = new[np.argsort(hashes[new])]
+        if len(new):
+            ids = self._encode([raw[a:b].decode() for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)])
+            size = np.array([len(x) for x in ids])
+            before = len(self.pool)
+            self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))])
+            self.first, self.size = (np.insert(x, at[new], y) for x, y in ((self.first, before + np.cumsum(size) - size), (self.size, size)))
+            self.hashes = np.insert(self.hashes, at[new], hashes[new])
+            at = np.searchsorted(self.hashes, hashes)
+        return at
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        whole = {k: np.array(self._encode([t.decode()])[0], np.uint32).tobytes() for k, t in enumerate(texts) if b"<|" in t}
+        lowered = [b"" if k in whole else t.lower() for k, t in enumerate(texts)]
+        text = b" ".join([b"", *lowered, b""])
+        raw = np.frombuffer(text, np.uint8)
+        space = _SPACE[raw]
+        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        stops = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        # the end of a word without its marks, where that is a letter or a digit
+        last = np.maximum.accumulate(np.where(_MARK[raw], -1, np.arange(len(raw))))
+        ends = last[stops - 1] + 1
+        plain = _PLAIN[raw[ends - 1]] | (_LATIN[raw[np.maximum(ends - 2, 0)]] & (raw[ends - 1] != 0x97) & (raw[ends - 1] != 0xB7))
+        parted = (ends > starts) & (ends < stops) & plain
+        a = np.concatenate([starts, ends[parted]])
+        b = np.concatenate([np.where(parted, ends, stops), stops[parted]])
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        codes, hashes = pd.factorize(Slices(BYTE_SYMBOLS[raw])(a, b))
+        one = np.zeros(len(hashes), np.int64)
+        one[codes] = np.arange(len(codes))
+        at = self._places(hashes, a[one], b[one], text)[codes]
+        size = self.size[at]
+        ids = self.pool[spans(self.first[at], size)]
+        places = np.concatenate([[0], np.cumsum(size)])
+        edges = np.cumsum([1, *(len(t) + 1 for t in lowered)])  # where each text begins
+        cuts = (4 * places[np.searchsorted(a, edges)]).tolist()
+        out = memoryview(ids.tobytes())
+        return [whole[k] if k in whole else bytes(out[x:y]) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
 def cut_pieces(docs: DataFrame, model: str, max_tokens: int = 4096, end_id: int = END_ID) -> DataFrame:
@@ -105,7 +150,7 @@ def cut_pieces(docs: DataFrame, model: str, max_tokens: int = 4096, end_id: int
                     start += n
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types.types, strict=True)], schema=types)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
 
 def plan_bins(counts: dict[int, int], capacity: tuple[int, int, int], weights: tuple[float, float, float] = (1.0, 0.05, 0.25), rule: str = "norm") -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -114,41 +159,59 @@ def plan_bins(counts: dict[int, int], capacity: tuple[int, int, int], weights: t
     The pieces of `length` with ranks from the first rank on go to as many
     bins in a row, each at that offset.
     """
-    room = np.array(capacity, float)
-    weights = np.array(weights, float)
-    free: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # what is left -> ranges (first bin, bins)
+    room, weights = np.array(capacity, float), np.array(weights, float)
+    states = np.zeros((64, 3), np.int64)  # what is left in the bins of a state; zero if no bin is in it
+    ranges: list[list[tuple[int, int]]] = []  # (first bin, bins)
+    row_of: dict[tuple[int, int, int], int] = {}
+    unused: list[int] = []
     records: list[tuple[int, int, int, int, int]] = []
     bins = 0
+
+    def put(state: tuple[int, int, int], first: int, n: int) -> None:
+        nonlocal states
+        row = row_of.get(state)
+        if row is None:
+            row = unused.pop() if unused else len(ranges)
+            if row == len(ranges):
+                ranges.append([])
+                if row == len(states):
+                    states = np.concatenate([states, np.zeros_like(states)])
+            row_of[state], states[row], ranges[row] = row, state, []
+        ranges[row].append((first, n))
+
     for length in sorted(counts, reverse=True):
         asked = (length, 1, length * length)
         each = min(c // a for c, a in zip(capacity, asked, strict=True))
         if not each:
             raise ValueError(f"a piece of {length} tokens fits no bin")
-        left, rank = counts[length], 0
+        left, rank, wants = counts[length], 0, np.array(asked)
         while left:
-            states = [s for s in free if all(x >= a for x, a in zip(s, asked, strict=True))]
-            if not states:
+            fits = np.flatnonzero((states[: len(ranges)] >= wants).all(1))
+            if not len(fits):
                 new = math.ceil(left / each)
-                free.setdefault(tuple(capacity), []).append((bins, new))
+                put(tuple(capacity), bins, new)
                 bins += new
                 continue
-            have = np.array(states, float)
-            score = (((have - asked) / room) ** 2 * weights).sum(1) if rule == "norm" else -((have / room) * (np.array(asked) / room) * weights).sum(1)
-            for k in np.argsort(score, kind="stable"):
-                state = states[k]
-                ranges, kept = free.pop(state), []
+            have = states[fits]
+            score = (((have - wants) / room) ** 2 * weights).sum(1) if rule == "norm" else -((have / room) * (wants / room) * weights).sum(1)
+            for row in fits[np.argsort(score, kind="stable")].tolist():
+                state, taken = tuple(states[row].tolist()), ranges[row]
+                del row_of[state]
+                states[row], ranges[row] = 0, []
+                unused.append(row)
                 after = tuple(x - a for x, a in zip(state, asked, strict=True))
-                for first, n in ranges:
+                kept = []
+                for first, n in taken:
                     use = min(n, left)
                     if use:
                         records.append((length, rank, use, first, capacity[0] - state[0]))
-                        if after[0] and after[1] and after[2]:
-                            free.setdefault(after, []).append((first, use))
+                        if all(after):
+                            put(after, first, use)
                         rank, left = rank + use, left - use
                     if use < n:
                         kept.append((first + use, n - use))
-                if kept:
-                    free[state] = kept
+                for first, n in kept:
+                    put(state, first, n)
                 if not left:
                     break
     return records, bins
