@@ -1,13 +1,17 @@
 """Similarities of strings and of token arrays.
 
 Set measures are Column expressions. The alignments that no built-in has
-(longest common subsequence, Jaro-Winkler, best partial match) come from one
-Arrow UDF that returns them as a struct, so a pair's strings cross to Python
-once.
+(longest common subsequence, Jaro-Winkler, best partial match, counts of
+character runs) come from one Arrow UDF that returns them as a struct, so a
+pair's strings cross to Python once.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from functools import lru_cache, partial
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,16 +62,6 @@ def log_distance(a: Column, b: Column) -> Column:
     return F.log1p(F.abs(value(a) - value(b)).cast("double"))
 
 
-def count_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the arrays' token counts; -1 if either is empty."""
-
-    def squares(x: Column) -> Column:
-        return F.aggregate(F.array_distinct(x), F.lit(0).cast("long"), lambda s, t: s + F.pow(F.size(F.filter(x, lambda u: u == t)), F.lit(2)).cast("long"))
-
-    dot = F.aggregate(F.array_intersect(a, b), F.lit(0).cast("long"), lambda s, t: s + (F.size(F.filter(a, lambda u: u == t)) * F.size(F.filter(b, lambda u: u == t))).cast("long"))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(-1.0)).otherwise(dot / F.sqrt(squares(a) * squares(b)))
-
-
 # ------------------------------------------------------------- alignments
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit rows."""
@@ -156,7 +150,25 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
-MEASURES = {"ratio": ratio, "tset": token_set_ratio, "tsort": token_sort_ratio, "partial": partial_ratio, "jw": jaro_winkler}
+@lru_cache(maxsize=4096)
+def gram_counts(text: str, n: int) -> tuple[dict[str, int], int]:
+    """How often the text has each run of n characters, between hash signs, and the sum of squares."""
+    padded = f"#{text}#"
+    counts = Counter(padded[k : k + n] for k in range(len(padded) - n + 1))
+    return counts, sum(c * c for c in counts.values())
+
+
+def gram_cosine(a: str, b: str, n: int) -> float:
+    """Cosine of the texts' gram counts; -1 if either has none."""
+    (x, xx), (y, yy) = gram_counts(a, n), gram_counts(b, n)
+    if not xx or not yy:
+        return -1.0
+    if len(x) > len(y):
+        x, y = y, x
+    return sum(c * y.get(g, 0) for g, c in x.items()) / math.sqrt(xx * yy)
+
+
+MEASURES = {"ratio": ratio, "tset": token_set_ratio, "tsort": token_sort_ratio, "partial": partial_ratio, "jw": jaro_winkler, "cos2": partial(gram_cosine, n=2), "cos3": partial(gram_cosine, n=3)}
 
 
 def aligned(a: Column, b: Column, *measures: str) -> Column:

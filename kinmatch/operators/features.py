@@ -65,7 +65,6 @@ def pair_columns() -> dict:
     first = lambda side: F.get(side, F.lit(0))
     no_digits = lambda side: F.filter(side, lambda t: ~t.rlike(r"\d"))
     plain = tuple(map(no_digits, addr))
-    grams = lambda c, n: tuple(X.ngrams(F.replace(side(c), F.lit(" "), F.lit("")), n) for side in (a, b))
     return {
         "name_exact": (a("name_core") == b("name_core")).cast("double"), "nospace_exact": (a("name_nospace") == b("name_nospace")).cast("double"),
         "nospace_lev": S.levenshtein_similarity(a("name_nospace"), b("name_nospace")), "name_jac": S.jaccard(*core), "name_overlap": S.overlap(*core), "name_first_tok_eq": S.first_equal(*core),
@@ -76,8 +75,7 @@ def pair_columns() -> dict:
         "hn_edit": both("addr_nums", F.levenshtein(first(nums[0]), first(nums[1])).cast("double")), "hn_logdiff": both("addr_nums", S.log_distance(first(nums[0]), first(nums[1]))),
         "hn_len_eq": both("addr_nums", (F.length(first(nums[0])) == F.length(first(nums[1]))).cast("double")),
         "addr_word_jac": both("addr_norm", F.when((F.size(plain[0]) > 0) | (F.size(plain[1]) > 0), S.jaccard(*plain)).otherwise(-1.0)),
-        "name_cos2": S.count_cosine(*grams("name_nospace", 2)), "name_cos3": S.count_cosine(*grams("name_nospace", 3)), "addr_cos3": both("addr_norm", S.count_cosine(*grams("addr_norm", 3))),
-        "skel_cos3": both("name_skel", S.count_cosine(*grams("name_skel", 3))), "hn_comp_eq": S.equal_or_unknown(a("addr_hn"), b("addr_hn")),
+        "addr_cos3": both("addr_norm", F.col("_c.cos3")), "skel_cos3": both("name_skel", F.col("_s.cos3")), "hn_comp_eq": S.equal_or_unknown(a("addr_hn"), b("addr_hn")),
     } | idf_alignment()
 
 
@@ -104,10 +102,11 @@ def pair_features(candidates: DataFrame, s1: DataFrame, pool: DataFrame, channel
 
     columns = (*RECORD, "weights", "in_s1", "in_pool")
     df = paired(candidates, ready(s1), ready(pool), columns)
+    close = lambda c: tuple(F.replace(F.col(f"{side}_{c}"), F.lit(" "), F.lit("")) for side in "ab")
     names = S.aligned(F.col("a_name_core"), F.col("b_name_core"), "ratio", "tset", "tsort", "partial")
-    df = df.withColumns({"_n": names, "_j": S.aligned(F.col("a_name_nospace"), F.col("b_name_nospace"), "jw"), "_a": S.aligned(F.col("a_addr_norm"), F.col("b_addr_norm"), "ratio", "tset")})
+    df = df.withColumns({"_n": names, "_j": S.aligned(F.col("a_name_nospace"), F.col("b_name_nospace"), "jw", "cos2", "cos3"), "_c": S.aligned(*close("addr_norm"), "cos3"), "_s": S.aligned(*close("name_skel"), "cos3"), "_a": S.aligned(F.col("a_addr_norm"), F.col("b_addr_norm"), "ratio", "tset")})
     addressed = (F.col("a_addr_norm") != "") & (F.col("b_addr_norm") != "")
-    df = df.withColumns(pair_columns() | {f"name_{m}": F.col(f"_n.{m}") for m in ("ratio", "tset", "tsort", "partial")} | {"nospace_jw": F.col("_j.jw")} | {f"addr_{m}": F.when(addressed, F.col(f"_a.{m}")).otherwise(-1.0) for m in ("ratio", "tset")})
+    df = df.withColumns(pair_columns() | {f"name_{m}": F.col(f"_n.{m}") for m in ("ratio", "tset", "tsort", "partial")} | {"nospace_jw": F.col("_j.jw"), "name_cos2": F.col("_j.cos2"), "name_cos3": F.col("_j.cos3")} | {f"addr_{m}": F.when(addressed, F.col(f"_a.{m}")).otherwise(-1.0) for m in ("ratio", "tset")})
     df = df.withColumns({
         "is_s3": F.col("cand_id").startswith("S3-"), "a_name_freq": freq("a_in_s1"), "b_name_freq": freq("b_in_pool"), "b_nonlatin": F.col("b_name_nonlatin"), "b_state_inferred": F.col("b_addr_state_src") == 2,
         "b_name_in_s1": freq("b_in_s1"), "a_name_in_pool": freq("a_in_pool"), "comb": 0.5 * F.col("name_tset") + 0.5 * F.greatest("addr_tset", F.lit(0.0)),

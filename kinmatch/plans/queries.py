@@ -241,7 +241,7 @@ def _cosine(n: int) -> str:
 
 
 query("sim_ngram_cosine", PAIRS + f", {_cosine(2)}, {_cosine(3)} SELECT s1_id, cand_id, cos2, cos3 FROM cos2 JOIN cos3 USING (s1_id, cand_id)")(
-    lambda s, d: _pair_strings(s, d, "name_nospace").select("s1_id", "cand_id", *[F.round(S.count_cosine(X.ngrams(F.col("a_name_nospace"), n), X.ngrams(F.col("b_name_nospace"), n)), 6).alias(f"cos{n}") for n in (2, 3)])
+    lambda s, d: _pair_strings(s, d, "name_nospace").withColumn("m", S.aligned(*_ab("name_nospace"), "cos2", "cos3")).select("s1_id", "cand_id", F.round("m.cos2", 6).alias("cos2"), F.round("m.cos3", 6).alias("cos3"))
 )
 
 
