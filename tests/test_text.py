@@ -49,7 +49,7 @@ def test_name_parts(spark):
 
 def test_skeleton(spark):
     sk = lambda c: X.skeleton(X.words(c))
-    assert values(spark, sk, "mumbai", "bombay limited", "taxi", "shah", "") == ["np", "np", "tks", "sh", ""]
+    assert values(spark, sk, "mumbai", "bombay limited", "taxi", "shah", "") == ["mnp", "pnp", "tks", "sh", ""]
     assert values(spark, sk, "दिल्ली", "delhi") == ["tl", "tlh"]
     assert len(indic_table()[0]) == len(indic_table()[1]) == 9 * 50
 
