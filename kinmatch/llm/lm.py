@@ -26,11 +26,13 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm.common import byte_lists, checkpoint, chunks, id_text, keyed, real_id
+from kinmatch.llm.rolling import slice_hashes, word_places
 
 #: The token that ends a text; no word is empty.
 END = b""
@@ -44,10 +46,13 @@ class Settings:
     classes: int = 64
     size: int = 16
     context: int = 4
-    noise: int = 64
-    batch: int = 1024
+    noise: int = 32
+    batch: int = 2048
     rate: float = 0.1
     rounds: int = 2
+    #: Small corpora are gone through again until about so many tokens have been trained on, `passes` times at most.
+    train_tokens: int = 12_000_000
+    passes: int = 10
     #: Tokens whose counts are broadcast, at most; the counts of all others are joined.
     broadcast_tokens: int = 131_072
     seed: int = 11
@@ -57,11 +62,6 @@ class Settings:
         return 1 + self.words + self.classes
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words of the text with A-Z lower-cased, and the end."""
-    return [*text.lower().split(), END]
-
-
 def held_out() -> Column:
     return F.crc32(id_text().cast("binary")) % 10 == 0
 
@@ -70,6 +70,36 @@ def class_of(token: bytes, classes: int) -> int:
     return zlib.crc32(token[:HASHED]) % classes
 
 
+@dataclass
+class Words:
+    """The words of some texts, A-Z lower-cased: the different ones, which of them each place holds, and how many words each text has."""
+
+    text: bytes
+    start: np.ndarray
+    stop: np.ndarray
+    hashes: np.ndarray
+    codes: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Words:
+        text, starts, stops, counts = word_places([t.lower() for t in texts])
+        codes, hashes = pd.factorize(slice_hashes(text, starts, stops))
+        one = np.zeros(len(hashes), np.int64)
+        one[codes] = np.arange(len(codes))
+        return cls(text, starts[one], stops[one], hashes, codes, counts)
+
+    def bytes_of(self, which: np.ndarray) -> list[bytes]:
+        return [self.text[a:b] for a, b in zip(self.start[which].tolist(), self.stop[which].tolist(), strict=True)]
+
+    def with_ends(self, values: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
+        """A value for every token, words by their own, ends by `end`; and the number of tokens of each text."""
+        sizes = self.counts + 1
+        out = np.full(int(sizes.sum()), end, values.dtype)
+        out[np.arange(len(self.codes)) + np.repeat(np.arange(len(sizes)), self.counts)] = values[self.codes]
+        return out, sizes
+
+
 def count_tokens(docs: DataFrame, most: int = 400_000) -> DataFrame:
     """token (binary) and c over all texts; tasks count first, with no more than about `most` tokens at a time."""
     types = pa.schema([("token", pa.binary()), ("c", pa.int64())])
@@ -79,9 +109,10 @@ def count_tokens(docs: DataFrame, most: int = 400_000) -> DataFrame:
 
     def run(batches):
         counts: Counter[bytes] = Counter()
-        for batch in chunks(batches, 1 << 20):
-            for text in byte_lists(batch.column("text")):
-                counts.update(tokens(text))
+        for batch in chunks(batches, 4 << 20):
+            w = Words.of(byte_lists(batch.column("text")))
+            counts.update(dict(zip(w.bytes_of(np.arange(len(w.hashes))), np.bincount(w.codes, minlength=len(w.hashes)).tolist(), strict=True)))
+            counts[END] += batch.num_rows
             if len(counts) > most:
                 yield out(counts)
                 counts = Counter()
@@ -103,20 +134,6 @@ class Vocabulary:
     class_total: np.ndarray
     class_types: np.ndarray
 
-    def table(self, settings: Settings) -> dict[bytes, tuple[int, float, float, bool]]:
-        """token -> output, its share in the base score, its share within its class, whether known."""
-        low = math.log10(self.total + SMOOTH * (self.types + 1))
-        inside = np.log10(self.class_total + SMOOTH * (self.class_types + 1)) if len(self.class_total) else self.class_total
-        out = {END: (0, math.log10(self.end_count + SMOOTH) - low, 0.0, self.end_count > 0)}
-        for k, (t, c) in enumerate(zip(self.heads, self.counts, strict=True)):
-            share = math.log10(c + SMOOTH)
-            if k < self.words:
-                out[t] = (k + 1, share - low, 0.0, True)
-            else:
-                n = class_of(t, settings.classes)
-                out[t] = (1 + settings.words + n, share - low, share - float(inside[n]), True)
-        return out
-
     def output_counts(self, settings: Settings) -> np.ndarray:
         counts = np.zeros(settings.outputs)
         counts[0] = self.end_count
@@ -125,6 +142,44 @@ class Vocabulary:
         return counts
 
 
+class Lexicon:
+    """What is known of a token: its output, the log of its share in the base score and within its class. Broadcast, it is made once a worker."""
+
+    def __init__(self, vocab: Vocabulary, settings: Settings):
+        self.vocab, self.settings, self.hashes = vocab, settings, None
+
+    def __getstate__(self) -> dict:
+        return {"vocab": self.vocab, "settings": self.settings, "hashes": None}
+
+    def _make(self) -> None:
+        v, s = self.vocab, self.settings
+        stops = np.cumsum([len(t) for t in v.heads], dtype=np.int64)
+        hashes = slice_hashes(b"".join(v.heads), stops - [len(t) for t in v.heads], stops) if v.heads else np.zeros(0, np.uint64)
+        order = np.argsort(hashes)
+        number = np.array([class_of(t, s.classes) for t in v.heads], np.int64)
+        share = np.log10(np.array(v.counts, float) + SMOOTH)
+        low = math.log10(v.total + SMOOTH * (v.types + 1))
+        inside = np.log10(v.class_total + SMOOTH * (v.class_types + 1))
+        word = np.arange(len(v.heads)) < v.words
+        self.base = 1 + s.words
+        out = np.where(word, np.arange(len(v.heads)) + 1, self.base + number)
+        self.out, self.low, self.inside = (x[order] for x in (out, share - low, np.where(word, 0.0, share - inside[number]) if len(number) else share))
+        self.end_low, self.end_known = math.log10(v.end_count + SMOOTH) - low, v.end_count > 0
+        self.hashes = hashes[order]
+
+    def __call__(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the different words: output, base share, share within the class, whether a head. A word that is none has shares of 0, which the join adds."""
+        if self.hashes is None:
+            self._make()
+        at = np.minimum(np.searchsorted(self.hashes, w.hashes), max(0, len(self.hashes) - 1))
+        head = self.hashes[at] == w.hashes if len(self.hashes) else np.zeros(len(w.hashes), bool)
+        out, low, inside = np.zeros(len(head), np.int64), np.zeros(len(head)), np.zeros(len(head))
+        out[head], low[head], inside[head] = self.out[at[head]], self.low[at[head]], self.inside[at[head]]
+        rest = np.flatnonzero(~head)
+        out[rest] = [self.base + class_of(t, self.settings.classes) for t in w.bytes_of(rest)]
+        return out, low, inside, head
+
+
 def vocabulary(counts: DataFrame, settings: Settings) -> Vocabulary:
     """From all counts. The heads are the tokens with counts of at least the least limit that keeps them within broadcast_tokens."""
     words = counts.where(F.length("token") > 0)
@@ -183,17 +238,19 @@ class Model:
             out += self.r[contexts[:, k]] * self.c[k]
         return out
 
-    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, batch: int = 1024) -> np.ndarray:
+    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, batch: int = 512) -> np.ndarray:
         """Natural logs, normalised over all outputs."""
         out = np.empty(len(targets), "f4")
         across = np.ascontiguousarray(np.concatenate([self.q, self.b[:, None]], axis=1).T)
+        ones = np.ones(across.shape[1], "f4")
+        bound, tallest = np.abs(self.q).max(0), float(self.b.max())
         for at in range(0, len(targets), batch):
             p = self.predictions(contexts[at : at + batch])
             scores = np.concatenate([p, np.ones((len(p), 1), "f4")], axis=1) @ across
             own = scores[np.arange(len(p)), targets[at : at + batch]]
-            top = scores.max()
-            np.exp(np.subtract(scores, top, out=scores), out=scores)
-            out[at : at + batch] = own - top - np.log(scores.sum(1))
+            top = max(0.0, float(np.abs(p).max(0) @ bound + tallest) - 80)  # so that no exponential overflows
+            np.exp(scores - np.float32(top) if top else scores, out=scores)
+            out[at : at + batch] = own - top - np.log(scores @ ones)
         return out
 
 
@@ -207,6 +264,12 @@ def contexts_of(ids: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _sums(which: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Rows added up by index."""
+    size = rows.shape[1]
+    return np.bincount((which[:, None] * size + np.arange(size)).ravel(), rows.ravel(), n * size).reshape(n, size).astype("f4")
+
+
 class Trainer:
     """Noise-contrastive steps with Adagrad."""
 
@@ -234,18 +297,10 @@ class Trainer:
         g_own = (-1 / (1 + np.exp(np.clip(own, -30, 30)))).astype("f4")
         g_other = (1 / (1 + np.exp(np.clip(-other, -30, 30)))).astype("f4")
         gp = g_own[:, None] * q + g_other @ m.q[noise]
-        hot = np.zeros((s.outputs, n), "f4")  # sums by index as matrix products
-        at = np.arange(n)
-        hot[targets, at] = g_own
-        gq, gb = hot @ p, hot.sum(1)
-        np.add.at(gq, noise, g_other.T @ p)
-        np.add.at(gb, noise, g_other.sum(0))
-        gr, gc = np.zeros_like(m.r), np.empty_like(m.c)
-        for k in range(s.context):
-            gc[k] = (gp * vectors[k]).sum(0)
-            hot[...] = 0
-            hot[contexts[:, k], at] = 1
-            gr += hot @ (gp * m.c[k])
+        gq = _sums(np.concatenate([targets, noise]), np.concatenate([g_own[:, None] * p, g_other.T @ p]), s.outputs)
+        gb = np.bincount(np.concatenate([targets, noise]), np.concatenate([g_own, g_other.sum(0)]), s.outputs).astype("f4")
+        gr = _sums(contexts.T.ravel(), np.concatenate([gp * c for c in m.c]), s.outputs)
+        gc = np.array([(gp * v).sum(0) for v in vectors], "f4")
         for k, g in enumerate((gr, gq, gc, gb)):
             self._add(k, g / n)
         self.seen += n
@@ -256,13 +311,12 @@ def average(parts: list[tuple[float, np.ndarray]]) -> tuple[float, np.ndarray]:
     return weight, sum(w * x for w, x in parts) / max(weight, 1e-9)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, settings: Settings) -> Model:
-    """From all rows of docs, each in one of the rounds."""
+def train(docs: DataFrame, vocab: Vocabulary, lexicon, settings: Settings) -> Model:
+    """From all rows of docs, each in one of the rounds. lexicon: a broadcast Lexicon."""
     sc = docs.sparkSession.sparkContext
     counts = vocab.output_counts(settings) + SMOOTH
     shares = counts / counts.sum()
     model = Model.new(shares, settings)
-    words = sc.broadcast({t: k + 1 for k, t in enumerate(vocab.heads[: vocab.words])} | {END: 0})
     groups = 16
     sql = "g int, weight double, flat binary"
     types = pa.schema([("g", pa.int32()), ("weight", pa.float64()), ("flat", pa.binary())])
@@ -272,15 +326,14 @@ def train(docs: DataFrame, vocab: Vocabulary, settings: Settings) -> Model:
 
     def passes(start):
         def run(batches):
-            known, trainer, first = words.value, None, 0
-            for batch in chunks(batches, 1 << 20):
-                lists = [tokens(t) for t in byte_lists(batch.column("text"))]
-                base, n = 1 + settings.words, settings.classes
-                ids = np.array([known[t] if t in known else base + class_of(t, n) for own in lists for t in own], np.int64)
+            trainer, first = None, 0
+            for batch in chunks(batches, 4 << 20):
+                w = Words.of(byte_lists(batch.column("text")))
+                ids, sizes = w.with_ends(lexicon.value(w)[0], 0)
                 if trainer is None:
                     first = len(ids)
                     trainer = Trainer(Model.of(start.value, settings), shares, settings, settings.seed + len(ids))
-                contexts = contexts_of(ids, np.array([len(x) for x in lists]), settings.context)
+                contexts = np.asfortranarray(contexts_of(ids, sizes, settings.context))
                 for at in range(0, len(ids), settings.batch):
                     trainer.step(contexts[at : at + settings.batch], ids[at : at + settings.batch])
             if trainer is not None:
@@ -294,9 +347,10 @@ def train(docs: DataFrame, vocab: Vocabulary, settings: Settings) -> Model:
             yield row(0, *average(held))
 
     part = F.pmod(F.xxhash64(id_text()), F.lit(settings.rounds))
-    for k in range(settings.rounds):
+    passes_over = max(1, min(settings.passes, round(settings.train_tokens / max(1, vocab.total))))
+    for k in range(settings.rounds * passes_over):
         start = sc.broadcast(model.flat())
-        mixed = docs.where(part == k).select("text").mapInArrow(passes(start), sql).repartition(groups, "g").mapInArrow(mix, sql).collect()  # one row a group
+        mixed = docs.where(part == k % settings.rounds).select("text").mapInArrow(passes(start), sql).repartition(groups, "g").mapInArrow(mix, sql).collect()  # one row a group
         if mixed:
             model = Model.of(average([(r["weight"], np.frombuffer(r["flat"], "f4").astype("f8")) for r in mixed])[1], settings)
     return model
@@ -320,37 +374,36 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     learn = rows.where(~F.col("held_out"))
     counts = checkpoint(count_tokens(learn))
     vocab = vocabulary(counts, settings)
-    model = train(learn.select("doc_id", "text"), vocab, settings)
-    shared = sc.broadcast((vocab, model))
+    lexicon = sc.broadcast(Lexicon(vocab, settings))
+    model = sc.broadcast(train(learn.select("doc_id", "text"), vocab, lexicon, settings))
 
     def run(batches):
-        vocab, model = shared.value
-        table = vocab.table(settings)
-        base, n = 1 + settings.words, settings.classes
-        for batch in chunks(batches, 1 << 20):
-            lists = [tokens(t) for t in byte_lists(batch.column("text"))]
-            sizes = np.array([len(x) for x in lists])
-            found = [table.get(t) for own in lists for t in own]
-            rest = [k for k, x in enumerate(found) if x is None]
-            every = [t for own in lists for t in own]
-            for k in rest:
-                found[k] = (base + class_of(every[k], n), 0.0, 0.0, False)
-            ids, low, inside, known = (np.array(x) for x in zip(*found, strict=True))
-            logs = model.log_probabilities(contexts_of(ids, sizes, settings.context), ids).astype("f8") / math.log(10) + inside
+        for batch in chunks(batches, 4 << 20):
+            w, known_words = Words.of(byte_lists(batch.column("text"))), lexicon.value
+            out, low, inside, head = known_words(w)
+            ids, sizes = w.with_ends(out, 0)
+            logs = model.value.log_probabilities(contexts_of(ids, sizes, settings.context), ids).astype("f8") / math.log(10) + w.with_ends(inside, 0.0)[0]
             first = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), low, logs)]
-            columns = [batch.column("k1"), batch.column("k2"), batch.column("held_out"), pa.array(sizes), *map(pa.array, sums)]
-            yield pa.RecordBatch.from_arrays(columns, schema=SCORED_TYPES)
+            sums = [np.add.reduceat(x, first) for x in (w.with_ends(head.astype(np.int64), int(known_words.end_known))[0], w.with_ends(low, known_words.end_low)[0], logs)]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("held_out"), pa.array(sizes), *map(pa.array, sums)], schema=SCORED_TYPES)
 
     def others(batches):
-        table = set(shared.value[0].heads) | {END}
         types = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("token", pa.binary()), ("n", pa.int64()), ("head", pa.int64())])
-        for batch in chunks(batches, 1 << 20):
-            out = []
-            for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), byte_lists(batch.column("text")), strict=True):
-                own = Counter([t for t in text.lower().split() if t not in table])
-                out += [(k1, k2, t, c, int(k == 0)) for k, (t, c) in enumerate(own.items())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 5, types.types, strict=True)], schema=types)
+        for batch in chunks(batches, 4 << 20):
+            w = Words.of(byte_lists(batch.column("text")))
+            head = lexicon.value(w)[3]
+            rest = np.flatnonzero(~head)
+            number = np.full(len(head), -1, np.int64)
+            number[rest] = np.arange(len(rest))
+            at = np.flatnonzero(~head[w.codes])
+            doc = np.repeat(np.arange(len(w.counts)), w.counts)[at]
+            codes, pairs = pd.factorize(doc * max(1, len(rest)) + number[w.codes[at]])
+            doc, token = pairs // max(1, len(rest)), pairs % max(1, len(rest))
+            words = pa.array(w.bytes_of(rest), pa.binary()).take(pa.array(token, pa.int64()))
+            first = np.ones(len(doc), np.int64)
+            first[1:] = doc[1:] != doc[:-1]
+            k1, k2 = (batch.column(c).to_numpy()[doc] for c in ("k1", "k2"))
+            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), words, pa.array(np.bincount(codes, minlength=len(pairs)).astype(np.int64)), pa.array(first)], schema=types)
 
     scored = rows.select("k1", "k2", "held_out", "text").mapInArrow(run, SCORED)
     rare = rows.select("k1", "k2", "text").mapInArrow(others, "k1 long, k2 long, token binary, n long, head long")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.llm.common import bounded_batches, byte_lists, checkpoint, chunks
-from kinmatch.llm.rolling import BYTE_SYMBOLS, Slices, spans
+from kinmatch.llm.rolling import slice_hashes, spans, word_places
 
 END_ID = 1
 #: Pieces whose ids a worker keeps, at most; then it begins anew.
@@ -41,7 +41,6 @@ def _bytes(values) -> np.ndarray:
     return out
 
 
-_SPACE = _bytes(b"\t\n\x0b\x0c\r ")
 _PLAIN = _bytes(b"0123456789abcdefghijklmnopqrstuvwxyz")
 _MARK = _bytes(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 #: First bytes of two-byte characters that are letters, but for two signs.
@@ -106,11 +105,8 @@ class WordIds:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         whole = {k: np.array(self._encode([t.decode()])[0], np.uint32).tobytes() for k, t in enumerate(texts) if b"<|" in t}
         lowered = [b"" if k in whole else t.lower() for k, t in enumerate(texts)]
-        text = b" ".join([b"", *lowered, b""])
+        text, starts, stops, _ = word_places(lowered)
         raw = np.frombuffer(text, np.uint8)
-        space = _SPACE[raw]
-        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-        stops = np.flatnonzero(~space[:-1] & space[1:]) + 1
         # the end of a word without its marks, where that is a letter or a digit
         last = np.maximum.accumulate(np.where(_MARK[raw], -1, np.arange(len(raw))))
         ends = last[stops - 1] + 1
@@ -120,7 +116,7 @@ class WordIds:
         b = np.concatenate([np.where(parted, ends, stops), stops[parted]])
         order = np.argsort(a, kind="stable")
         a, b = a[order], b[order]
-        codes, hashes = pd.factorize(Slices(BYTE_SYMBOLS[raw])(a, b))
+        codes, hashes = pd.factorize(slice_hashes(text, a, b))
         one = np.zeros(len(hashes), np.int64)
         one[codes] = np.arange(len(codes))
         at = self._places(hashes, a[one], b[one], text)[codes]

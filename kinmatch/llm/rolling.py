@@ -57,6 +57,24 @@ class Slices:
         return mix((self.sums[stop] - self.sums[start]) * self.down[start])
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_places(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one, where in it words start and stop, and the number of words of each text."""
+    text = b" ".join([b"", *texts, b""])
+    space = _SPACE[np.frombuffer(text, np.uint8)]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    stops = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    return text, starts, stops, np.diff(np.searchsorted(starts, ends, "right"), prepend=0)
+
+
+def slice_hashes(text: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    return Slices(BYTE_SYMBOLS[np.frombuffer(text, np.uint8)])(starts, stops)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The least of every `width` neighbours."""
     span = 1

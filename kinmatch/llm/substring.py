@@ -18,25 +18,17 @@ from pyspark.sql import functions as F
 
 from kinmatch.llm import blobs
 from kinmatch.llm.common import bucket_keys, byte_lists, chunks, keyed, partitions, real_id
-from kinmatch.llm.rolling import BYTE_SYMBOLS, Slices, merged, sliding_min
+from kinmatch.llm.rolling import Slices, merged, slice_hashes, sliding_min, word_places
 
 WIDTH = 35
 RUN = 3
 BLOB_TYPES = {"k1": "int64", "k2": "int64", "doc": "int32", "start": "int32", "n": "int32", "hash": "uint64", "done": "uint8"}
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word of all texts, and the number of words of each text."""
-    raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
-    space = _SPACE[raw]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    stops = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(starts, ends, "right"), prepend=0)
-    return Slices(BYTE_SYMBOLS[raw])(starts, stops), counts
+    text, starts, stops, counts = word_places(texts)
+    return slice_hashes(text, starts, stops), counts
 
 
 def window_hashes(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, ...]:
