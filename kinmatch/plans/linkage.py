@@ -6,7 +6,7 @@ steps and later runs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ class Linkage:
     s1: DataFrame
     pool: DataFrame
     channels: tuple[B.Channel, ...] = B.CHANNELS
-    names: list[str] = field(default_factory=list)
+    rounds: int = 40
 
     def _step(self, name: str, build) -> DataFrame:
         return cached(self.spark, f"{self.work}/{name}", build)
@@ -48,14 +48,14 @@ class Linkage:
     def features(self) -> DataFrame:
         return self._step("features", lambda: features.pair_features(self.candidates(), *self.normalized(), self.channels))
 
-    def first_stage(self, truth: DataFrame, learner=None) -> DataFrame:
+    def first_stage(self, truth: DataFrame) -> DataFrame:
         """Features, label and p, out of fold."""
 
         def build() -> DataFrame:
             df = self.features()
             names = [c for c in df.columns if c not in ("s1_id", "cand_id")]
             labelled = df.join(truth.withColumn("label", F.lit(1)), ["s1_id", "cand_id"], "left").fillna(0, ["label"])
-            return models.out_of_fold(labelled, names, learner=learner)
+            return models.out_of_fold(labelled, names, learner=models.boosted_trees(self.rounds))
 
         return self._step("first_stage", build)
 
@@ -71,7 +71,7 @@ class Linkage:
 
         return self._step("pair_model", build)
 
-    def second_stage(self, truth: DataFrame, learner=None) -> DataFrame:
+    def second_stage(self, truth: DataFrame) -> DataFrame:
         """p1, p2 and the p chosen between them."""
 
         def build() -> DataFrame:
@@ -80,7 +80,7 @@ class Linkage:
             scored = D.model_statistics(first.join(self.pair_model(truth).select("s1_id", "cand_id", "p_llm"), ["s1_id", "cand_id"], "left"), "p_llm")
             table = first.select("s1_id", "cand_id", "label").join(support, ["s1_id", "cand_id"]).join(D.group_statistics(first), ["s1_id", "cand_id"]).join(scored.select("s1_id", "cand_id", "p_llm", "llm_gap"), ["s1_id", "cand_id"])
             names = [c for c in table.columns if c not in ("s1_id", "cand_id", "label")]
-            out = models.out_of_fold(table, names, learner=learner, name="p2")
+            out = models.out_of_fold(table, names, learner=models.boosted_trees(self.rounds), name="p2")
             return D.fall_back(out.select("s1_id", "cand_id", "label", "p1", "p2"))
 
         return self._step("second_stage", build)

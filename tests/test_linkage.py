@@ -221,7 +221,7 @@ def test_whole_chain(spark, tmp_path):
     pool = [(f"S{2 + k % 2}-{k}", f"{streets[k % 8]} {streets[k // 8]} trading", f"{100 + k} {streets[k % 7]} St, Columbus, OH", "USA") for k in range(0, 40, 2)]
     names = "entity_id string, business_name string, business_address string, country string"
     truth = spark.createDataFrame([(f"S1-{k}", f"S{2 + k % 2}-{k}") for k in range(0, 40, 2)], "s1_id string, cand_id string")
-    chain = Linkage(spark, str(tmp_path), spark.createDataFrame(s1, names), spark.createDataFrame(pool, names))
+    chain = Linkage(spark, str(tmp_path), spark.createDataFrame(s1, names), spark.createDataFrame(pool, names), rounds=3)
     assert len(chain.features().columns) == 2 + 71
     found = {(r.s1_id, r.cand_id) for r in chain.matches(truth).collect()}
     want = {(r.s1_id, r.cand_id) for r in truth.collect()}
