@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import bounded_batches, byte_lists, chunks, id_text
+from kinmatch.llm.common import bounded_batches, byte_lists, chunks, id_text, released
 
 UNKNOWN = "und"
 WINDOW = 64
@@ -34,8 +34,11 @@ class Settings:
     hidden: int = 8
     #: Labelled rows that the sample holds for a language, about; and languages, the most frequent first.
     rows_per_language: int = 600
+    #: Windows that a row gives, one after another, at most.
+    windows: int = 4
     languages: int = 64
-    epochs: int = 6
+    #: Steps of training; a small sample is gone through more often.
+    steps: int = 240
     batch: int = 128
     rate: float = 0.02
     seed: int = 7
@@ -137,7 +140,7 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], settings:
     net = Network.new(languages, settings.hidden, rng)
     size, step = settings.hidden, 0
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.arrays()]
-    for _ in range(settings.epochs):
+    while step < settings.steps:
         order = rng.permutation(len(windows))
         for at in range(0, len(order), settings.batch):
             rows = order[at : at + settings.batch]
@@ -190,10 +193,10 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame, settings: Settings = Settings()) -> list[tuple[str, bytes]]:
-    """(lang, a window's bytes) of labelled rows that aren't held out: about rows_per_language of each language, by the ids' hashes.
+    """(lang, bytes) of labelled rows that aren't held out: about rows_per_language of each language, by the ids' hashes.
 
     At most twice that for each of the `languages` most frequent ones; a row
-    gives one window, somewhere in its text.
+    gives up to `windows` windows in a row, somewhere in its text.
     """
     rows = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
@@ -202,15 +205,15 @@ def sample(docs: DataFrame, settings: Settings = Settings()) -> list[tuple[str,
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], settings.rows_per_language / r["count"])])
     h = F.xxhash64(id_text(), F.length("text"))
     chosen = rows.where(F.pmod(h, F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    # the window: bytes from a place that the hash picks
+    # bytes from a place that the hash picks
     raw = F.col("text").cast("binary")
-    at = F.pmod(F.shiftright(h, 20), F.greatest(F.lit(1), F.length(raw) - WINDOW + 1))
-    found = chosen.select("lang", F.base64(F.substring(raw, at.cast("int") + 1, F.lit(WINDOW))).alias("w"), h.alias("h")).orderBy("h", "lang", "w").limit(2 * settings.rows_per_language * len(counts)).collect()
+    at = F.pmod(F.shiftright(h, 20), F.greatest(F.lit(1), F.length(raw) - settings.windows * WINDOW + 1))
+    found = chosen.select("lang", F.base64(F.substring(raw, at.cast("int") + 1, F.lit(settings.windows * WINDOW))).alias("w"), h.alias("h")).orderBy("h", "lang", "w").limit(2 * settings.rows_per_language * len(counts)).collect()
     return [(r["lang"], base64.b64decode(r["w"])) for r in found]
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Network:
-    rows = sample(docs, settings)
+    rows = [(lang, w[k : k + WINDOW]) for lang, w in sample(docs, settings) for k in range(0, len(w), WINDOW)]
     languages = sorted({lang for lang, _ in rows})
     if not rows:
         return Network.new([], settings.hidden, np.random.default_rng(0))
@@ -233,6 +236,7 @@ def identify(docs: DataFrame, net: Network | None = None, settings: Settings = S
     columns = [*(docs.columns if columns is None else columns), "held_out"]
     letters = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
 
+    @released
     def run(batches):
         names = model.value.languages
         for batch in chunks(batches, 4 << 20):
