@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import byte_lists, chunks
+from kinmatch.llm.common import bounded_batches, byte_lists, chunks, released
 
 BLOCK = 576
 FRAME_WIDTH = 576
@@ -101,37 +101,53 @@ class CodeReader:
 
 def lzw_decode(stream: bytes, depth: int, most: int) -> bytes:
     """The samples of a code stream, `most` at the most; a stream that breaks off gives those before."""
-    clear, end = 1 << depth, (1 << depth) + 1
-    roots = [bytes([k]) for k in range(clear)] + [b"", b""]
+    clear = 1 << depth
+    roots = [bytes([k]) for k in range(clear)] + [b"", b""]  # neither the clear nor the end code has samples
     reader, out, made = CodeReader(stream), [], 0
     table, width, before = list(roots), depth + 1, b""
     while made < most:
         # a code adds an entry to the table, but for the first after a clear
-        room = (1 << width) - len(table) + (not before) if width < 12 or len(table) < MOST_CODES else 4096
+        room = MOST_CODES if len(table) == MOST_CODES else (1 << width) - len(table) + (not before)
         codes = reader.take(max(1, room), width)
         if not codes:
             break
-        used = 0
-        for code in codes:
-            used += 1
-            if code == clear:
-                table, before = list(roots), b""
-                break
-            if code == end:
-                return b"".join(out)[:most]
-            if code < len(table):
+        start, used, entry = len(out), 0, b""
+        if not before:
+            used, before = 1, table[codes[0]] if codes[0] < len(table) else b""
+            entry = before
+            if before:
+                out.append(before)
+        if before and len(table) < MOST_CODES:
+            put, add = out.append, table.append
+            for used, code in enumerate(codes[used:], used + 1):  # noqa: B007
+                try:
+                    entry = table[code]
+                except IndexError:
+                    if code > len(table):
+                        entry = b""
+                        break
+                    entry = before + before[:1]
+                if not entry:
+                    break
+                put(entry)
+                add(before + entry[:1])
+                before = entry
+        elif before:
+            for used, code in enumerate(codes[used:], used + 1):
                 entry = table[code]
-            elif code == len(table) and before:
-                entry = before + before[:1]
-            else:
-                return b"".join(out)[:most]
-            out.append(entry)
-            made += len(entry)
-            if before and len(table) < MOST_CODES:
-                table.append(before + entry[:1])
-            before = entry
+                if not entry:
+                    break
+                out.append(entry)
+                before = entry
+        made += sum(map(len, out[start:]))
+        code = codes[used - 1]
+        if not entry and code != clear and used:
+            break  # the end, or no code of this table
         reader.at += used * width
-        width = depth + 1 if not before else max(width, min(12, len(table).bit_length()))
+        if not entry:
+            table, before, width = list(roots), b"", depth + 1
+        else:
+            width = max(width, min(12, len(table).bit_length()))
     return b"".join(out)[:most]
 
 
@@ -166,20 +182,17 @@ class Frame:
     canvas: np.ndarray | None  # (height, width, 4) of red, green, blue, alpha
     histogram: np.ndarray  # shares of BINS colours, of what shows
 
-    def grey(self) -> bool:
-        return self.canvas is not None and bool((self.canvas[..., :3] == self.canvas[..., :1]).all())
-
 
 def histogram(rgba: np.ndarray) -> np.ndarray:
     """How many visible pixels have each of the coarse colours."""
-    flat = rgba.reshape(-1, 4)
-    flat = flat[flat[:, 3] > 0]
-    bins = (flat[:, 0] >> 6).astype(np.int64) * 16 + (flat[:, 1] >> 6) * 4 + (flat[:, 2] >> 6)
-    return np.bincount(bins, minlength=BINS)
+    parts = rgba.reshape(-1, 4)
+    bins = (parts[:, 0] >> 6) * np.uint8(16) + (parts[:, 1] >> 6) * np.uint8(4) + (parts[:, 2] >> 6)
+    bins[parts[:, 3] == 0] = BINS
+    return np.bincount(bins, minlength=BINS + 1)[:BINS]
 
 
-def read_gif(data: bytes) -> Iterator[Frame]:
-    """The frames of a file; one that breaks off ends with its last whole image."""
+def read_gif(data: bytes, canvases: bool = True) -> Iterator[Frame]:
+    """The frames of a file, with copies of the canvas if wanted; one that breaks off ends with its last whole image."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         return
     wide, high, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
@@ -230,14 +243,15 @@ def read_gif(data: bytes) -> Iterator[Frame]:
         before = canvas.copy() if disposal == 3 else None
         spot = canvas[top : top + h, left : left + w]
         shown = pixels[: spot.shape[0], : spot.shape[1]]
-        drawn = np.full((*shown.shape, 4), 255, np.uint8)
-        drawn[..., :3] = colours[np.minimum(shown, len(colours) - 1)]
+        shades = np.full((256, 4), 255, np.uint8)
+        shades[:, :3] = colours[np.minimum(np.arange(256), len(colours) - 1)]
+        drawn = shades.view(np.uint32).ravel()[shown].view(np.uint8).reshape(*shown.shape, 4)
         if clear_index >= 0:
             seen = shown != clear_index
             spot[seen] = drawn[seen]
         else:
             spot[...] = drawn
-        yield Frame(samples, (left, top, w, h), delay, disposal, canvas.copy(), histogram(canvas))
+        yield Frame(samples, (left, top, w, h), delay, disposal, canvas.copy() if canvases else None, histogram(canvas))
         if disposal == 2:
             spot[...] = 0
         elif disposal == 3:
@@ -269,7 +283,7 @@ def media_columns(docs: DataFrame, keep: bool = False) -> DataFrame:
     def store(text: bytes) -> tuple:
         media = write_gif(padded(text))
         parts, frames, total, clock = [], [], np.zeros(BINS, np.int64), 0
-        for frame in read_gif(media):
+        for frame in read_gif(media, canvases=False):
             parts.append(frame.samples)
             frames.append({"shown_at": clock, "delay": frame.delay, "histogram": frame.histogram.tolist()})
             total += frame.histogram
@@ -278,10 +292,11 @@ def media_columns(docs: DataFrame, keep: bool = False) -> DataFrame:
         filled = ",".join(f"{k:02x}:{n}" for k, n in enumerate(total.tolist()) if n)
         return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(frames)}|{clock}|{filled}", frames, media if keep else None
 
+    @released
     def run(batches):
         for batch in chunks(batches, 4 << 20):
             rows = [(doc, *store(text)) for doc, text in zip(batch.column("doc_id").to_pylist(), byte_lists(batch.column("text")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types.types, strict=True)], schema=types)
 
-    stored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, sql)
+    stored = bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, sql)
     return stored if keep else stored.drop("media")
