@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm import blobs
-from kinmatch.llm.common import bucket_keys, byte_lists, chunks, keyed, others, partitions, real_id
+from kinmatch.llm.common import bucket_keys, byte_lists, chunks, keyed, others, partitions, real_id, released
 from kinmatch.llm.induced import LIMIT, suffix_array
 from kinmatch.llm.rolling import BYTE_SYMBOLS, Slices, merged, mix, sliding_min, spans
 
@@ -96,12 +96,16 @@ def contexts(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, ...]:
 
 
 def once(place: np.ndarray, start: np.ndarray, core: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by core, context, document's place and start; and where in it an equal context stands before."""
+    """The contexts but for those that equal an earlier one, and those that do.
+
+    A context that only a repeated row of the document has again is in neither.
+    """
     order = np.lexsort((start, place, context, core))
     a, c = core[order], context[order]
-    same = np.zeros(len(order), bool)
-    same[1:] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
-    return order, same
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    return order[new], order[(place[order] != place[lead]) | (start[order] != start[lead])]
 
 
 def place_of(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
@@ -120,14 +124,12 @@ def context_blobs(docs: DataFrame, width: int, flush: int = 16 << 20) -> DataFra
 
     def send(parts, k1, k2):
         doc, start, n, at_core, core, context = map(np.concatenate, zip(*parts, strict=True))
-        order, same = once(place_of(k1, k2)[doc], start, core, context)
+        kept, gone = once(place_of(k1, k2)[doc], start, core, context)
         rows = []
-        gone = order[same]
         d, a, b = merged(doc[gone], start[gone], start[gone] + n[gone] + width - 1)
         if len(d):
             own1, own2, at = blobs.documents_of(d, k1, k2)
             rows.append((keys[int(k2[d[0]]) % len(keys)], own1, own2, at, a.astype("int32").tobytes(), (b - a).astype("int32").tobytes(), b"", b"", b""))
-        kept = order[~same]
         bucket = (mix(core[kept]) % np.uint64(len(keys))).astype(np.int32)
         kept = kept[np.lexsort((start[kept], doc[kept], bucket))]
         edges = np.searchsorted(np.sort(bucket), np.arange(len(keys) + 1))
@@ -137,6 +139,7 @@ def context_blobs(docs: DataFrame, width: int, flush: int = 16 << 20) -> DataFra
                 rows.append((keys[k], *blobs.documents_of(doc[x], k1, k2), start[x].astype("int32").tobytes(), n[x].astype("int32").tobytes(), at_core[x].astype("uint16").tobytes(), core[x].tobytes(), context[x].tobytes()))
         return blobs.batch(rows, types)
 
+    @released
     def run(batches):
         parts, keys1, keys2, size, before = [], [], [], 0, 0
         for batch in chunks(batches, 2 << 20):
@@ -153,7 +156,7 @@ def context_blobs(docs: DataFrame, width: int, flush: int = 16 << 20) -> DataFra
         if parts:
             yield send(parts, np.concatenate(keys1), np.concatenate(keys2))
 
-    return docs.mapInArrow(run, sql)
+    return docs.select("k1", "k2", "text").mapInArrow(run, sql)
 
 
 MET = pa.schema([*blobs.INTERVALS, ("at", pa.int32()), ("core", pa.int64()), ("hot", pa.bool_())])
@@ -169,6 +172,7 @@ def meet(sent: DataFrame, width: int, most_contexts: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(start), MET.field(n).type) for n in ("at", "core", "hot"))], schema=MET)
         return pa.RecordBatch.from_arrays([*columns, pa.array(at.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(hot)], schema=MET)
 
+    @released
     def run(batches):
         local, held = [], []
         for b in batches:
@@ -179,11 +183,9 @@ def meet(sent: DataFrame, width: int, most_contexts: int) -> DataFrame:
         yield rows(own, own["doc"], own["start"], own["start"].astype(np.int64) + own["n"])
         a = blobs.arrays(held, SENT)
         blobs.same_documents(a)
-        order, same = once(a["doc"], a["start"], a["core"], a["context"])
-        gone = order[same]
+        kept, gone = once(a["doc"], a["start"], a["core"], a["context"])
         doc, start, stop = merged(a["doc"][gone], a["start"][gone], a["start"][gone].astype(np.int64) + a["n"][gone] + width - 1)
         yield rows(a, doc, start, stop)
-        kept = order[~same]
         core = a["core"][kept]
         new = np.ones(len(kept), bool)
         new[1:] = core[1:] != core[:-1]
@@ -200,7 +202,8 @@ def fetch(docs: DataFrame, needed: DataFrame, width: int, flush: int = 16 << 20)
     keys = bucket_keys(docs.sparkSession, partitions(docs.sparkSession))
     names = ("start", "stop", "at", "core", "hot")
     wanted = needed.groupBy("k1", "k2").agg(F.collect_list(F.struct(*names)).alias("w"))
-    joined = docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", *[F.col(f"w.{c}").alias(c) for c in names])
+    # all columns, so that the final join can read the same shuffle files
+    joined = docs.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select(*docs.columns, *[F.col(f"w.{c}").alias(c) for c in names])
 
     def send(found, k1, k2):
         rows: dict[int, list] = {}
@@ -214,6 +217,7 @@ def fetch(docs: DataFrame, needed: DataFrame, width: int, flush: int = 16 << 20)
             out.append((keys[k], *blobs.documents_of(np.array(doc), k1, k2), *columns, b"".join(parts)))
         return blobs.batch(out, types)
 
+    @released
     def run(batches):
         found, k1, k2, size = [], [], [], 0
         for batch in chunks(batches, 8 << 20):
@@ -271,9 +275,10 @@ def later_windows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, at: np.ndar
     return later
 
 
-def sorted_intervals(fetched: DataFrame, width: int, limit: int, text_bytes: int = 1 << 20) -> DataFrame:
+def sorted_intervals(fetched: DataFrame, width: int, limit: int, text_bytes: int = 1 << 18) -> DataFrame:
     """The intervals of the windows that the suffix arrays show to come later."""
 
+    @released
     def run(batches):
         a = blobs.arrays(batches, FETCHED)
         blobs.same_documents(a)
@@ -333,6 +338,7 @@ def remove_earlier(docs: DataFrame, width: int = WIDTH, most_contexts: int = MOS
     rows = keyed(docs)
     types = pa.schema([("k1", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
+    @released
     def cut(batches):
         for batch in chunks(batches, 8 << 20):
             out = []
@@ -352,9 +358,10 @@ def cut_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     No row goes, a null text becomes empty, and an n_chars column is counted again.
     """
     rows = keyed(docs, others(docs))
-    joined = blobs.with_intervals(rows, earlier_intervals(rows.select("k1", "k2", "text"), width))
+    joined = blobs.with_intervals(rows, earlier_intervals(rows, width))
     joined = joined.select("row", "text", "starts", "stops")
 
+    @released
     def cut(batches):
         for batch in chunks(batches, 8 << 20):
             texts = [kept_parts(*x)[0].decode(errors="ignore") for x in _texts(batch)]
