@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,30 @@ def bounded_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataF
     return df
 
 
+def _made(cls: type, state: dict | None):
+    out = cls.__new__(cls)
+    if hasattr(out, "__setstate__"):
+        out.__setstate__(state)
+    else:
+        out.__dict__.update(state or {})
+    return out
+
+
+class _Making:
+    def __init__(self, cls: type, state: dict | None):
+        self.parts = cls, state
+
+    def __reduce__(self):
+        return _made, self.parts
+
+
+class ByValue:
+    """Objects for broadcasts: pickled with their class, so that executors need no copy of this package."""
+
+    def __reduce__(self):
+        return cloudpickle.loads, (cloudpickle.dumps(_Making(type(self), self.__getstate__())),)
+
+
 def released(run: Callable) -> Callable:
     """`run` for mapInArrow, whose freed memory goes back to the system at the task's end, as Python's workers live on."""
 

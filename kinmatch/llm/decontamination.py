@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmatch.llm.common import bounded_batches, byte_lists, chunks
+from kinmatch.llm.common import bounded_batches, byte_lists, ByValue, chunks, released
 from kinmatch.llm.rolling import Slices
 
 WIDTH = 8
@@ -66,7 +66,7 @@ def describe(word: bytes) -> bytes:
     return xxhash.xxh64_intdigest(low, 7).to_bytes(8, "little") + bytes([flags])
 
 
-class Templates:
+class Templates(ByValue):
     """Template words of texts. Broadcast, it keeps its words from task to task of a worker."""
 
     def __init__(self, cached: int = CACHED_WORDS):
@@ -99,7 +99,7 @@ class Templates:
 
 
 @dataclass
-class Block:
+class Block(ByValue):
     """Some items of the benchmark: their windows by hash, in order, and their slots."""
 
     items: list[int | None]
@@ -206,6 +206,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches",
 def _matcher(block, templates, column: str, cover: float):
     names = [f.name for f in MATCH.elementType.fields]
 
+    @released
     def run(batches):
         for batch in chunks(batches, 2 << 20):
             found = alignments(byte_lists(batch.column("text")), block.value, templates.value, cover)

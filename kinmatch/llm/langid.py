@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import bounded_batches, byte_lists, chunks, id_text, released
+from kinmatch.llm.common import bounded_batches, byte_lists, ByValue, chunks, id_text, released
 
 UNKNOWN = "und"
 WINDOW = 64
@@ -45,7 +45,7 @@ class Settings:
 
 
 @dataclass
-class Network:
+class Network(ByValue):
     """For each direction: `x` (256, 3H) adds a byte's share to the gates, `u` (3H, H) the state's; gates are reset, update, new."""
 
     languages: list[str]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import byte_lists, checkpoint, chunks, id_text, keyed, real_id
+from kinmatch.llm.common import byte_lists, ByValue, checkpoint, chunks, id_text, keyed, real_id, released
 from kinmatch.llm.rolling import slice_hashes, word_places
 
 #: The token that ends a text; no word is empty.
@@ -107,6 +107,7 @@ def count_tokens(docs: DataFrame, most: int = 400_000) -> DataFrame:
     def out(counts):
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=types)
 
+    @released
     def run(batches):
         counts: Counter[bytes] = Counter()
         for batch in chunks(batches, 4 << 20):
@@ -142,7 +143,7 @@ class Vocabulary:
         return counts
 
 
-class Lexicon:
+class Lexicon(ByValue):
     """What is known of a token: its output, the log of its share in the base score and within its class. Broadcast, it is made once a worker."""
 
     def __init__(self, vocab: Vocabulary, settings: Settings):
@@ -206,7 +207,7 @@ def vocabulary(counts: DataFrame, settings: Settings) -> Vocabulary:
 
 
 @dataclass
-class Model:
+class Model(ByValue):
     """r: input vectors, q: output vectors, c: a scale for each place of the context, b: biases."""
 
     r: np.ndarray
@@ -325,6 +326,7 @@ def train(docs: DataFrame, vocab: Vocabulary, lexicon, settings: Settings) -> Mo
         return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([weight]), pa.array([flat.astype("f4").tobytes()])], schema=types)
 
     def passes(start):
+        @released
         def run(batches):
             trainer, first = None, 0
             for batch in chunks(batches, 4 << 20):
@@ -377,6 +379,7 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     lexicon = sc.broadcast(Lexicon(vocab, settings))
     model = sc.broadcast(train(learn.select("doc_id", "text"), vocab, lexicon, settings))
 
+    @released
     def run(batches):
         for batch in chunks(batches, 4 << 20):
             w, known_words = Words.of(byte_lists(batch.column("text"))), lexicon.value
@@ -387,6 +390,7 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
             sums = [np.add.reduceat(x, first) for x in (w.with_ends(head.astype(np.int64), int(known_words.end_known))[0], w.with_ends(low, known_words.end_low)[0], logs)]
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("held_out"), pa.array(sizes), *map(pa.array, sums)], schema=SCORED_TYPES)
 
+    @released
     def others(batches):
         types = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("token", pa.binary()), ("n", pa.int64()), ("head", pa.int64())])
         for batch in chunks(batches, 4 << 20):

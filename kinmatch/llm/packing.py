@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import bounded_batches, byte_lists, checkpoint, chunks
+from kinmatch.llm.common import bounded_batches, byte_lists, ByValue, checkpoint, chunks, released
 from kinmatch.llm.rolling import slice_hashes, spans, word_places
 
 END_ID = 1
@@ -51,7 +51,7 @@ def piece_lengths(n: int, most: int) -> list[int]:
     return [most] * (n // most) + ([n % most] if n % most else [])
 
 
-class WordIds:
+class WordIds(ByValue):
     """Texts' token ids as little-endian 32-bit bytes.
 
     The tokenizer lowers case, never joins what white space parts, and splits
@@ -136,6 +136,7 @@ def cut_pieces(docs: DataFrame, model: str, max_tokens: int = 4096, end_id: int
     types = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = np.array([end_id], "<u4").tobytes()
 
+    @released
     def cut(batches):
         for batch in chunks(batches, 4 << 20):
             rows = []

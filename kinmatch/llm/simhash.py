@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import byte_lists, checkpoint, chunks, keyed, others, partitions, real_id
+from kinmatch.llm.common import byte_lists, checkpoint, chunks, keyed, others, partitions, real_id, released
 
 SEED = 42
 BITS = 64
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """k1, k2 and fp, the fingerprint as a signed long, of every row of keyed documents."""
     types = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("fp", pa.int64())])
 
+    @released
     def run(batches):
         for batch in chunks(batches, 8 << 20):
             fps = [signed(fingerprint(shingle_hashes(t, width))) for t in byte_lists(batch.column("text"))]
@@ -147,6 +148,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, split: bool | None = None
     shards = fps.select("fp", F.explode(keys).alias("shard")).repartition(partitions(spark), "shard").sortWithinPartitions("shard", "fp")
     types = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @released
     def search(batches):
         shard, held, out = None, [], []
         for batch in batches:
@@ -218,5 +220,5 @@ def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     """
     rows = keyed(docs, others(docs))
     first = components(rows, radius, width).groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("f")).select("f.k1", "f.k2")
-    kept = rows.join(first.distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    kept = rows.join(first.distinct().hint("shuffle_hash"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

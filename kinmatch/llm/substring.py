@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm import blobs
-from kinmatch.llm.common import bucket_keys, byte_lists, chunks, keyed, partitions, real_id
+from kinmatch.llm.common import bucket_keys, byte_lists, chunks, keyed, partitions, real_id, released
 from kinmatch.llm.rolling import Slices, merged, slice_hashes, sliding_min, word_places
 
 WIDTH = 35
@@ -84,6 +84,7 @@ def window_blobs(docs: DataFrame, width: int, flush: int = 12 << 20) -> DataFram
             rows.append((keys[k], own1, own2, own, start[a:b][at].tobytes(), np.diff(np.append(at, b - a)).astype("int32").tobytes(), hashes[a:b].tobytes(), done[a:b].astype("uint8").tobytes()))
         return blobs.batch(rows, types)
 
+    @released
     def run(batches):
         parts, keys1, keys2, size, docs_so_far = [], [], [], 0, 0
         for batch in chunks(batches, 2 << 20):
@@ -107,6 +108,7 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """k1, k2, start, stop: the words of a keyed document that repeated windows cover."""
     sent = window_blobs(docs, width).repartition(partitions(docs.sparkSession), "bucket")
 
+    @released
     def count(batches):
         local, held = [], []
         for b in batches:
@@ -136,6 +138,7 @@ def remove_repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = keyed(docs)
     types = pa.schema([("k1", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
+    @released
     def cut(batches):
         for batch in chunks(batches, 8 << 20):
             out = []
