@@ -1,8 +1,8 @@
 """Record linkage on Spark DataFrames.
 
-Functions handed to Spark's Python workers are pickled by value. Models and
-caches that operators broadcast are pickled by name, so on a cluster the
-package goes to the executors too (`--py-files`).
+Functions handed to Spark's Python workers, and objects that operators
+broadcast, are pickled with their code, so a cluster needs no copy of this
+package on its executors.
 """
 
 import sys
