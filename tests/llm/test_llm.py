@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kinmatch.llm import decontamination, gif, induced, langid, lm, packing, queries, rolling, sharding, simhash, substring, suffix, urlfilter
+from kinmatch.llm import decontamination, gif, induced, jaccard, langid, lm, packing, queries, rolling, sharding, simhash, substring, suffix, urlfilter
 
 DOCS = "doc_id long, text string"
 #: A null text and id, empty and repeated rows, and columns whose names the operators use themselves.
@@ -538,6 +538,44 @@ def test_simhash_odd(spark, odd, none):
     assert kept.where("doc_id = 4").count() <= 2 and kept.where("text = ''").count() == 1
 
 
+# ---------------------------------------------------------------- near-duplicates of the pipeline
+def brute_similar(rows):
+    """The least id of each group that 5-word shingles of similarity 0.8 link."""
+    sets = {}
+    for i, t in rows:
+        words = (t or "").encode().lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    return set(root.values())
+
+
+def test_near_copies(spark, odd, none):
+    import corpus_pipeline as P
+
+    random.seed(10)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
+    rows = [(0, None), (1, ""), (2, "a b c"), (3, "A  b c"), (4, "a b d")]
+    for k in range(40):
+        base = [word() for _ in range(random.randint(60, 200))]
+        for copy in range(4):
+            own = list(base)
+            for _ in range(random.choice([0, 1, 2, 4])):  # similarities on both sides of 0.8
+                own[random.randrange(len(own))] = word()
+            rows.append((10 + 4 * k + copy, " ".join(own)))
+    want = brute_similar(rows)
+    got = {r.doc_id for r in P.near_duplicates(spark, frame(spark, rows), "").collect()}
+    assert got == want
+    old = {r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()}
+    assert len(old) > len(want)
+    assert P.near_duplicates(spark, odd, "").columns == odd.columns and P.near_duplicates(spark, none, "").count() == 0
+    assert P.near_duplicates(spark, odd, "").where("text = ''").count() == 1
+
+
 # ---------------------------------------------------------------- the pipeline
 def test_pipeline(spark, sf_dir, duck):
     import corpus_pipeline as P
