@@ -8,6 +8,11 @@ between a document and an item form an alignment; its slots, the values behind
 the placeholders, must map one to one from item to document, so that a question
 with other numbers or names is found and one that merely looks alike is not.
 
+Texts are read twice. The loose reading takes sentence-initial capitals for
+names too, and a run of names or numbers for one placeholder. A match may have
+words put in or left out: where no offset covers enough, the words around a
+shared window are aligned, and runs of BLOCK_WORDS equal words and more count.
+
 The benchmark is taken in blocks of bounded size. A block's windows are
 broadcast; documents are read once for each block and never shuffled.
 """
@@ -18,6 +23,7 @@ import math
 import re
 from collections import defaultdict
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinmatch.llm.common import bounded_batches, byte_lists, ByValue, chunks, released
-from kinmatch.llm.rolling import Slices
+from kinmatch.llm.rolling import mix, Slices
 
 WIDTH = 8
 #: The share of an item's template words that an alignment has to cover, and how many it takes at least.
@@ -34,6 +40,8 @@ COVER = 0.6
 LEAST_WORDS = 5
 #: Literal words that a window needs; placeholders alone say nothing.
 LITERALS = 3
+#: Equal words in a row that count in an alignment with words put in or left out.
+BLOCK_WORDS = 4
 BLOCK_BYTES = 16 << 20
 CACHED_WORDS = 400_000
 
@@ -49,7 +57,7 @@ WORD, NUM, UNIT, NAME = 0, 1, 2, 3
 #: What stands for a placeholder among the words' hashes.
 SLOT = np.array([0, 0x6E756D6265720001, 0x756E697400000002, 0x6E616D6500000003], np.uint64)
 _ROW = np.dtype([("value", "<u8"), ("flags", "u1")])
-_NUMBER, _UNIT, _CAPITAL, _STOP, _EMPTY = 1, 2, 4, 8, 16
+_NUMBER, _UNIT, _CAPITAL, _STOP, _EMPTY, _MARK = 1, 2, 4, 8, 16, 32
 
 
 def describe(word: bytes) -> bytes:
@@ -63,6 +71,7 @@ def describe(word: bytes) -> bytes:
     flags |= _CAPITAL if bare[:1].isalpha() and bare[:1].isupper() or bare[:1] > b"\x7f" and bare.decode(errors="replace")[:1].isupper() else 0
     flags |= _STOP if word.endswith(STOPS) else 0
     flags |= 0 if bare else _EMPTY
+    flags |= _MARK if word[-1:] in MARKS else 0
     return xxhash.xxh64_intdigest(low, 7).to_bytes(8, "little") + bytes([flags])
 
 
@@ -75,8 +84,8 @@ class Templates(ByValue):
     def __getstate__(self) -> dict:
         return vars(self) | {"known": {}}
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """For every template word of all texts: its text, its hash, its kind, and its own value's hash."""
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every word of all texts: its text, what may be made of it, and its hash."""
         lists = [t.split() for t in texts]
         words, known = set().union(*lists), self.known
         if len(known) > self.cached:
@@ -85,17 +94,28 @@ class Templates(ByValue):
             known[w] = describe(w)
         rows = np.frombuffer(b"".join([known[w] for own in lists for w in own]), _ROW)
         doc = np.repeat(np.arange(len(texts)), [len(x) for x in lists])
-        flags, value = rows["flags"], rows["value"]
+        return doc, rows["flags"], rows["value"]
+
+    @staticmethod
+    def reading(doc: np.ndarray, flags: np.ndarray, value: np.ndarray, loose: bool = False) -> tuple[np.ndarray, ...]:
+        """For every template word of all texts: its text, its hash, its kind, its own value's hash, and its place among the words."""
         stop = (flags & _STOP) > 0
-        begins = np.ones(len(rows), bool)  # a sentence
+        begins = np.ones(len(doc), bool)  # a sentence
         begins[1:] = stop[:-1] | (doc[1:] != doc[:-1])
         number = (flags & _NUMBER) > 0
-        follows = np.zeros(len(rows), bool)
+        follows = np.zeros(len(doc), bool)
         follows[1:] = number[:-1] & (doc[1:] == doc[:-1])
-        kind = np.where(number, NUM, np.where(follows & ((flags & _UNIT) > 0), UNIT, np.where(((flags & _CAPITAL) > 0) & ~begins, NAME, WORD)))
+        kind = np.where(number, NUM, np.where(follows & ((flags & _UNIT) > 0), UNIT, np.where(((flags & _CAPITAL) > 0) & (~begins | loose), NAME, WORD)))
         kept = (flags & _EMPTY) == 0
-        doc, kind, value = doc[kept], kind[kept], value[kept]
-        return doc, np.where(kind == WORD, value, SLOT[kind]), kind, value
+        doc, kind, value, marked, place = doc[kept], kind[kept], value[kept], (flags[kept] & _MARK) > 0, np.arange(int(kept.sum()))
+        if loose and len(doc):
+            goes_on = np.zeros(len(doc), bool)
+            goes_on[1:] = (kind[1:] == kind[:-1]) & ((kind[1:] == NAME) | (kind[1:] == NUM)) & (doc[1:] == doc[:-1]) & ~marked[:-1]
+            first = np.flatnonzero(~goes_on)
+            inside = place - first[np.cumsum(~goes_on) - 1]
+            value = np.add.reduceat(mix(value + inside.astype(np.uint64)), first)
+            doc, kind, place = doc[first], kind[first], place[first]
+        return doc, np.where(kind == WORD, value, SLOT[kind]), kind, value, place
 
 
 @dataclass
@@ -111,16 +131,22 @@ class Block(ByValue):
     windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # width -> hashes, items, offsets
 
 
-def block_of(items: list[int | None], texts: list[bytes], width: int = WIDTH) -> Block:
-    doc, template, kind, value = Templates()(texts)
+def window_width(size: int, width: int = WIDTH) -> int:
+    """So wide that an item with one word changed still has a whole window."""
+    return min(width, size, max(BLOCK_WORDS, (size - 1) // 2))
+
+
+def block_of(items: list[int | None], texts: list[bytes], width: int = WIDTH, loose: bool = False) -> Block:
+    doc, template, kind, value, _ = Templates.reading(*Templates().words(texts), loose)
     sizes = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(sizes) - sizes
     windows = {}
-    for w in sorted({min(width, int(n)) for n in sizes if n >= LEAST_WORDS}):
+    widths = np.array([window_width(int(n), width) if n >= LEAST_WORDS else 0 for n in sizes], np.int64)
+    for w in sorted(set(widths.tolist()) - {0}):
         hashes = Slices(template).runs(w)
         at = np.arange(len(hashes))
         own = doc[at] if len(at) else at
-        fits = (own == doc[at + w - 1]) & (np.minimum(width, sizes[own]) == w) & enough(kind, w) if len(at) else np.zeros(0, bool)
+        fits = (own == doc[at + w - 1]) & (widths[own] == w) & enough(kind, w) if len(at) else np.zeros(0, bool)
         at = at[fits][np.argsort(hashes[fits], kind="stable")]
         windows[w] = hashes[at], doc[at], at - first[doc[at]]
     return Block(items, sizes, first, template, kind, value, windows)
@@ -139,10 +165,32 @@ def consistent(kind: np.ndarray, ours: np.ndarray, theirs: np.ndarray) -> bool:
     return len(pairs) == len({p[:2] for p in pairs}) == len({(p[0], p[2]) for p in pairs})
 
 
-def alignments(texts: list[bytes], block: Block, templates: Templates, cover: float = COVER) -> dict[int, list[tuple]]:
-    """For each text with a match, its items: (item, words covered, words of the item, where, slots, slots with the item's own values)."""
-    doc, template, kind, value = templates(texts)
-    begins = np.searchsorted(doc, np.arange(len(texts)))
+def gapped(ours: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both of the words that an alignment in order covers."""
+    runs = [b for b in SequenceMatcher(None, ours.tolist(), theirs.tolist(), autojunk=False).get_matching_blocks() if b.size >= BLOCK_WORDS]
+    places = lambda starts: np.concatenate([np.arange(a, a + b.size) for a, b in zip(starts, runs, strict=True)]) if runs else np.zeros(0, np.int64)
+    return places([b.a for b in runs]), places([b.b for b in runs])
+
+
+def alignments(texts: list[bytes], blocks: tuple[Block, Block], templates: Templates, cover: float = COVER) -> dict[int, list[tuple]]:
+    """For each text with a match, its items: (item, words covered, words of the item, where, slots, slots with the item's own values).
+
+    blocks: the items in both readings. What the strict reading finds is told by it.
+    """
+    words = templates.words(texts)
+    best: dict[tuple[int, int], tuple] = {}
+    for loose in (True, False):
+        best |= _found(len(texts), Templates.reading(*words, loose), blocks[loose], cover)
+    out: dict[int, list[tuple]] = defaultdict(list)
+    for d, item in sorted(best):
+        out[d].append(best[d, item])
+    return out
+
+
+def _found(n: int, read: tuple[np.ndarray, ...], block: Block, cover: float) -> dict[tuple[int, int], tuple]:
+    """The best alignment of each text and item in one reading."""
+    doc, template, kind, value, place = read
+    begins = np.searchsorted(doc, np.arange(n))
     ends = np.append(begins[1:], len(doc))
     lines: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
     for width, (hashes, items, offsets) in block.windows.items():
@@ -156,6 +204,17 @@ def alignments(texts: list[bytes], block: Block, templates: Templates, cover: fl
             for k in range(a, b):
                 lines[int(doc[p]), int(items[k]), p - int(offsets[k])].append((int(offsets[k]), width))
     best: dict[tuple[int, int], tuple] = {}
+
+    def take(d: int, item: int, theirs: np.ndarray, ours: np.ndarray) -> None:
+        theirs = block.first[item] + theirs
+        if not consistent(block.kind[theirs], block.value[theirs], value[ours]):
+            return
+        slots = block.kind[theirs] != WORD
+        same = int((block.value[theirs][slots] == value[ours][slots]).sum())
+        row = (block.items[item], len(theirs), int(block.sizes[item]), int(place[ours[0]] - place[begins[d]]), int(slots.sum()), same)
+        if (d, item) not in best or (-row[1], row[3]) < (-best[d, item][1], best[d, item][3]):
+            best[d, item] = row
+
     for (d, item, shift), found in lines.items():
         size = int(block.sizes[item])
         seen = np.zeros(size, bool)
@@ -165,18 +224,24 @@ def alignments(texts: list[bytes], block: Block, templates: Templates, cover: fl
         if covered < max(LEAST_WORDS, math.ceil(cover * size)):
             continue
         at = np.flatnonzero(seen)
-        theirs, ours = block.first[item] + at, shift + at
-        if ours[0] < begins[d] or ours[-1] >= ends[d] or not consistent(block.kind[theirs], block.value[theirs], value[ours]):
+        if shift + at[0] >= begins[d] and shift + at[-1] < ends[d]:
+            take(d, item, at, shift + at)
+    whole, tried = set(best), {}
+    for d, item, shift in sorted(lines):
+        size = int(block.sizes[item])
+        slack = max(WIDTH, size // 4)
+        if (d, item) in whole or shift <= tried.get((d, item), shift - 1):
             continue
-        slots = block.kind[theirs] != WORD
-        same = int((block.value[theirs][slots] == value[ours][slots]).sum())
-        row = (block.items[item], covered, size, int(ours[0] - begins[d]), int(slots.sum()), same)
-        if (d, item) not in best or (-row[1], row[3]) < (-best[d, item][1], best[d, item][3]):
-            best[d, item] = row
-    out: dict[int, list[tuple]] = defaultdict(list)
-    for d, item in sorted(best):
-        out[d].append(best[d, item])
-    return out
+        tried[d, item] = shift + slack // 2
+        low, high = max(int(begins[d]), shift - slack), min(int(ends[d]), shift + size + 2 * slack)
+        ours, theirs = gapped(template[low:high], template_of(block, item))
+        if len(theirs) >= max(LEAST_WORDS, math.ceil(cover * size)):
+            take(d, item, theirs, low + ours)
+    return best
+
+
+def template_of(block: Block, item: int) -> np.ndarray:
+    return block.template[block.first[item] : block.first[item] + block.sizes[item]]
 
 
 MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType())] + [T.StructField(n, T.IntegerType()) for n in ("covered", "item_words", "at_word", "slots", "same_slots")]))
@@ -198,7 +263,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches",
     templates = sc.broadcast(Templates())
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        block = sc.broadcast(block_of([r[0] for r in rows], [r[1].encode() for r in rows]))
+        ids, texts = [r[0] for r in rows], [r[1].encode() for r in rows]
+        block = sc.broadcast((block_of(ids, texts), block_of(ids, texts, loose=True)))
         docs = docs.mapInArrow(_matcher(block, templates, column, cover), docs.schema)
     return docs
 

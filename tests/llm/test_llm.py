@@ -292,6 +292,22 @@ def test_templates(spark):
     assert got[0, 1][0] == got[0, 1][1] and got[1, 1][1] < got[1, 1][0]
 
 
+def test_templates_of_other_lengths(spark):
+    """Words put in or left out, names and numbers of more words, and other names where a sentence begins."""
+    got = contaminated(
+        spark,
+        [
+            "Anna bought 12 apples for 3 dollars and then gave 12 of them to Peter before the long walk home.",
+            "Anna bought 12 apples for 3 dollars and 12 of them to Peter before the long walk home.",
+            "A train travels 60 km in 2 hours right across the wide and empty plain.",
+            "Mary Ann bought 1 200 apples for 3 dollars and gave 1 200 of them to Jean Luc Picard before the long walk home.",
+            "Zoe bought 12 apples for 3 dollars and gave 13 of them to Peter before the long walk home.",
+            "Before the long walk home nobody bought apples for 3 dollars, and the wide and empty plain was far.",
+        ],
+    )
+    assert set(got) == {(0, 1), (1, 1), (2, 2), (3, 1)}
+
+
 def test_contamination_of_documents(spark, sf_dir, duck):
     docs, items = documents(duck), duck.execute("select item_id, text from benchmark").fetchall()
     squeeze = lambda t: " ".join((t or "").split())
