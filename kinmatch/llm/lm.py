@@ -46,8 +46,8 @@ class Settings:
     classes: int = 64
     size: int = 16
     context: int = 4
-    noise: int = 32
-    batch: int = 2048
+    noise: int = 64
+    batch: int = 1024
     rate: float = 0.1
     rounds: int = 2
     #: Small corpora are gone through again until about so many tokens have been trained on, `passes` times at most.

@@ -109,6 +109,11 @@ def test_lm_odd(spark, odd, none):
     assert [r.n_tokens for r in got if r.doc_id == 1] == [1]
 
 
+def test_lm_settings():
+    """As many noise draws and steps a token as before they were halved for speed."""
+    assert (lm.Settings().noise, lm.Settings().batch) == (64, 1024)
+
+
 def test_nce_learns():
     s = lm.Settings(words=3, classes=1, size=4, context=1, noise=8, batch=64, rate=0.3)
     shares = np.array([0.05, 0.3, 0.3, 0.3, 0.05])
