@@ -61,11 +61,12 @@ PLACEHOLDERS = "nan none null n/a na - -- . unknown"
 #: Latin consonants: pairs first, in this order, then single letters; others are dropped.
 PAIRS = "mp=np mb=np ch=c sh=s th=t ph=f kh=k gh=k bh=p dh=t jh=c ck=k"
 CONSONANTS = "b=p c=k d=t f=f g=k h=h j=c k=k l=l m=m n=n p=p q=k r=r s=s t=t v=v w=v x=ks z=c"
-#: Places of the letters within an Indic script's block of 128 code points, and their consonant.
-INDIC = """
-n: 01 02 19 1e 23 28 29; k: 15 16 17 18 58 59 5a; c: 1a 1b 1c 1d 5b; t: 1f 20 21 22 24 25 26 27 5c 5d; p: 2a 2c 2d; f: 2b 5e;
-m: 2e; r: 30 31; l: 32 33 34; v: 35; s: 36 37 38; h: 39
-"""
+#: The consonant of a letter by its place within an Indic script's block of 128 code points.
+INDIC = {
+    0x01: "n", 0x02: "n", 0x15: "k", 0x16: "k", 0x17: "k", 0x18: "k", 0x19: "n", 0x1A: "c", 0x1B: "c", 0x1C: "c", 0x1D: "c", 0x1E: "n", 0x1F: "t", 0x20: "t", 0x21: "t",
+    0x22: "t", 0x23: "n", 0x24: "t", 0x25: "t", 0x26: "t", 0x27: "t", 0x28: "n", 0x29: "n", 0x2A: "p", 0x2B: "f", 0x2C: "p", 0x2D: "p", 0x2E: "m", 0x30: "r", 0x31: "r",
+    0x32: "l", 0x33: "l", 0x34: "l", 0x35: "v", 0x36: "s", 0x37: "s", 0x38: "s", 0x39: "h", 0x58: "k", 0x59: "k", 0x5A: "k", 0x5B: "c", 0x5C: "t", 0x5D: "t", 0x5E: "f",
+}
 # ---- end of fixed values ----------------------------------------------------
 
 #: Code points of the Indic blocks, which share their layout.
@@ -90,14 +91,8 @@ def cleaned_keys(table: dict[str, str]) -> dict[str, str]:
 
 def indic_table() -> tuple[str, str]:
     """Letters and their consonants, for translate()."""
-    source, target = "", ""
-    for entry in INDIC.split(";"):
-        consonant, places = entry.split(":")
-        for block in INDIC_BLOCKS:
-            for place in places.split():
-                source += chr(block + int(place, 16))
-                target += consonant.strip()
-    return source, target
+    letters = {chr(block + place): consonant for block in INDIC_BLOCKS for place, consonant in INDIC.items()}
+    return "".join(letters), "".join(letters.values())
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:

@@ -1,7 +1,11 @@
 """Every query runs; those with SQL give what DuckDB gives."""
 
+import shutil
+import subprocess
+import sys
+
 import pytest
-from conftest import same_rows
+from conftest import ROOT, same_rows
 
 from kinmatch.plans.queries import QUERIES, SQL
 
@@ -33,6 +37,14 @@ def test_entry_tables():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_without_llm(tmp_path, pipeline):
+    """The rest of the library stands without the training-data part, whether or not the pipeline's file is left."""
+    copy = shutil.copytree(ROOT, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", *([] if pipeline else ["corpus_pipeline.py"])))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'decide' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)})
+
+
 def test_joins_are_equi_joins(spark, sf_dir):
     for name in ("candidates_union", "decide", "tune_grid", "support_features"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

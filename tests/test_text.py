@@ -51,7 +51,17 @@ def test_skeleton(spark):
     sk = lambda c: X.skeleton(X.words(c))
     assert values(spark, sk, "mumbai", "bombay limited", "taxi", "shah", "") == ["mnp", "pnp", "tks", "sh", ""]
     assert values(spark, sk, "दिल्ली", "delhi") == ["tl", "tlh"]
-    assert len(indic_table()[0]) == len(indic_table()[1]) == 9 * 50
+    assert len(indic_table()[0]) == len(indic_table()[1]) == 9 * 45  # scripts by letters of a script
+    assert len(set(indic_table()[0])) == 9 * 45
+
+
+def test_skeleton_of_every_indic_script(spark):
+    """The word `kamal` has the skeleton `kml` in each script, as its letters stand at the same places."""
+    sk = lambda c: X.skeleton(X.words(c))
+    kamal = [chr(block + 0x15) + chr(block + 0x2E) + chr(block + 0x32) for block in range(0x0900, 0x0D80, 0x80)]
+    assert kamal[0] == "कमल" and kamal[5] == "கமல"
+    assert values(spark, sk, *kamal, "kamal") == ["kml"] * 10
+    assert values(spark, sk, "मुंबई", "ਸਿੰਘ", "પટેલ", "বাংলা", "சென்னை", "బెంగళూరు", "ಕರ್ನಾಟಕ", "കേരളം") == ["mnp", "sk", "ptl", "pnl", "cn", "pnklr", "krntk", "krln"]
 
 
 def test_numbers(spark):
