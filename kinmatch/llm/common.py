@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id where an order or a join needs a value; it sorts last.
+#: Stands for a null doc_id where an order or a join needs a value; it sorts last. A real id must not have this value.
 NO_ID = 2**63 - 1
 
 
@@ -26,7 +26,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def bounded_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
-    """df; its session then hands Python so many rows or bytes at once at most, for texts can be long."""
+    """df; its session then hands Python so many rows or bytes at once at most, for texts can be long.
+
+    The session keeps these two settings; every operator here that reads texts sets them.
+    """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -85,13 +88,28 @@ def id_text() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
 
+def _keys() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))]
+
+
 def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id as k1 (NO_ID if null), the text's hash as k2, the text (null: empty), and what else is asked for.
 
     Rows that agree in doc_id and text share a key and get equal results.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return bounded_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"), *more)
+    k1, k2 = _keys()
+    return bounded_batches(docs).select(k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def with_keys(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with keyed()'s two keys besides, and the names they have got."""
+    names = [free_name(docs, "k1"), free_name(docs, "k2")]
+    return docs.withColumns(dict(zip(names, _keys(), strict=True))), names
+
+
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """df, marked for a broadcast if it has no more than so many rows. Counts it, so it should be checkpointed."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def others(docs: DataFrame) -> Column:
@@ -99,6 +117,14 @@ def others(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def real_id(k1: str = "k1") -> Column:
     return F.when(F.col(k1) != NO_ID, F.col(k1)).alias("doc_id")
 

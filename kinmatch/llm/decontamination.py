@@ -8,17 +8,27 @@ between a document and an item form an alignment; its slots, the values behind
 the placeholders, must map one to one from item to document, so that a question
 with other numbers or names is found and one that merely looks alike is not.
 
-Texts are read twice. The loose reading takes sentence-initial capitals for
-names too, and a run of names or numbers for one placeholder. A match may have
-words put in or left out: where no offset covers enough, the words around a
-shared window are aligned, and runs of BLOCK_WORDS equal words and more count.
-
-The benchmark is taken in blocks of bounded size. A block's windows are
-broadcast; documents are read once for each block and never shuffled.
+Texts have three readings. The strict one is as above. The loose one takes
+sentence-initial capitals for names too, and a run of names or numbers for one
+placeholder. In the exact one every word stands for itself: it is for items too
+short for a template or with too few words besides placeholders, and takes only
+whole copies. In the other two a match may have words put in or left out: where
+no offset covers enough, the words around a shared window are aligned, and runs
+of BLOCK_WORDS equal words and more count.
+
+1. The benchmark's windows become a table, with a key for each reading, width
+   and hash. Of its keys a bitmap of fixed size is broadcast.
+2. One pass over the documents gives the windows that the bitmap doesn't rule
+   out. They meet the benchmark's in an equi-join, whose benchmark side is
+   broadcast if its size allows; nothing of the benchmark is held whole by the
+   driver or a task.
+3. The texts of documents with a shared window, few of all, are read again and
+   each is held against the items it shares windows with.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import defaultdict
@@ -31,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmatch.llm.common import bounded_batches, byte_lists, ByValue, chunks, released
+from kinmatch.llm.common import bounded_batches, broadcast_if_small, byte_lists, ByValue, checkpoint, chunks, keyed, real_id, released, with_keys
 from kinmatch.llm.rolling import mix, Slices
 
 WIDTH = 8
@@ -42,7 +52,10 @@ LEAST_WORDS = 5
 LITERALS = 3
 #: Equal words in a row that count in an alignment with words put in or left out.
 BLOCK_WORDS = 4
-BLOCK_BYTES = 16 << 20
+#: Bits of the map of the benchmark's keys.
+BITS = 1 << 25
+#: Rows of a side that is broadcast, at most; a row takes some tens of bytes in the first, a document's matches in the second.
+MOST_WINDOWS, MOST_FOUND = 200_000, 50_000
 CACHED_WORDS = 400_000
 
 UNITS = frozenset(
@@ -53,6 +66,7 @@ NUMBER = re.compile(rb"[-+]?[$]?[0-9][0-9.,:/]*%?\Z")
 MARKS = b"!\"#&'()*,./:;<=>?@[\\]^_`{|}~"
 STOPS = (b".", b"!", b"?", b":")
 
+STRICT, LOOSE, EXACT = 0, 1, 2
 WORD, NUM, UNIT, NAME = 0, 1, 2, 3
 #: What stands for a placeholder among the words' hashes.
 SLOT = np.array([0, 0x6E756D6265720001, 0x756E697400000002, 0x6E616D6500000003], np.uint64)
@@ -97,8 +111,9 @@ class Templates(ByValue):
         return doc, rows["flags"], rows["value"]
 
     @staticmethod
-    def reading(doc: np.ndarray, flags: np.ndarray, value: np.ndarray, loose: bool = False) -> tuple[np.ndarray, ...]:
+    def reading(doc: np.ndarray, flags: np.ndarray, value: np.ndarray, which: int = STRICT) -> tuple[np.ndarray, ...]:
         """For every template word of all texts: its text, its hash, its kind, its own value's hash, and its place among the words."""
+        loose = which == LOOSE
         stop = (flags & _STOP) > 0
         begins = np.ones(len(doc), bool)  # a sentence
         begins[1:] = stop[:-1] | (doc[1:] != doc[:-1])
@@ -106,6 +121,8 @@ class Templates(ByValue):
         follows = np.zeros(len(doc), bool)
         follows[1:] = number[:-1] & (doc[1:] == doc[:-1])
         kind = np.where(number, NUM, np.where(follows & ((flags & _UNIT) > 0), UNIT, np.where(((flags & _CAPITAL) > 0) & (~begins | loose), NAME, WORD)))
+        if which == EXACT:
+            kind = np.zeros(len(doc), np.int64)
         kept = (flags & _EMPTY) == 0
         doc, kind, value, marked, place = doc[kept], kind[kept], value[kept], (flags[kept] & _MARK) > 0, np.arange(int(kept.sum()))
         if loose and len(doc):
@@ -118,38 +135,58 @@ class Templates(ByValue):
         return doc, np.where(kind == WORD, value, SLOT[kind]), kind, value, place
 
 
+def window_width(size: int, width: int = WIDTH) -> int:
+    """So wide that an item with one word changed still has a whole window."""
+    return min(width, size, max(BLOCK_WORDS, (size - 1) // 2))
+
+
+def key_of(reading: int, width: int, hashes: np.ndarray) -> np.ndarray:
+    """What a window is joined by."""
+    return mix(hashes + np.uint64(reading << 32 | width)).view(np.int64)
+
+
 @dataclass
-class Block(ByValue):
-    """Some items of the benchmark: their windows by hash, in order, and their slots."""
+class Item:
+    """An item of the benchmark in one reading; offsets of its windows."""
 
-    items: list[int | None]
-    sizes: np.ndarray
-    first: np.ndarray  # where an item's words begin
+    reading: int
+    width: int
     template: np.ndarray
     kind: np.ndarray
     value: np.ndarray
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # width -> hashes, items, offsets
+    offsets: np.ndarray
+    keys: np.ndarray
+
+def readings_of(text: bytes, width: int = WIDTH, cover: float = COVER) -> list[Item]:
+    """An item's readings that can tell it: the strict and the loose one, or else the exact one; none if it has no word."""
+    words = Templates().words([text])
+    out, told = [], False
+    for reading in (STRICT, LOOSE, EXACT):
+        if reading == EXACT and told:
+            break
+        _, template, kind, value, _ = Templates.reading(*words, reading)
+        n = len(template)
+        if not n or reading != EXACT and n < LEAST_WORDS:
+            continue
+        w = min(width, n) if reading == EXACT else window_width(n, width)
+        hashes = Slices(template).runs(w)
+        at = np.arange(len(hashes)) if reading == EXACT else np.flatnonzero(enough(kind, w))
+        if not len(at):
+            continue
+        out.append(Item(reading, w, template, kind, value, at, key_of(reading, w, hashes[at])))
+        told |= reading == STRICT and int(covered_by(at, w, n).sum()) >= least_cover(n, cover)
+    return out
 
 
-def window_width(size: int, width: int = WIDTH) -> int:
-    """So wide that an item with one word changed still has a whole window."""
-    return min(width, size, max(BLOCK_WORDS, (size - 1) // 2))
+def least_cover(n: int, cover: float) -> int:
+    return max(LEAST_WORDS, math.ceil(cover * n))
 
 
-def block_of(items: list[int | None], texts: list[bytes], width: int = WIDTH, loose: bool = False) -> Block:
-    doc, template, kind, value, _ = Templates.reading(*Templates().words(texts), loose)
-    sizes = np.bincount(doc, minlength=len(texts))
-    first = np.cumsum(sizes) - sizes
-    windows = {}
-    widths = np.array([window_width(int(n), width) if n >= LEAST_WORDS else 0 for n in sizes], np.int64)
-    for w in sorted(set(widths.tolist()) - {0}):
-        hashes = Slices(template).runs(w)
-        at = np.arange(len(hashes))
-        own = doc[at] if len(at) else at
-        fits = (own == doc[at + w - 1]) & (widths[own] == w) & enough(kind, w) if len(at) else np.zeros(0, bool)
-        at = at[fits][np.argsort(hashes[fits], kind="stable")]
-        windows[w] = hashes[at], doc[at], at - first[doc[at]]
-    return Block(items, sizes, first, template, kind, value, windows)
+def covered_by(offsets, width: int, n: int) -> np.ndarray:
+    seen = np.zeros(n, bool)
+    for q in offsets:
+        seen[q : q + width] = True
+    return seen
 
 
 def enough(kind: np.ndarray, width: int) -> np.ndarray:
@@ -172,119 +209,193 @@ def gapped(ours: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return places([b.a for b in runs]), places([b.b for b in runs])
 
 
-def alignments(texts: list[bytes], blocks: tuple[Block, Block], templates: Templates, cover: float = COVER) -> dict[int, list[tuple]]:
-    """For each text with a match, its items: (item, words covered, words of the item, where, slots, slots with the item's own values).
+def best_alignment(item: Item, hits: list[tuple[int, int]], read: tuple[np.ndarray, ...], cover: float) -> tuple | None:
+    """(words covered, words of the item, where, slots, slots with the item's own values) of the best alignment of an item and a text.
 
-    blocks: the items in both readings. What the strict reading finds is told by it.
+    hits: (place in the text, offset in the item) of the windows they share.
+    read: the text's template, kinds, values and places in the item's reading.
     """
-    words = templates.words(texts)
-    best: dict[tuple[int, int], tuple] = {}
-    for loose in (True, False):
-        best |= _found(len(texts), Templates.reading(*words, loose), blocks[loose], cover)
-    out: dict[int, list[tuple]] = defaultdict(list)
-    for d, item in sorted(best):
-        out[d].append(best[d, item])
-    return out
-
+    template, _, value, place = read
+    size, best = len(item.template), None
+    least = size if item.reading == EXACT else least_cover(size, cover)
 
-def _found(n: int, read: tuple[np.ndarray, ...], block: Block, cover: float) -> dict[tuple[int, int], tuple]:
-    """The best alignment of each text and item in one reading."""
-    doc, template, kind, value, place = read
-    begins = np.searchsorted(doc, np.arange(n))
-    ends = np.append(begins[1:], len(doc))
-    lines: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-    for width, (hashes, items, offsets) in block.windows.items():
-        if len(template) < width or not len(hashes):
-            continue
-        own = Slices(template).runs(width)
-        low = np.searchsorted(hashes, own)
-        hit = np.flatnonzero((low < len(hashes)) & (hashes[np.minimum(low, len(hashes) - 1)] == own))
-        hit = hit[doc[hit] == doc[hit + width - 1]]
-        for p, a, b in zip(hit.tolist(), low[hit].tolist(), np.searchsorted(hashes, own[hit], "right").tolist(), strict=True):
-            for k in range(a, b):
-                lines[int(doc[p]), int(items[k]), p - int(offsets[k])].append((int(offsets[k]), width))
-    best: dict[tuple[int, int], tuple] = {}
-
-    def take(d: int, item: int, theirs: np.ndarray, ours: np.ndarray) -> None:
-        theirs = block.first[item] + theirs
-        if not consistent(block.kind[theirs], block.value[theirs], value[ours]):
+    def take(theirs: np.ndarray, ours: np.ndarray) -> None:
+        nonlocal best
+        if not consistent(item.kind[theirs], item.value[theirs], value[ours]):
             return
-        slots = block.kind[theirs] != WORD
-        same = int((block.value[theirs][slots] == value[ours][slots]).sum())
-        row = (block.items[item], len(theirs), int(block.sizes[item]), int(place[ours[0]] - place[begins[d]]), int(slots.sum()), same)
-        if (d, item) not in best or (-row[1], row[3]) < (-best[d, item][1], best[d, item][3]):
-            best[d, item] = row
-
-    for (d, item, shift), found in lines.items():
-        size = int(block.sizes[item])
-        seen = np.zeros(size, bool)
-        for q, width in found:
-            seen[q : q + width] = True
-        covered = int(seen.sum())
-        if covered < max(LEAST_WORDS, math.ceil(cover * size)):
-            continue
-        at = np.flatnonzero(seen)
-        if shift + at[0] >= begins[d] and shift + at[-1] < ends[d]:
-            take(d, item, at, shift + at)
-    whole, tried = set(best), {}
-    for d, item, shift in sorted(lines):
-        size = int(block.sizes[item])
-        slack = max(WIDTH, size // 4)
-        if (d, item) in whole or shift <= tried.get((d, item), shift - 1):
+        slots = item.kind[theirs] != WORD
+        row = (len(theirs), size, int(place[ours[0]]), int(slots.sum()), int((item.value[theirs][slots] == value[ours][slots]).sum()))
+        if best is None or (-row[0], row[2]) < (-best[0], best[2]):
+            best = row
+
+    lines: dict[int, list[int]] = defaultdict(list)
+    for at, offset in hits:
+        lines[at - offset].append(offset)
+    for shift in sorted(lines):
+        at = np.flatnonzero(covered_by(lines[shift], item.width, size))
+        if len(at) >= least:
+            take(at, shift + at)
+    if best or item.reading == EXACT:
+        return best
+    slack, tried = max(WIDTH, size // 4), None
+    for shift in sorted(lines):
+        if tried is not None and shift <= tried:
             continue
-        tried[d, item] = shift + slack // 2
-        low, high = max(int(begins[d]), shift - slack), min(int(ends[d]), shift + size + 2 * slack)
-        ours, theirs = gapped(template[low:high], template_of(block, item))
-        if len(theirs) >= max(LEAST_WORDS, math.ceil(cover * size)):
-            take(d, item, theirs, low + ours)
+        tried = shift + slack // 2
+        low, high = max(0, shift - slack), min(len(template), shift + size + 2 * slack)
+        ours, theirs = gapped(template[low:high], item.template)
+        if len(theirs) >= least:
+            take(theirs, low + ours)
     return best
 
 
-def template_of(block: Block, item: int) -> np.ndarray:
-    return block.template[block.first[item] : block.first[item] + block.sizes[item]]
-
-
 MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType())] + [T.StructField(n, T.IntegerType()) for n in ("covered", "item_words", "at_word", "slots", "same_slots")]))
 _MATCH = pa.list_(pa.struct([("item_id", pa.int64()), *((n, pa.int32()) for n in ("covered", "item_words", "at_word", "slots", "same_slots"))]))
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches", cover: float = COVER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with an array of the benchmark items found in each text, empty if there are none.
+ITEM = pa.schema([("item", pa.int64()), ("reading", pa.int32()), ("width", pa.int32()), *((n, pa.binary()) for n in ("template", "kind", "value")), ("keys", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int32()))])
+ITEM_SQL = "item long, reading int, width int, template binary, kind binary, value binary, keys array<long>, offsets array<int>"
 
-    Null and empty texts, and items of fewer than LEAST_WORDS template words,
-    match nothing. Rows are kept as they come, other columns too; a column of
-    the array's name is replaced. Equal items are each found.
-    """
-    sc = docs.sparkSession.sparkContext
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size / block_bytes))
-    docs = bounded_batches(docs).drop(column).withColumn(column, F.array().cast(MATCH))
-    templates = sc.broadcast(Templates())
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        ids, texts = [r[0] for r in rows], [r[1].encode() for r in rows]
-        block = sc.broadcast((block_of(ids, texts), block_of(ids, texts, loose=True)))
-        docs = docs.mapInArrow(_matcher(block, templates, column, cover), docs.schema)
-    return docs
-
-
-def _matcher(block, templates, column: str, cover: float):
+
+def item_table(benchmark: DataFrame, cover: float) -> tuple[DataFrame, DataFrame]:
+    """Texts of items (item, a hash of the text, and its ids, one for each row), and their readings."""
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.groupBy("text").agg(F.collect_list(F.struct("item_id")).alias("ids")).withColumn("item", F.xxhash64("text"))
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, x) for k, t in zip(batch.column("item").to_pylist(), byte_lists(batch.column("text")), strict=True) for x in readings_of(t, cover=cover)]
+            columns = [[k for k, _ in rows], [x.reading for _, x in rows], [x.width for _, x in rows], [x.template.tobytes() for _, x in rows], [x.kind.astype("u1").tobytes() for _, x in rows], [x.value.tobytes() for _, x in rows], [x.keys for _, x in rows], [x.offsets for _, x in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ITEM.types, strict=True)], schema=ITEM)
+
+    return texts.select("item", "ids"), checkpoint(bounded_batches(texts).select("item", "text").mapInArrow(run, ITEM_SQL))
+
+
+class Sieve(ByValue):
+    """The benchmark's readings with their widths, and a bit for each of its keys: what a window needs to have a chance in the join."""
+
+    def __init__(self, widths: list[tuple[int, int]], bits: np.ndarray):
+        self.widths, self.bits = widths, bits
+
+    def __call__(self, doc: np.ndarray, template: np.ndarray, reading: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Keys and places of the windows within one text that may be the benchmark's."""
+        out = []
+        for width in [w for r, w in self.widths if r == reading and len(template) >= w]:
+            keys = key_of(reading, width, Slices(template).runs(width))
+            spot = keys & (BITS - 1)
+            hit = np.flatnonzero((self.bits[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1))
+            hit = hit[doc[hit] == doc[hit + width - 1]]
+            out.append((keys[hit], hit))
+        return out
+
+
+def sieve_of(items: DataFrame) -> Sieve:
+    widths = sorted({(r[0], r[1]) for r in items.select("reading", "width").distinct().collect()})  # three readings of WIDTH widths at most
+    spot = items.select(F.explode("keys").alias("k")).select(F.col("k").bitwiseAND(F.lit(BITS - 1)).alias("spot"))
+    words = spot.groupBy(F.shiftright("spot", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("b")).toArrow()  # BITS / 64 rows at most
+    bits = np.zeros(BITS >> 6, np.uint64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return Sieve(widths, bits)
+
+
+def shared_windows(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """k1, k2, item, reading and hits (at, offset): the windows that keyed documents and items share."""
+    sc = rows.sparkSession.sparkContext
+    sieve, templates = sc.broadcast(sieve_of(items)), sc.broadcast(Templates())
+    types = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("key", pa.int64()), ("at", pa.int32())])
+
+    @released
+    def run(batches):
+        readings = sorted({r for r, _ in sieve.value.widths})
+        for batch in chunks(batches, 2 << 20):
+            words = templates.value.words(byte_lists(batch.column("text")))
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            for reading in readings:
+                doc, template, *_ = Templates.reading(*words, reading)
+                begins = np.searchsorted(doc, np.arange(batch.num_rows))
+                for keys, at in sieve.value(doc, template, reading):
+                    own = doc[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[own]), pa.array(k2[own]), pa.array(keys), pa.array((at - begins[own]).astype(np.int32))], schema=types)
+
+    met = rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, key long, at int")
+    theirs = items.select("item", "reading", F.explode(F.arrays_zip("keys", "offsets")).alias("w")).select("item", "reading", F.col("w.keys").alias("key"), F.col("w.offsets").alias("offset"))
+    hits = met.join(broadcast_if_small(theirs, MOST_WINDOWS), "key")
+    return hits.groupBy("k1", "k2", "item", "reading").agg(F.collect_set(F.struct("at", "offset")).alias("hits"))
+
+
+CANDIDATE = ("item", "reading", "width", "template", "kind", "value", "hits", "ids")
+
+
+def matches_of(rows: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
+    """k1, k2 and matches of the keyed documents that have any; documents that agree in both keys once."""
+    texts, items = item_table(benchmark, cover)
+    hits = shared_windows(rows, items).join(items.drop("keys", "offsets"), ["item", "reading"]).join(texts, "item")
+    wanted = checkpoint(hits.groupBy("k1", "k2").agg(F.collect_list(F.struct(*CANDIDATE)).alias("candidates")))
+    again = rows.select("k1", "k2", "text").join(broadcast_if_small(wanted, MOST_FOUND), ["k1", "k2"])
+    templates = rows.sparkSession.sparkContext.broadcast(Templates())
     names = [f.name for f in MATCH.elementType.fields]
 
     @released
     def run(batches):
         for batch in chunks(batches, 2 << 20):
-            found = alignments(byte_lists(batch.column("text")), block.value, templates.value, cover)
-            k = batch.schema.get_field_index(column)
-            before = batch.column(k).to_pylist()
-            after = [[*old, *(dict(zip(names, m, strict=True)) for m in found.get(d, ()))] for d, old in enumerate(before)]
-            yield batch.set_column(k, column, pa.array(after, _MATCH))
+            words = templates.value.words(byte_lists(batch.column("text")))
+            reads: dict[int, tuple] = {}
+            found = []
+            for d, candidates in enumerate(batch.column("candidates").to_pylist()):
+                best: dict[tuple, tuple] = {}
+                for c in sorted(candidates, key=lambda c: c["reading"]):
+                    if c["item"] in best:
+                        continue
+                    reading = c["reading"]
+                    if reading not in reads:
+                        doc, *rest = Templates.reading(*words, reading)
+                        reads[reading] = np.searchsorted(doc, np.arange(batch.num_rows + 1)), rest
+                    edges, rest = reads[reading]
+                    own = tuple(x[edges[d] : edges[d + 1]] for x in rest)
+                    own = (*own[:3], own[3] - own[3][:1])
+                    item = Item(reading, c["width"], np.frombuffer(c["template"], np.uint64), np.frombuffer(c["kind"], "u1"), np.frombuffer(c["value"], np.uint64), np.zeros(0), np.zeros(0))
+                    row = best_alignment(item, [(h["at"], h["offset"]) for h in c["hits"]], own, cover)
+                    if row:
+                        best[c["item"]] = [(x["item_id"], *row) for x in c["ids"]]
+                found.append([dict(zip(names, m, strict=True)) for m in sorted(itertools.chain(*best.values()), key=lambda m: (m[0] is None, m))])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(found, _MATCH)], names=["k1", "k2", "matches"])
+
+    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("matches", MATCH)])
+    return checkpoint(again.mapInArrow(run, schema).where(F.size("matches") > 0).dropDuplicates(["k1", "k2"]))
+
+
+def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches", cover: float = COVER) -> DataFrame:
+    """docs with an array of the benchmark items found in each text, empty if there are none.
 
-    return run
+    Null and empty texts, and items without a word, match nothing; items of
+    fewer than LEAST_WORDS template words, and those with too few literal words
+    for a template, match where all their words stand one after another. Rows
+    are kept as they come, other columns too, whatever their names; a column of
+    the array's name is replaced. Rows that repeat a document have the same
+    matches; equal items are each found, ordered by id, null last. Of several
+    alignments of an item the one that covers most counts, of those the first.
+    Without items or documents nothing is found. Numbers are digits; those
+    spelled out are words like any other.
+    """
+    docs = docs.drop(column)
+    rows, keys = with_keys(docs)
+    found = matches_of(keyed(docs), benchmark, cover).select(F.col("k1").alias(keys[0]), F.col("k2").alias(keys[1]), F.col("matches").alias(column))
+    return rows.join(broadcast_if_small(found, MOST_FOUND), keys, "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(f"`{column}`"), F.array().cast(MATCH)).alias(column))
+
+
+def without_matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
+    """The rows of docs that hold no item of the benchmark, in with_matches' terms; all columns stay as they are."""
+    rows, keys = with_keys(docs)
+    found = matches_of(keyed(docs), benchmark, cover).select(F.col("k1").alias(keys[0]), F.col("k2").alias(keys[1]))
+    return rows.join(broadcast_if_small(found, MOST_FOUND), keys, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """One row for each document and item found in it: doc_id, item_id, covered, item_words, at_word, slots, same_slots."""
-    found = with_matches(docs.select("doc_id", "text"), benchmark, cover=cover).where(F.size("matches") > 0)
-    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+    """One row for each document and item found in it: doc_id, item_id, covered, item_words, at_word, slots, same_slots.
+
+    In with_matches' terms. A row that repeats a document gives its rows again.
+    """
+    rows = keyed(docs)
+    found = matches_of(rows, benchmark, cover)
+    both = rows.select("k1", "k2").join(broadcast_if_small(found, MOST_FOUND), ["k1", "k2"])
+    return both.select(real_id(), F.explode("matches").alias("m")).select("doc_id", "m.*")

@@ -1,7 +1,7 @@
 """GIF animations: reading them to timed frames with colour histograms, and writing lossless ones.
 
-The reader takes any GIF87a or GIF89a file: global and local palettes,
-interlacing, transparency, disposal and delays. Frames are drawn on the canvas
+The reader takes GIF87a and GIF89a files: global and local palettes,
+interlacing, transparency, disposal and delays, up to a number of pixels. Frames are drawn on the canvas
 in turn, and each is stored as it is shown. The writer stores bytes as palette
 indexes of grey frames, `FRAME_WIDTH` samples a row.
 """
@@ -25,6 +25,8 @@ FRAME_WIDTH = 576
 FRAME_ROWS = 64
 DELAY = 10  # hundredths of a second
 MOST_CODES = 4096
+#: Pixels of a canvas or a frame that the reader takes, at most, so that no header makes it ask for any memory.
+MOST_PIXELS = 1 << 24
 #: Bins of a colour histogram: two bits of red, green and blue each.
 BINS = 64
 
@@ -191,14 +193,24 @@ def histogram(rgba: np.ndarray) -> np.ndarray:
     return np.bincount(bins, minlength=BINS + 1)[:BINS]
 
 
-def read_gif(data: bytes, canvases: bool = True) -> Iterator[Frame]:
-    """The frames of a file, with copies of the canvas if wanted; one that breaks off ends with its last whole image."""
+def read_gif(data: bytes, canvases: bool = True, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """The frames of a file, with copies of the canvas if wanted.
+
+    A file that breaks off ends with its last whole image, and one that goes
+    wrong (no palette, a code size out of 2 to 8, a broken code stream, an
+    image of more than most_pixels) with the last right one. What is no GIF,
+    or has a canvas of more than most_pixels, has no frames.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         return
     wide, high, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
+    if wide * high > most_pixels:
+        return
     at, palette = 13, None
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
+        if at + n > len(data):
+            return
         palette, at = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
     canvas = np.zeros((high, wide, 4), np.uint8)
     delay, disposal, clear_index = 0, 0, -1
@@ -226,10 +238,14 @@ def read_gif(data: bytes, canvases: bool = True) -> Iterator[Frame]:
         colours = palette
         if own & 0x80:
             n = 3 << ((own & 7) + 1)
+            if at + n > len(data):
+                return
             colours, at = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
         if at >= len(data) or colours is None:
             return
         depth = data[at]
+        if not 2 <= depth <= 8 or w * h > most_pixels:
+            return
         stream, at = sub_blocks(at + 1)
         samples = lzw_decode(stream, depth, w * h)
         if len(samples) < w * h:
@@ -259,6 +275,35 @@ def read_gif(data: bytes, canvases: bool = True) -> Iterator[Frame]:
         delay, disposal, clear_index = 0, 0, -1
 
 
+FRAMES_SQL = "array<struct<shown_at: bigint, delay: bigint, disposal: int, left: int, top: int, width: int, height: int, histogram: array<bigint>>>"
+FRAMES = pa.list_(pa.struct([("shown_at", pa.int64()), ("delay", pa.int64()), *((n, pa.int32()) for n in ("disposal", "left", "top", "width", "height")), ("histogram", pa.list_(pa.int64()))]))
+
+
+def with_frames(files: DataFrame, gif: str = "gif", column: str = "frames") -> DataFrame:
+    """files with an array of the timed frames in the binary column `gif`, each with the colour histogram of the canvas it leaves.
+
+    A null, an empty or no GIF has no frames, a broken one those before the
+    break (see read_gif). Rows and other columns are kept; a column of the
+    array's name is replaced; no files give no rows.
+    """
+    files = bounded_batches(files).drop(column).withColumn(column, F.array().cast(FRAMES_SQL))
+
+    @released
+    def run(batches):
+        for batch in chunks(batches, 4 << 20, gif):
+            out = []
+            for data in batch.column(gif).to_pylist():
+                clock, frames = 0, []
+                for f in read_gif(data or b"", canvases=False):
+                    frames.append(dict(zip(("shown_at", "delay", "disposal", "left", "top", "width", "height", "histogram"), (clock, f.delay, f.disposal, *f.box, f.histogram.tolist()), strict=True)))
+                    clock += f.delay
+                out.append(frames)
+            k = batch.schema.get_field_index(column)
+            yield batch.set_column(k, column, pa.array(out, FRAMES))
+
+    return files.mapInArrow(run, files.schema)
+
+
 def padded(text: bytes, block: int = BLOCK) -> bytes:
     size = max(1, -(-len(text) // block)) * block
     return text + b"\xff" * (size - len(text))

@@ -6,11 +6,16 @@ the mean, over all its positions that hold a letter's bytes, of the positions'
 probabilities. It is trained in numpy by backpropagation through time on windows of a
 bounded sample of labelled rows; prediction reads every byte of every text, in
 windows of the same length, thousands of them at a time.
+
+A network may also learn a class of noise: windows of the sample with their
+bytes shuffled, or with letters, digits or characters drawn at random instead.
+Then a text that is more likely noise than not has no language.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import bounded_batches, byte_lists, ByValue, chunks, id_text, released
+from kinmatch.llm.common import bounded_batches, byte_lists, ByValue, chunks, free_name, id_text, others, released
 
 UNKNOWN = "und"
 WINDOW = 64
 LETTER = r"\p{L}"
+#: Languages whose counts are broadcast, at most; beyond that they are joined.
+MOST_BROADCAST = 10_000
 
 #: Bytes that count for a document: ASCII letters and all bytes of other characters.
 COUNTS = np.zeros(256, bool)
@@ -32,11 +39,13 @@ COUNTS[65:91] = COUNTS[97:123] = COUNTS[128:] = True
 @dataclass(frozen=True)
 class Settings:
     hidden: int = 8
-    #: Labelled rows that the sample holds for a language, about; and languages, the most frequent first.
+    #: Labelled rows that the sample holds for a language, about, and for all together; every language is learned.
     rows_per_language: int = 600
+    rows: int = 100_000
     #: Windows that a row gives, one after another, at most.
     windows: int = 4
-    languages: int = 64
+    #: Windows of noise, as a share of the sample's; 0 for a network that only tells languages apart.
+    noise: float = 0.0
     #: Steps of training; a small sample is gone through more often.
     steps: int = 240
     batch: int = 128
@@ -195,24 +204,48 @@ def held_out() -> Column:
 def sample(docs: DataFrame, settings: Settings = Settings()) -> list[tuple[str, bytes]]:
     """(lang, bytes) of labelled rows that aren't held out: about rows_per_language of each language, by the ids' hashes.
 
-    At most twice that for each of the `languages` most frequent ones; a row
-    gives up to `windows` windows in a row, somewhere in its text.
+    With many languages it is less, so that all together are about `rows`, and
+    twice that at most; a row gives up to `windows` windows in a row, somewhere
+    in its text. The languages' names and counts are held by the driver.
     """
     rows = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
-    if not counts:
+    counts = rows.groupBy("lang").count().withColumnRenamed("lang", "_lang")
+    languages = counts.count()
+    if not languages:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], settings.rows_per_language / r["count"])])
+    each = min(settings.rows_per_language, max(1, settings.rows // languages))
     h = F.xxhash64(id_text(), F.length("text"))
-    chosen = rows.where(F.pmod(h, F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    side = F.broadcast(counts) if languages <= MOST_BROADCAST else counts
+    chosen = rows.join(side, F.col("lang") == F.col("_lang")).where(F.pmod(h, F.lit(1 << 20)) < each / F.col("count") * (1 << 20))
     # bytes from a place that the hash picks
     raw = F.col("text").cast("binary")
     at = F.pmod(F.shiftright(h, 20), F.greatest(F.lit(1), F.length(raw) - settings.windows * WINDOW + 1))
-    found = chosen.select("lang", F.base64(F.substring(raw, at.cast("int") + 1, F.lit(settings.windows * WINDOW))).alias("w"), h.alias("h")).orderBy("h", "lang", "w").limit(2 * settings.rows_per_language * len(counts)).collect()
+    found = chosen.select("lang", F.base64(F.substring(raw, at.cast("int") + 1, F.lit(settings.windows * WINDOW))).alias("w"), h.alias("h")).orderBy("h", "lang", "w").limit(2 * each * languages).collect()
     return [(r["lang"], base64.b64decode(r["w"])) for r in found]
 
 
+_BASE64 = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+
+
+def noise_of(windows: np.ndarray, settings: Settings) -> np.ndarray:
+    """Windows as long as some of those given, of four kinds in turn: shuffled, small letters and spaces, letters and digits, other characters."""
+    rng = np.random.default_rng(settings.seed)
+    out = windows[rng.permutation(len(windows))[: math.ceil(settings.noise * len(windows))]]
+    for k, row in enumerate(out):
+        n = int((row > 0).sum())
+        if k % 4 == 0:
+            row[:n] = rng.permutation(row[:n])
+        elif k % 4 == 1:
+            row[:n] = np.where(rng.random(n) < 0.15, 32, rng.integers(97, 123, n))
+        elif k % 4 == 2:
+            row[:n] = _BASE64[rng.integers(0, 64, n)]
+        else:
+            row[:n] = np.frombuffer("".join(map(chr, rng.integers(0x80, 0x3000, WINDOW))).encode()[:n], np.uint8)
+    return out
+
+
 def train(docs: DataFrame, settings: Settings = Settings()) -> Network:
+    """A network for all languages of the sample, and for noise (as UNKNOWN, the last) if the settings ask for it; without labels one that knows none."""
     rows = [(lang, w[k : k + WINDOW]) for lang, w in sample(docs, settings) for k in range(0, len(w), WINDOW)]
     languages = sorted({lang for lang, _ in rows})
     if not rows:
@@ -220,34 +253,60 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Network:
     windows = np.zeros((len(rows), WINDOW), np.uint8)
     for k, (_, w) in enumerate(rows):
         windows[k, : len(w)] = np.frombuffer(w, np.uint8)
-    return fit(windows, np.array([languages.index(lang) for lang, _ in rows]), languages, settings)
+    numbers = {lang: k for k, lang in enumerate(languages)}
+    labels = np.array([numbers[lang] for lang, _ in rows])
+    if settings.noise:
+        more = noise_of(windows, settings)
+        windows, labels = np.concatenate([windows, more]), np.append(labels, np.full(len(more), len(languages)))
+        languages = [*languages, UNKNOWN]
+    return fit(windows, labels, languages, settings)
 
 
 def identify(docs: DataFrame, net: Network | None = None, settings: Settings = Settings(), columns: list[str] | None = None) -> DataFrame:
     """The columns of docs, or those named, with held_out, lang_pred and score (the pooled probability of lang_pred).
 
     A text that is null or has no letter is `und` with score 0, as is every
-    text if there is nothing to learn from. Equal texts get equal results. Own
-    columns named like the three are replaced.
+    text if there is nothing to learn from, and one that is noise with more
+    than even odds if the network knows noise. Equal texts get equal results;
+    rows are kept as they come, and no documents give no rows. Own columns
+    named like the three are replaced.
     """
     net = train(docs, settings) if net is None else net
     model = docs.sparkSession.sparkContext.broadcast(net)
     docs = bounded_batches(docs).drop("held_out", "lang_pred", "score")
     columns = [*(docs.columns if columns is None else columns), "held_out"]
-    letters = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
+    mark = free_name(docs, "letters")
 
     @released
     def run(batches):
         names = model.value.languages
+        known = len(names) - (names[-1:] == [UNKNOWN])
         for batch in chunks(batches, 4 << 20):
             texts = byte_lists(batch.column("text"))
             p = pooled(model.value, texts)
-            best = p.argmax(1) if names else np.zeros(len(texts), int)
-            known = [bool(names) and x for x in batch.column("_letters").to_pylist()]
-            lang = [names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known, strict=True)]
-            score = [float(min(1.0, p[i, b])) if k else 0.0 for i, (b, k) in enumerate(zip(best.tolist(), known, strict=True))]
+            told = np.array(batch.column(mark).to_pylist(), bool) & (known > 0)
+            if known < len(names):
+                told &= p[:, -1] <= 0.5
+            best = p[:, :known].argmax(1) if known else np.zeros(len(texts), int)
+            lang = [names[b] if k else UNKNOWN for b, k in zip(best.tolist(), told.tolist(), strict=True)]
+            score = [float(min(1.0, p[i, b])) if k else 0.0 for i, (b, k) in enumerate(zip(best.tolist(), told.tolist(), strict=True))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    ready = docs.withColumn("held_out", held_out()).withColumn("_letters", letters)
-    schema = ready.select(*columns).schema.add("lang_pred", "string").add("score", "double")
-    return ready.select(*dict.fromkeys([*columns, "text", "_letters"])).mapInArrow(run, schema)
+    ready = docs.withColumn("held_out", held_out()).withColumn(mark, F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
+    schema = ready.select(*[F.col(f"`{c}`") for c in columns]).schema.add("lang_pred", "string").add("score", "double")
+    return ready.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*columns, "text", mark])]).mapInArrow(run, schema)
+
+
+def in_a_language(docs: DataFrame, settings: Settings = Settings(noise=0.25)) -> DataFrame:
+    """The rows of docs whose text is in one of the languages that docs' labels teach, with all their columns.
+
+    Null and empty texts, those without a letter, and noise go. If no row has
+    a label, all texts with a letter stay. Rows that are equal stay or go
+    together; columns may have any names.
+    """
+    net = train(docs, settings)
+    if not net.languages:
+        return docs.where(F.col("text").rlike(LETTER))
+    rows = docs.select(others(docs), "text", "doc_id")
+    told = identify(rows, net, columns=["row", "text"]).where(F.col("lang_pred") != UNKNOWN)
+    return told.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -19,6 +19,7 @@ from __future__ import annotations
 import itertools
 import math
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import bounded_batches, byte_lists, ByValue, checkpoint, chunks, released
+from kinmatch.llm.common import bounded_batches, byte_lists, ByValue, checkpoint, chunks, partitions, released
 from kinmatch.llm.rolling import slice_hashes, spans, word_places
 
 END_ID = 1
@@ -43,8 +44,21 @@ def _bytes(values) -> np.ndarray:
 
 _PLAIN = _bytes(b"0123456789abcdefghijklmnopqrstuvwxyz")
 _MARK = _bytes(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-#: First bytes of two-byte characters that are letters, but for two signs.
-_LATIN = _bytes([0xC3, 0xC4, 0xC5])
+
+
+def _two_byte_letters() -> np.ndarray:
+    """By its two bytes, whether a Latin character is a letter and its lower case one letter too (not so with a dotted capital I)."""
+    out = np.zeros(1 << 16, bool)
+    for c in map(chr, range(0xC0, 0x180)):
+        low = c.lower()
+        if len(low) == 1 and unicodedata.category(low).startswith("L") and unicodedata.normalize("NFC", low) == low:
+            out[int.from_bytes(c.encode(), "big")] = True
+    return out
+
+
+_LATIN = _two_byte_letters()
+#: Places that one row of the plan stands for, at most.
+RUN_OF_PLACES = 1 << 16
 
 
 def piece_lengths(n: int, most: int) -> list[int]:
@@ -56,7 +70,8 @@ class WordIds(ByValue):
 
     The tokenizer lowers case, never joins what white space parts, and splits
     letters or digits from marks that follow. So texts are cut into words, and
-    marks at the end of words, in numpy; each different piece is encoded once
+    ASCII marks at the end of words, in numpy, the latter where an ASCII or Latin
+    letter or a digit stands before them; each different piece is encoded once
     and its ids kept under its 64-bit hash. A text that may hold a special
     token is encoded whole. Broadcast, it keeps its pieces from task to task of
     a worker.
@@ -110,7 +125,7 @@ class WordIds(ByValue):
         # the end of a word without its marks, where that is a letter or a digit
         last = np.maximum.accumulate(np.where(_MARK[raw], -1, np.arange(len(raw))))
         ends = last[stops - 1] + 1
-        plain = _PLAIN[raw[ends - 1]] | (_LATIN[raw[np.maximum(ends - 2, 0)]] & (raw[ends - 1] != 0x97) & (raw[ends - 1] != 0xB7))
+        plain = _PLAIN[raw[ends - 1]] | _LATIN[raw[np.maximum(ends - 2, 0)].astype(np.int64) << 8 | raw[ends - 1]]
         parted = (ends > starts) & (ends < stops) & plain
         a = np.concatenate([starts, ends[parted]])
         b = np.concatenate([np.where(parted, ends, stops), stops[parted]])
@@ -214,6 +229,17 @@ def plan_bins(counts: dict[int, int], capacity: tuple[int, int, int], weights: t
     return records, bins
 
 
+def in_runs(records: np.ndarray, most: int = RUN_OF_PLACES) -> np.ndarray:
+    """The records of plan_bins cut so that none has more than `most` pieces, for a class may have any number."""
+    parts = -(-records[:, 2] // most)
+    out = np.repeat(records, parts, axis=0)
+    at = (np.arange(len(out)) - np.repeat(np.cumsum(parts) - parts, parts)) * most
+    out[:, 1] += at
+    out[:, 3] += at
+    out[:, 2] = np.minimum(out[:, 2] - at, most)
+    return out
+
+
 def ranked_by_length(pieces: DataFrame, rows_each: int = 20_000) -> DataFrame:
     """Adds rank, from 0 among the pieces of a length; a common length is dealt out by salt."""
     salts = max(1, math.ceil(pieces.count() / rows_each))
@@ -229,14 +255,16 @@ def pack(docs: DataFrame, model: str, max_tokens: int = 4096, max_documents: int
     model: the tokenizer file's content. A null text is empty and takes one
     token, the end id. Null ids are kept, repeated rows are packed each by
     itself, other columns are ignored; no documents give no rows. The limits
-    on documents and cost default to what max_tokens allows anyhow.
+    on documents and cost default to what max_tokens allows anyhow, since either
+    would make more sequences. A document of more than max_tokens is cut; which
+    of equally long pieces is placed first depends on doc_id, piece and crc.
     """
     spark = docs.sparkSession
     pieces = checkpoint(cut_pieces(docs, model, max_tokens))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # max_tokens rows at most
     records, _ = plan_bins(counts, (max_tokens, max_documents or max_tokens, max_cost or max_tokens**2), weights, rule)
-    columns = np.array(records, "int64").reshape(-1, 5).T
-    plan = spark.createDataFrame(pa.table(dict(zip(("length", "first", "n", "bin", "offset"), map(pa.array, columns), strict=True))))
+    columns = in_runs(np.array(records, "int64").reshape(-1, 5)).T
+    plan = spark.createDataFrame(pa.table(dict(zip(("length", "first", "n", "bin", "offset"), map(pa.array, columns), strict=True)))).repartition(partitions(spark))
     places = plan.select("length", "first", "bin", "offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     places = places.select("length", (F.col("first") + F.col("k")).alias("rank"), (F.col("bin") + F.col("k")).alias("sequence_id"), "offset")
     return ranked_by_length(pieces).join(places, ["length", "rank"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
