@@ -6,13 +6,16 @@ shuffle moves a few compact rows, not one per window.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinmatch.llm.common import byte_lists, chunks, released
+
 INTERVALS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 INTERVALS_SQL = "k1 long, k2 long, start long, stop long"
 
@@ -64,6 +67,34 @@ def interval_batch(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, k1: np.
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (k1[doc], k2[doc], start, stop)], schema=INTERVALS)
 
 
+def hot_hashes(docs: DataFrame, hashes_of: Callable[[list[bytes]], np.ndarray], least: int, most: int = 100_000, rows: int = 20_000) -> np.ndarray:
+    """Hashes, in order, that about `least` or more of what all keyed documents give have, and no more than `most` of them.
+
+    Estimated from about `rows` documents, chosen by a hash. The result only
+    decides which task does what, so an estimate is enough.
+    """
+    share = min(1.0, rows / max(1, docs.count()))
+    types = pa.schema([("h", pa.int64()), ("c", pa.int64())])
+
+    @released
+    def run(batches):
+        for batch in chunks(batches, 2 << 20):
+            h, c = np.unique(hashes_of(byte_lists(batch.column("text"))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], schema=types)
+
+    chosen = docs.select("k1", "k2", "text").where(F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    counts = chosen.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    found = counts.where(F.col("c") >= max(2.0, least * share)).orderBy(F.desc("c"), "h").limit(most).toArrow()
+    return np.sort(found.column("h").to_numpy().view(np.uint64))
+
+
+def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of x are in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 def with_intervals(docs: DataFrame, intervals: DataFrame) -> DataFrame:
     """Keyed docs with the arrays starts and stops of their intervals, null if there are none."""
     found = intervals.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("cut"))

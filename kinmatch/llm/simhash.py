@@ -2,7 +2,9 @@
 
 Fingerprints within the radius of each other agree in at least one of
 (radius + 1) bit blocks, so each distinct fingerprint goes to one shard per
-block, named by the block's value. A shard's task builds a BK-tree: a node's
+block, named by the block's value. A shard with many fingerprints is split by
+the blocks of the other bits in the same way, and what is still large again:
+those within the radius agree in one of these too. A shard's task builds a BK-tree: a node's
 children are keyed by their Hamming distance to it, and a search follows only
 the edges within the radius of the searched distance. A tree goes no further
 than the task that built it, for its size grows with the data; broadcasting
@@ -16,15 +18,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm.common import byte_lists, checkpoint, chunks, keyed, others, partitions, real_id, released
 
 SEED = 42
 BITS = 64
-#: From so many distinct fingerprints on, shards are split by a second block.
-SPLIT_FROM = 1 << 24
+#: Fingerprints of a shard, from which on it is split by a further block; and how often, at most.
+SPLIT_FROM, SPLITS = 20_000, 2
 
 
 def shingle_hashes(text: bytes, width: int = 3) -> np.ndarray:
@@ -125,27 +127,47 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def shard_keys(radius: int, split: bool) -> list[list[tuple[int, int]]]:
-    """The bit ranges (from, to) whose values name the shards of a fingerprint."""
-    cut = lambda bits, n: [bits[len(bits) * k // n : len(bits) * (k + 1) // n] for k in range(n)]
-    spans = lambda bits: [(g[0], g[-1] + 1) for g in np.split(np.array(bits), np.flatnonzero(np.diff(bits) > 1) + 1)]
-    out = []
-    for block in cut(list(range(BITS)), radius + 1):
-        if not split:
-            out.append(spans(block))
-            continue
-        rest = [b for b in range(BITS) if b not in block]
-        out += [spans(block) + spans(sub) for sub in cut(rest, radius + 1)]
-    return out
+def sub_blocks(bits: list[int], n: int) -> list[list[int]]:
+    """The bits in n blocks of about the same size."""
+    return [bits[len(bits) * k // n : len(bits) * (k + 1) // n] for k in range(n)]
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 3, split: bool | None = None) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints in column fp, enough to join each group."""
+def _value(bits: list[int]) -> Column:
+    """A hash of the fingerprint's values at these bits."""
+    spans = [(int(g[0]), int(g[-1]) + 1) for g in np.split(np.array(bits), np.flatnonzero(np.diff(bits) > 1) + 1)]
+    return F.xxhash64(*[F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in spans])
+
+
+def shards_of(fps: DataFrame, radius: int, split_from: int) -> DataFrame:
+    """fp and shard: the shards that each distinct fingerprint in column fp is in."""
+    n, empty = radius + 1, F.array().cast("array<struct<path:int,shard:bigint>>")
+    entry = lambda path, shard: F.struct(F.lit(path).cast("int").alias("path"), shard.alias("shard"))
+    blocks = dict(enumerate(sub_blocks(list(range(BITS)), n)))  # by path: the bits that the shard's members agree in last
+    rest = {k: [b for b in range(BITS) if b not in block] for k, block in blocks.items()}
+    rows = fps.select("fp", F.explode(F.array(*[entry(k, F.xxhash64(F.lit(k), _value(bits))) for k, bits in blocks.items()])).alias("s")).select("fp", "s.*")
+    done = None
+    for _ in range(SPLITS):
+        large = checkpoint(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > split_from).select("shard"))
+        if not large.take(1):
+            break
+        few = rows.join(large, "shard", "left_anti").select("fp", "shard")
+        done = few if done is None else done.union(few)
+        parts, left = empty, {}
+        for path, bits in rest.items():
+            cut = sub_blocks(bits, n)
+            own = F.array(*[entry(path * n + k, F.xxhash64("shard", F.lit(k), _value(block))) for k, block in enumerate(cut)])
+            parts = F.when(F.col("path") == path, own).otherwise(parts)
+            left |= {path * n + k: [b for b in bits if b not in block] for k, block in enumerate(cut)}
+        rest = left
+        rows = rows.join(large, "shard").select("fp", F.explode(parts).alias("s")).select("fp", "s.*")
+    rows = rows.select("fp", "shard")
+    return rows if done is None else done.union(rows)
+
+
+def fingerprint_links(fps: DataFrame, radius: int = 3, split_from: int = SPLIT_FROM) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints in column fp, enough to join each group. split_from changes no group."""
     spark = fps.sparkSession
-    split = fps.count() >= SPLIT_FROM if split is None else split
-    value = lambda spans: F.xxhash64(*[F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in spans])
-    keys = F.array(*[F.xxhash64(F.lit(k), value(spans)) for k, spans in enumerate(shard_keys(radius, split))])
-    shards = fps.select("fp", F.explode(keys).alias("shard")).repartition(partitions(spark), "shard").sortWithinPartitions("shard", "fp")
+    shards = shards_of(fps, radius, split_from).repartition(partitions(spark), "shard").sortWithinPartitions("shard", "fp")
     types = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     @released

@@ -5,6 +5,10 @@ with one hash it sends one on. A window goes to the bucket named by the least
 hash of the three-word runs within it, so neighbours mostly share a bucket and
 travel as runs. A bucket's task counts what all map tasks have sent. Repeated
 windows become word intervals, which are joined to their documents again.
+
+Windows around a run of three words that is very common would all go to one
+bucket. Such runs are found beforehand in a sample of documents and broadcast,
+and the windows named by one go to the bucket of their own hash.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from kinmatch.llm.rolling import Slices, merged, slice_hashes, sliding_min, word
 
 WIDTH = 35
 RUN = 3
+#: Windows that share their least run, from which on they are dealt out by their own hash.
+HOT_WINDOWS = 50_000
 BLOB_TYPES = {"k1": "int64", "k2": "int64", "doc": "int32", "start": "int32", "n": "int32", "hash": "uint64", "done": "uint8"}
 
 
@@ -56,11 +62,22 @@ def repeated(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return again, first
 
 
-def window_blobs(docs: DataFrame, width: int, flush: int = 12 << 20) -> DataFrame:
+def hot_runs(docs: DataFrame, width: int, least: int = HOT_WINDOWS) -> np.ndarray:
+    """Hashes of the runs that name the bucket of very many different windows."""
+
+    def named(texts: list[bytes]) -> np.ndarray:
+        _, _, hashes, run = window_hashes(texts, width)
+        return run[repeated(hashes)[1]]
+
+    return blobs.hot_hashes(docs, named, least)
+
+
+def window_blobs(docs: DataFrame, width: int, hot_windows: int = HOT_WINDOWS, flush: int = 12 << 20) -> DataFrame:
     """For each bucket the windows that this task has; and the intervals that it has found itself, as runs without hashes."""
     spark = docs.sparkSession
     types, sql = blobs.schema(BLOB_TYPES)
     keys = bucket_keys(spark, partitions(spark))
+    hot = spark.sparkContext.broadcast(hot_runs(docs, width, hot_windows))
 
     def send(parts, k1, k2):
         doc, start, hashes, least = map(np.concatenate, zip(*parts, strict=True))
@@ -70,7 +87,8 @@ def window_blobs(docs: DataFrame, width: int, flush: int = 12 << 20) -> DataFram
         if len(d):
             own1, own2, at = blobs.documents_of(d, k1, k2)
             rows.append((keys[int(k2[d[0]]) % len(keys)], own1, own2, at, a.astype("int32").tobytes(), (b - a).astype("int32").tobytes(), b"", b""))
-        doc, start, hashes, done, bucket = doc[first], start[first], hashes[first], again[first], (least[first] % np.uint64(len(keys))).astype(np.int32)
+        doc, start, hashes, least, done = doc[first], start[first], hashes[first], least[first], again[first]
+        bucket = (np.where(blobs.among(least, hot.value), hashes, least) % np.uint64(len(keys))).astype(np.int32)
         order = np.argsort(bucket, kind="stable")  # within a bucket by document and start, as they came
         doc, start, hashes, done, bucket = doc[order], start[order], hashes[order], done[order], bucket[order]
         edges = np.searchsorted(bucket, np.arange(len(keys) + 1))
@@ -104,9 +122,9 @@ def window_blobs(docs: DataFrame, width: int, flush: int = 12 << 20) -> DataFram
     return docs.mapInArrow(run, sql)
 
 
-def repeated_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def repeated_intervals(docs: DataFrame, width: int = WIDTH, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """k1, k2, start, stop: the words of a keyed document that repeated windows cover."""
-    sent = window_blobs(docs, width).repartition(partitions(docs.sparkSession), "bucket")
+    sent = window_blobs(docs, width, hot_windows).repartition(partitions(docs.sparkSession), "bucket")
 
     @released
     def count(batches):
@@ -128,12 +146,12 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return sent.mapInArrow(count, blobs.INTERVALS_SQL)
 
 
-def remove_repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def remove_repeated(docs: DataFrame, width: int = WIDTH, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by a space) of every row.
 
     A null text has no words. Rows that repeat a document repeat its windows,
     so both lose them. Null ids are kept; other columns are ignored; no
-    documents give no rows.
+    documents give no rows. hot_windows changes no result.
     """
     rows = keyed(docs)
     types = pa.schema([("k1", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
@@ -152,6 +170,6 @@ def remove_repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 out.append((k1, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), left.decode()))
             yield blobs.batch(out, types)
 
-    joined = blobs.with_intervals(rows, repeated_intervals(rows, width))
+    joined = blobs.with_intervals(rows, repeated_intervals(rows, width, hot_windows))
     done = joined.mapInArrow(cut, "k1 long, n_words long, n_removed long, kept_sha256 string, kept string")
     return done.select(real_id(), "n_words", "n_removed", "kept_sha256", "kept")

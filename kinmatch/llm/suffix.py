@@ -19,8 +19,15 @@ window is in exactly one context.
    which they share, is one symbol there. Suffixes at window starts with a
    window's symbols in common are equal windows; all but the earliest go.
 
-A core that more than `most_contexts` different contexts share is dealt out
-by whole windows in step 3 in place of contexts, so that no task gets all.
+So equal contexts are told by two 64-bit hashes together, and windows of
+different contexts by the suffix arrays.
+
+A core that more than `most_contexts` different contexts share, as those about
+a line that very many documents have, would make one task's work. Such cores
+are found beforehand in a sample of documents; their contexts meet by their own
+hash in step 2, and in step 3 their windows are dealt out in place of contexts,
+each by two 64-bit hashes, of which a task sends each once. Cores that the
+sample misses are dealt out so from step 3 on.
 """
 
 from __future__ import annotations
@@ -43,6 +50,8 @@ MOST_CONTEXTS = 50_000
 SEGMENT = 2 << 20
 #: Between contexts in one text; UTF-8 has no such byte.
 GAP = 255
+#: A second symbol for each byte value, for hashes that owe nothing to the first.
+SECOND_SYMBOLS = mix(BYTE_SYMBOLS ^ np.uint64(0xA0761D6478BD642F))
 
 SENT = {"k1": "int64", "k2": "int64", "doc": "int32", "start": "int32", "n": "int32", "at": "uint16", "core": "uint64", "context": "uint64"}
 FETCHED = {"k1": "int64", "k2": "int64", "doc": "int32", "start": "int32", "n": "int32", "at": "uint16", "core": "uint64", "bytes": "uint8"}
@@ -117,8 +126,18 @@ def place_of(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
     return place
 
 
-def context_blobs(docs: DataFrame, width: int, flush: int = 16 << 20) -> DataFrame:
-    """To each bucket this task's contexts; and what this task has found itself, as intervals without hashes."""
+def hot_cores(docs: DataFrame, width: int, least: int) -> np.ndarray:
+    """Cores that very many different contexts share."""
+
+    def named(texts: list[bytes]) -> np.ndarray:
+        *_, core, context = contexts(texts, width)
+        return core[np.unique(core ^ context, return_index=True)[1]]
+
+    return blobs.hot_hashes(docs, named, least)
+
+
+def context_blobs(docs: DataFrame, width: int, hot, flush: int = 16 << 20) -> DataFrame:
+    """To each bucket this task's contexts; and what this task has found itself, as intervals without hashes. hot: broadcast hot cores."""
     types, sql = blobs.schema(SENT)
     keys = bucket_keys(docs.sparkSession, partitions(docs.sparkSession))
 
@@ -130,7 +149,8 @@ def context_blobs(docs: DataFrame, width: int, flush: int = 16 << 20) -> DataFra
         if len(d):
             own1, own2, at = blobs.documents_of(d, k1, k2)
             rows.append((keys[int(k2[d[0]]) % len(keys)], own1, own2, at, a.astype("int32").tobytes(), (b - a).astype("int32").tobytes(), b"", b"", b""))
-        bucket = (mix(core[kept]) % np.uint64(len(keys))).astype(np.int32)
+        named = np.where(blobs.among(core[kept], hot.value), context[kept], core[kept])
+        bucket = (mix(named) % np.uint64(len(keys))).astype(np.int32)
         kept = kept[np.lexsort((start[kept], doc[kept], bucket))]
         edges = np.searchsorted(np.sort(bucket), np.arange(len(keys) + 1))
         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
@@ -163,7 +183,7 @@ MET = pa.schema([*blobs.INTERVALS, ("at", pa.int32()), ("core", pa.int64()), ("h
 MET_SQL = blobs.INTERVALS_SQL + ", at int, core long, hot boolean"
 
 
-def meet(sent: DataFrame, width: int, most_contexts: int) -> DataFrame:
+def meet(sent: DataFrame, width: int, most_contexts: int, hot_cores) -> DataFrame:
     """Intervals that are decided (core null), and contexts whose bytes are needed (start, stop, at, core, hot)."""
 
     def rows(a, which, start, stop, at=None, core=None, hot=None):
@@ -190,14 +210,16 @@ def meet(sent: DataFrame, width: int, most_contexts: int) -> DataFrame:
         new = np.ones(len(kept), bool)
         new[1:] = core[1:] != core[:-1]
         count = np.diff(np.append(np.flatnonzero(new), len(kept)))[np.cumsum(new) - 1] if len(kept) else np.zeros(0, np.int64)
-        x = kept[count > 1]
-        yield rows(a, a["doc"][x], a["start"][x], a["start"][x].astype(np.int64) + a["n"][x] + width - 1, a["at"][x], a["core"][x], count[count > 1] > most_contexts)
+        known = blobs.among(core, hot_cores.value)
+        wanted = known | (count > 1)
+        x = kept[wanted]
+        yield rows(a, a["doc"][x], a["start"][x], a["start"][x].astype(np.int64) + a["n"][x] + width - 1, a["at"][x], a["core"][x], (known | (count > most_contexts))[wanted])
 
     return sent.mapInArrow(run, MET_SQL)
 
 
 def fetch(docs: DataFrame, needed: DataFrame, width: int, flush: int = 16 << 20) -> DataFrame:
-    """The bytes of the needed contexts, to buckets by core; of hot cores each window, to buckets by its hash."""
+    """The bytes of the needed contexts, to buckets by core; of hot cores each window's hashes, to buckets by the first."""
     types, sql = blobs.schema(FETCHED)
     keys = bucket_keys(docs.sparkSession, partitions(docs.sparkSession))
     names = ("start", "stop", "at", "core", "hot")
@@ -205,7 +227,7 @@ def fetch(docs: DataFrame, needed: DataFrame, width: int, flush: int = 16 << 20)
     # all columns, so that the final join can read the same shuffle files
     joined = docs.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select(*docs.columns, *[F.col(f"w.{c}").alias(c) for c in names])
 
-    def send(found, k1, k2):
+    def send(found, hot, k1, k2):
         rows: dict[int, list] = {}
         for item in found:
             rows.setdefault(item[4] % len(keys), []).append(item)
@@ -215,30 +237,47 @@ def fetch(docs: DataFrame, needed: DataFrame, width: int, flush: int = 16 << 20)
             doc, start, n, at, core, parts = zip(*items, strict=True)
             columns = [np.array(x, t).tobytes() for x, t in ((start, "int32"), (n, "int32"), (at, "uint16"), (core, "uint64"))]
             out.append((keys[k], *blobs.documents_of(np.array(doc), k1, k2), *columns, b"".join(parts)))
-        return blobs.batch(out, types)
+        return blobs.batch(out + (send_windows(hot, k1, k2) if hot else []), types)
+
+    def send_windows(hot, k1, k2):
+        """Rows of windows by their hashes (no `at`), and of the intervals of those that this task has earlier (no `core`)."""
+        doc, start, first, second = map(np.concatenate, zip(*hot, strict=True))
+        kept, gone = once(place_of(k1, k2)[doc], start, first, second)
+        d, a, b = merged(doc[gone], start[gone], start[gone] + width)
+        out = []
+        if len(d):
+            out.append((keys[int(k2[d[0]]) % len(keys)], *blobs.documents_of(d, k1, k2), a.astype("int32").tobytes(), (b - a).astype("int32").tobytes(), b"", b"", b""))
+        bucket = (first[kept] % np.uint64(len(keys))).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        kept, bucket = kept[order], bucket[order]
+        edges = np.searchsorted(bucket, np.arange(len(keys) + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            x = kept[edges[k] : edges[k + 1]]
+            out.append((keys[k], *blobs.documents_of(doc[x], k1, k2), start[x].astype("int32").tobytes(), b"", b"", first[x].tobytes(), second[x].tobytes()))
+        return out
 
     @released
     def run(batches):
-        found, k1, k2, size = [], [], [], 0
+        found, windows, k1, k2, size = [], [], [], [], 0
         for batch in chunks(batches, 8 << 20):
             columns = [batch.column(c).to_pylist() for c in ("k1", "k2", *names)]
             for text, a, b, *rest in zip(byte_lists(batch.column("text")), *columns, strict=True):
                 k1.append(a)
                 k2.append(b)
                 for start, stop, at, core, hot in zip(*rest, strict=True):
+                    n = stop - start - width + 1
                     if not hot:
-                        found.append((len(k1) - 1, start, stop - start - width + 1, at, core & (2**64 - 1), text[start:stop]))
+                        found.append((len(k1) - 1, start, n, at, core & (2**64 - 1), text[start:stop]))
                         size += stop - start
                         continue
                     raw = np.frombuffer(text[start:stop], np.uint8)
-                    for k, h in enumerate(Slices(BYTE_SYMBOLS[raw]).runs(width).tolist()):
-                        found.append((len(k1) - 1, start + k, 1, 0, h, text[start + k : start + k + width]))
-                        size += width
+                    windows.append((np.full(n, len(k1) - 1), np.arange(start, stop - width + 1), *(Slices(symbols[raw]).runs(width) for symbols in (BYTE_SYMBOLS, SECOND_SYMBOLS))))
+                    size += 32 * n
             if size >= flush:
-                yield send(found, k1, k2)
-                found, k1, k2, size = [], [], [], 0
-        if found:
-            yield send(found, k1, k2)
+                yield send(found, windows, k1, k2)
+                found, windows, k1, k2, size = [], [], [], [], 0
+        if found or windows:
+            yield send(found, windows, k1, k2)
 
     return joined.mapInArrow(run, sql)
 
@@ -276,11 +315,23 @@ def later_windows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, at: np.ndar
 
 
 def sorted_intervals(fetched: DataFrame, width: int, limit: int, text_bytes: int = 1 << 18) -> DataFrame:
-    """The intervals of the windows that the suffix arrays show to come later."""
+    """The intervals of the windows that the suffix arrays, or hot windows' hashes, show to come later."""
 
     @released
     def run(batches):
-        a = blobs.arrays(batches, FETCHED)
+        local, hashed, held = [], [], []
+        for b in batches:
+            for k, (at, core) in enumerate(zip(b.column("at").to_pylist(), b.column("core").to_pylist(), strict=True)):
+                (held if at else hashed if core else local).append(b.slice(k, 1))
+        own = blobs.arrays(local, FETCHED)
+        if len(own["doc"]):
+            yield blobs.interval_batch(own["doc"], own["start"], own["start"].astype(np.int64) + own["n"], own["k1"], own["k2"])
+        own = blobs.arrays(hashed, FETCHED)
+        blobs.same_documents(own)
+        _, gone = once(own["doc"], own["start"], own["core"], own["bytes"].view(np.uint64))
+        yield blobs.interval_batch(*merged(own["doc"][gone], own["start"][gone], own["start"][gone].astype(np.int64) + width), own["k1"], own["k2"])
+        del own, local, hashed
+        a = blobs.arrays(held, FETCHED)
         blobs.same_documents(a)
         sizes = a["n"].astype(np.int64) + width - 1
         first = np.cumsum(sizes) - sizes
@@ -309,7 +360,8 @@ def sorted_intervals(fetched: DataFrame, width: int, limit: int, text_bytes: int
 def earlier_intervals(docs: DataFrame, width: int = WIDTH, most_contexts: int = MOST_CONTEXTS, limit: int = LIMIT) -> DataFrame:
     """k1, k2, start, stop: the bytes of a keyed document that windows cover which also start earlier."""
     p = partitions(docs.sparkSession)
-    met = meet(context_blobs(docs, width).repartition(p, "bucket"), width, most_contexts)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_cores(docs, width, most_contexts))
+    met = meet(context_blobs(docs, width, hot).repartition(p, "bucket"), width, most_contexts, hot)
     decided = met.where("core is null").select("k1", "k2", "start", "stop")
     fetched = fetch(docs, met.where("core is not null"), width).repartition(p, "bucket")
     return decided.union(sorted_intervals(fetched, width, limit))
@@ -333,7 +385,7 @@ def remove_earlier(docs: DataFrame, width: int = WIDTH, most_contexts: int = MOS
     Documents come in the order of doc_id, null last, and under one doc_id in
     that of their texts' hashes; rows that agree in both count as one
     document. A null text is empty. Other columns are ignored; no documents
-    give no rows.
+    give no rows. most_contexts and limit change no result.
     """
     rows = keyed(docs)
     types = pa.schema([("k1", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])

@@ -8,9 +8,9 @@ so that the interval that holds at a time is the latest entry as of then.
 
 Captures bring few different sites (host and first path part). The intervals of
 a site's patterns are gathered once a site; captures join them by site and look
-up their fetch time in a list of a few intervals. A site with a third of all
-captures is then a skewed equi-join with one row on the other side, which
-adaptive execution splits.
+up, as of their fetch time, the interval that holds in a list of a few. A site
+with a large share of all captures is dealt out over several keys, and its one
+row on the other side is copied to each.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmatch.llm.common import free_name, partitions
+
 FIRST_DAY = "2024-01-01"
 
 
@@ -39,26 +41,45 @@ def intervals(entries: DataFrame) -> DataFrame:
     return dated.where("action = 'add' and (until is null or until > at)").select("pattern", F.col("at").alias("since"), "until")
 
 
+def dealt(captures: DataFrame, site: str, parts: str) -> DataFrame:
+    """site and parts: over how many keys the captures of a site with many are dealt, so that each has an even share of a task.
+
+    No more than four sites a partition can have so many, so the result is small.
+    """
+    tasks = 4 * partitions(captures.sparkSession)
+    each = max(1, -(-captures.count() // tasks))
+    counts = captures.groupBy(site).agg(F.count("*").alias(parts)).where(F.col(parts) > each)
+    return counts.withColumn(parts, F.ceil(F.col(parts) / each).cast("int"))
+
+
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """The captures with host, blocked, pattern and since: of the patterns that held when it was fetched the longest.
 
-    A null or odd URL, or a null time, is not blocked. Captures are kept row
-    by row, with their other columns; those named like the four are replaced.
+    Of equally long ones the last in order, of its intervals the latest. A null
+    or odd URL, or a null time, is not blocked; an interval holds at its first
+    moment and no more at its last. Captures are kept row by row, repeated ones
+    too, with their other columns, whatever their names; those named like the
+    four are replaced. Repeated entries count once. Without entries nothing is
+    blocked; no captures give no rows.
     """
     host, part = site_of(F.col(url))
     captures = captures.drop("host", "blocked", "pattern", "since").withColumn("host", host)
-    site = F.concat_ws("/", F.coalesce("host", F.lit("")), F.lower(part))
-    captures = captures.withColumn("_site", F.coalesce(site, F.lit("")))
-    labels = F.split(F.split_part("_site", F.lit("/"), F.lit(1)), r"\.")
+    columns = [F.col(f"`{c}`") for c in captures.columns]
+    site, parts, salt, held = (free_name(captures, n) for n in ("site", "parts", "salt", "held"))
+    captures = captures.withColumn(site, F.concat_ws("/", F.coalesce("host", F.lit("")), F.lower(part)))
+    hot = F.broadcast(dealt(captures, site, parts))
+    labels = F.split(F.split_part(site, F.lit("/"), F.lit(1)), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    keys = F.array_distinct(F.concat(suffixes, F.array("_site")))
-    sites = captures.select("_site").distinct().where("_site <> ''").select("_site", F.explode(keys).alias("pattern"))
-    held = sites.join(intervals(entries), "pattern").groupBy("_site").agg(F.collect_list(F.struct(F.length("pattern").alias("size"), "pattern", "since", "until")).alias("_held"))
-    now = F.col(fetched)
-    active = F.filter("_held", lambda x: (x["since"] <= now) & (x["until"].isNull() | (x["until"] > now)))
-    best = F.array_max(active)
-    joined = captures.join(held, "_site", "left").withColumn("_best", best)
-    return joined.select(*[c for c in captures.columns if c != "_site"], F.col("_best").isNotNull().alias("blocked"), F.col("_best.pattern").alias("pattern"), F.col("_best.since").alias("since"))
+    keys = F.array_distinct(F.concat(suffixes, F.array(site)))
+    sites = captures.select(site).distinct().where(F.col(site) != "").select(site, F.explode(keys).alias("pattern"))
+    found = sites.join(intervals(entries), "pattern").groupBy(site).agg(F.collect_list(F.struct(F.length("pattern").alias("size"), "pattern", "since", "until")).alias(held))
+    found = found.join(hot, site, "left").select(site, held, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1)).alias(salt))
+    salted = captures.join(hot, site, "left").withColumn(salt, F.when(F.col(parts).isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col(parts)).cast("int")))
+    now = F.col(f"`{fetched}`")
+    best = F.array_max(F.filter(held, lambda x: (x["since"] <= now) & (x["until"].isNull() | (x["until"] > now))))
+    joined = salted.join(found, [site, salt], "left").withColumn(held, F.array(best))
+    best = F.get(held, F.lit(0))
+    return joined.select(*columns, best.isNotNull().alias("blocked"), best["pattern"].alias("pattern"), best["since"].alias("since"))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
@@ -83,6 +104,11 @@ def entries_of(pages: DataFrame) -> DataFrame:
 
 
 def filter_pages(pages: DataFrame) -> DataFrame:
+    """page_id, host, fetched_at, blocked, pattern and since of every page, by the made-up fetch times and list.
+
+    Odd and null URLs have no host and are not blocked; a null page_id has no
+    fetch time and is not either; repeated pages are kept; no pages give none.
+    """
     done = evaluate(captures_of(pages), entries_of(pages))
     return done.select("page_id", "host", F.col("fetched_at").cast("string").alias("fetched_at"), "blocked", "pattern", F.col("since").cast("string").alias("since"))
 

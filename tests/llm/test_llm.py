@@ -640,6 +640,25 @@ def test_url_times(spark):
     assert urlfilter.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_hot_site(spark):
+    """A site with most captures is dealt out; results, other columns and repeated rows are as without."""
+    urls = ["http://big.example/a"] * 400 + [f"http://h{k}.org/" for k in range(60)] + [None] * 100
+    captures = spark.createDataFrame([(k, u, k % 40) for k, u in enumerate(urls)], "k int, url string, fetched_at int").withColumns({c: F.lit("mine") for c in ("site", "parts", "salt", "held", "until")})
+    entries = spark.createDataFrame([("big.example", "add", 10), ("big.example", "remove", 20), ("h3.org", "add", 0), ("big.example", "add", 10)], "pattern string, action string, at int")
+    rows = urlfilter.evaluate(captures, entries).collect()
+    assert sorted(r.k for r in rows) == list(range(560)) and {(r.site, r.parts, r.salt, r.held, r.until) for r in rows} == {("mine",) * 5}
+    assert {r.k for r in rows if r.blocked} == {k for k in range(400) if 10 <= k % 40 < 20} | {403}
+    hot = urlfilter.dealt(captures.withColumn("_s", F.coalesce("url", F.lit(""))), "_s", "_n").collect()
+    assert {r._s: r._n for r in hot} == {"http://big.example/a": 12, "": 3}
+
+
+def test_pages_odd(spark):
+    pages = spark.createDataFrame([(None, "http://a.b/"), (1, None), (2, "odd"), (2, "odd"), (3, "")], "page_id long, url string")
+    rows = urlfilter.filter_pages(pages).collect()
+    assert len(rows) == 5 and not any(r.blocked for r in rows if r.page_id is not None)
+    assert urlfilter.filter_pages(pages.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- 8: suffix arrays
 @given(st.text("ab", max_size=60), st.integers(1, 4), st.sampled_from([3, 4_000_000]))
 @settings(max_examples=200, deadline=None)
@@ -726,6 +745,44 @@ def test_substring_made_up(spark, odd, width):
     assert got == brute_repeated(rows, width)
 
 
+def line_everywhere(n):
+    """Documents of their own words around one line that all have."""
+    random.seed(n)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(random.randint(2, 7)))
+    line = " ".join(word() for _ in range(22))
+    return [(k, " ".join([*(word() for _ in range(random.randint(0, 30))), line, *(word() for _ in range(random.randint(0, 30)))])) for k in range(n)]
+
+
+def test_hot_line(spark):
+    """A line that all documents have gives the same results however its windows are dealt out."""
+    rows = line_everywhere(300)
+    df = frame(spark, rows)
+    want = brute_earlier(rows, 100)
+    assert earlier(df, 100) == earlier(df, 100, 20) == want
+    assert len(suffix.hot_cores(suffix.keyed(df), 100, 20)) > 0
+    want = brute_repeated(rows, 12)
+    got = lambda *args: sorted((tuple(r)[:4] for r in substring.remove_repeated(df, 12, *args).collect()), key=str)
+    assert got() == got(40) == want
+
+
+def test_hot_line_is_dealt_out(spark):
+    """No bucket has much more than its share of the windows about a common line; without the hot runs one has a third and more."""
+    rows = [(k, t.split(" ", 8)[-1]) for k, t in line_everywhere(600)]
+    keyed = substring.keyed(frame(spark, rows)).coalesce(1)
+
+    def most(hot):
+        sizes = Counter()
+        for r in substring.window_blobs(keyed, 35, hot).select("bucket", "hash").collect():
+            sizes[r.bucket] += len(r.hash) // 8
+        return max(sizes.values()) / sum(sizes.values())
+
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert most(200) < 0.12 < 0.2 < most(10**9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_stages_on_nothing(none, sf_dir, spark):
     import corpus_pipeline as P
 
@@ -783,7 +840,7 @@ def test_bk_tree():
             assert sorted(tree.within(q, radius)) == [k for k, v in enumerate(values) if (v ^ q).bit_count() <= radius]
 
 
-@pytest.mark.parametrize("split", [False, True])
+@pytest.mark.parametrize("split", [simhash.SPLIT_FROM, 20, 1])
 def test_links_and_components(spark, split):
     random.seed(3)
     fps = [random.getrandbits(64) for _ in range(40)]
