@@ -1,13 +1,16 @@
 """The training-data operators against brute force, and on odd inputs."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import same_rows
+from conftest import ROOT, same_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -660,7 +663,7 @@ def test_pages_odd(spark):
 
 
 # ---------------------------------------------------------------- 8: suffix arrays
-@given(st.text("ab", max_size=60), st.integers(1, 4), st.sampled_from([3, 4_000_000]))
+@given(st.text("ab", max_size=60), st.integers(1, 4), st.sampled_from([1, 3, 20, 4_000_000]))
 @settings(max_examples=200, deadline=None)
 def test_suffix_array(t, times, limit):
     t = (t * times).encode()
@@ -671,6 +674,41 @@ def test_suffix_array(t, times, limit):
     assert common.tolist() == [0, *(shared(a, b) for a, b in zip(want, want[1:], strict=False))][: len(t)]
 
 
+SORT = """
+import sys, threading, time
+import numpy as np
+from kinmatch.llm import induced
+anon = lambda: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon"))
+limit, n = int(sys.argv[1]), int(sys.argv[2])
+rng, text = np.random.default_rng(0), induced.disk_array(n, np.uint8)
+for a in range(0, n, 10_000):
+    text[a : a + 10_000] = rng.integers(97, 101, min(10_000, n - a))
+base, peak, done = anon(), [0], []
+def watch():
+    while not done:
+        peak[0] = max(peak[0], anon())
+        time.sleep(0.002)
+thread = threading.Thread(target=watch)
+thread.start()
+order, common = induced.suffix_array(text, 42, limit)
+done.append(1)
+thread.join()
+print((peak[0] - base) // 1024, int((order * np.arange(n)).sum()), int(common.sum()))
+"""
+
+
+def test_suffix_array_larger_than_memory():
+    """What the sort holds itself goes by the limit: far below the text's need in lists, and little more for four times the text."""
+
+    def run(limit, n):
+        out = subprocess.run([sys.executable, "-c", SORT, str(limit), str(n)], check=True, capture_output=True, text=True, cwd=ROOT, env={**os.environ, "PYTHONPATH": str(ROOT)}).stdout
+        return [int(x) for x in out.split()]
+
+    lists, small, large = run(10**9, 800_000), run(5000, 200_000), run(5000, 800_000)
+    assert large[1:] == lists[1:]
+    assert large[0] < lists[0] / 4 and large[0] < small[0] + 12
+
+
 def brute_earlier(rows, w):
     seen, out = set(), []
     for i, t in rows:
