@@ -1,16 +1,20 @@
 """Log-bilinear language model, trained by noise-contrastive estimation, and text scores.
 
 Every token of the corpus is counted. The `words` most frequent tokens are
-outputs of the model; every other token falls, by a hash of its first bytes,
-in one of `classes` further outputs. The context is the last `context` outputs:
-their vectors, each scaled by its place's own vector, add up to a prediction,
-and an output's score is its vector times the prediction plus its bias
-(Mnih and Hinton 2007). Training sets the score of a token apart from those of
-noise tokens drawn by frequency (Gutmann and Hyvarinen 2010), in numpy.
-
-Training mixes parameters: every task goes through its share of the corpus
-from the same start, then the tasks' parameters are averaged by tokens, and so
-on for `rounds` disjoint parts of the corpus.
+outputs of the model; every other token falls in one of `classes` further
+outputs, by its first bytes: these name one of `buckets`, and buckets whose
+words stand beside the same frequent words, counted over the whole corpus, are
+one class (k-means). The context is the last `context` outputs: their vectors,
+each scaled by its place's own vector, add up to a prediction, and an output's
+score is its vector times the prediction plus its bias (Mnih and Hinton 2007).
+Training sets the score of a token apart from those of noise tokens drawn by
+frequency (Gutmann and Hyvarinen 2010), in numpy.
+
+Training mixes parameters and goes over the corpus once, whatever its size:
+documents are dealt by a hash to rounds, and in a round to shards of about
+`shard_tokens` tokens. Every shard is gone through from the same start, in the
+order of its documents' keys, then the shards' parameters are averaged by
+tokens. So the model does not depend on how the input is split into tasks.
 
 A text's score adds, over its tokens, the log of the output's probability,
 normalised over all outputs by one matrix product for a batch of positions;
@@ -28,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,22 +42,25 @@ from kinmatch.llm.rolling import slice_hashes, word_places
 #: The token that ends a text; no word is empty.
 END = b""
 SMOOTH = 0.1
-HASHED = 3
+#: Tasks that train at once, at most, each on one shard.
+MOST_SHARDS = 4096
 
 
 @dataclass(frozen=True)
 class Settings:
     words: int = 447  # besides the end
     classes: int = 64
+    #: First bytes of a word that name its bucket, the number of buckets, and of frequent words whose company tells them apart.
+    prefix: int = 4
+    buckets: int = 8192
+    near: int = 128
     size: int = 16
     context: int = 4
     noise: int = 64
-    batch: int = 1024
+    batch: int = 512
     rate: float = 0.1
     rounds: int = 2
-    #: Small corpora are gone through again until about so many tokens have been trained on, `passes` times at most.
-    train_tokens: int = 12_000_000
-    passes: int = 10
+    shard_tokens: int = 1_000_000
     #: Tokens whose counts are broadcast, at most; the counts of all others are joined.
     broadcast_tokens: int = 131_072
     seed: int = 11
@@ -66,8 +74,12 @@ def held_out() -> Column:
     return F.crc32(id_text().cast("binary")) % 10 == 0
 
 
-def class_of(token: bytes, classes: int) -> int:
-    return zlib.crc32(token[:HASHED]) % classes
+def bucket_of(token: bytes, settings: Settings) -> int:
+    return zlib.crc32(token[: settings.prefix]) % settings.buckets
+
+
+def bucket_column(settings: Settings) -> Column:
+    return (F.crc32(F.expr(f"substring(token, 1, {settings.prefix})")) % settings.buckets).cast("int")
 
 
 @dataclass
@@ -134,6 +146,7 @@ class Vocabulary:
     end_count: int
     class_total: np.ndarray
     class_types: np.ndarray
+    table: np.ndarray  # the class of each bucket
 
     def output_counts(self, settings: Settings) -> np.ndarray:
         counts = np.zeros(settings.outputs)
@@ -157,7 +170,7 @@ class Lexicon(ByValue):
         stops = np.cumsum([len(t) for t in v.heads], dtype=np.int64)
         hashes = slice_hashes(b"".join(v.heads), stops - [len(t) for t in v.heads], stops) if v.heads else np.zeros(0, np.uint64)
         order = np.argsort(hashes)
-        number = np.array([class_of(t, s.classes) for t in v.heads], np.int64)
+        number = v.table[np.array([bucket_of(t, s) for t in v.heads], np.int64)]
         share = np.log10(np.array(v.counts, float) + SMOOTH)
         low = math.log10(v.total + SMOOTH * (v.types + 1))
         inside = np.log10(v.class_total + SMOOTH * (v.class_types + 1))
@@ -177,12 +190,94 @@ class Lexicon(ByValue):
         out, low, inside = np.zeros(len(head), np.int64), np.zeros(len(head)), np.zeros(len(head))
         out[head], low[head], inside[head] = self.out[at[head]], self.low[at[head]], self.inside[at[head]]
         rest = np.flatnonzero(~head)
-        out[rest] = [self.base + class_of(t, self.settings.classes) for t in w.bytes_of(rest)]
+        out[rest] = self.base + self.vocab.table[np.array([bucket_of(t, self.settings) for t in w.bytes_of(rest)], np.int64)]
         return out, low, inside, head
 
 
-def vocabulary(counts: DataFrame, settings: Settings) -> Vocabulary:
-    """From all counts. The heads are the tokens with counts of at least the least limit that keeps them within broadcast_tokens."""
+class Company(ByValue):
+    """Numbers of words: those of `heads`, from 1 on, or else behind these the bucket's. Broadcast, it is made once a worker."""
+
+    def __init__(self, heads: list[bytes], settings: Settings):
+        self.heads, self.settings, self.hashes = heads, settings, None
+
+    def __getstate__(self) -> dict:
+        return {"heads": self.heads, "settings": self.settings, "hashes": None}
+
+    def __call__(self, w: Words) -> np.ndarray:
+        if self.hashes is None:
+            stops = np.cumsum([len(t) for t in self.heads], dtype=np.int64)
+            hashes = slice_hashes(b"".join(self.heads), stops - [len(t) for t in self.heads], stops)
+            self.order = np.argsort(hashes)
+            self.hashes = hashes[self.order]
+        at = np.minimum(np.searchsorted(self.hashes, w.hashes), len(self.hashes) - 1)
+        head = self.hashes[at] == w.hashes
+        out, rest = self.order[at] + 1, np.flatnonzero(~head)
+        out[rest] = [len(self.heads) + 1 + bucket_of(t, self.settings) for t in w.bytes_of(rest)]
+        return out
+
+
+def company(docs: DataFrame, heads: list[bytes], settings: Settings) -> np.ndarray:
+    """(buckets, near): how often a word of each bucket has each of the most frequent words one or two places before or behind it."""
+    near, parts = settings.near, 16
+    numbers = docs.sparkSession.sparkContext.broadcast(Company(heads, settings))
+    types = pa.schema([("g", pa.int32()), ("counts", pa.binary())])
+
+    def rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], schema=types)
+
+    @released
+    def run(batches):
+        total, first = np.zeros(settings.buckets * near, np.int64), len(heads) + 1
+        for batch in chunks(batches, 4 << 20):
+            w = Words.of(byte_lists(batch.column("text")))
+            ids, sizes = w.with_ends(numbers.value(w), 0)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            for step in (1, 2):
+                same = doc[step:] == doc[:-step]
+                for own, other in ((ids[step:], ids[:-step]), (ids[:-step], ids[step:])):
+                    at = np.flatnonzero(same & (own >= first) & (other > 0) & (other < min(near, first)))
+                    total += np.bincount((own[at] - first) * near + other[at], minlength=len(total))
+        yield rows(dict(enumerate(np.array_split(total, parts))))
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for g, x in zip(batch.column("g").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                total[g] = total.get(g, 0) + np.frombuffer(x, np.int64)
+        yield rows(total)
+
+    found = {r["g"]: np.frombuffer(r["counts"], np.int64) for r in docs.select("text").mapInArrow(run, "g int, counts binary").repartition(parts, "g").mapInArrow(add, "g int, counts binary").collect()}  # one row a part
+    return np.concatenate([found[g] for g in range(parts)]).reshape(settings.buckets, near) if found else np.zeros((settings.buckets, near), np.int64)
+
+
+def class_table(counts: np.ndarray, mass: np.ndarray, settings: Settings, steps: int = 12, prior: float = 5.0) -> np.ndarray:
+    """The class of each bucket: weighted k-means of the square roots of their company's shares."""
+    k, seen = settings.classes, mass > 0
+    table = np.arange(len(mass)) % k
+    if not counts.sum() or seen.sum() <= k:
+        return table
+    rng, weight = np.random.default_rng(settings.seed), mass[seen].astype(float)
+    shares = (counts[seen] + prior * counts.sum(0) / counts.sum()) / (counts[seen].sum(1, keepdims=True) + prior)
+    x = np.sqrt(shares)
+    centres = [x[weight.argmax()]]
+    far = ((x - centres[0]) ** 2).sum(1)
+    for _ in range(k - 1):
+        odds = far * weight
+        centres.append(x[rng.choice(len(x), p=odds / odds.sum()) if odds.sum() > 0 else rng.integers(len(x))])
+        far = np.minimum(far, ((x - centres[-1]) ** 2).sum(1))
+    centres = np.array(centres)
+    for _ in range(steps):
+        own = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
+        total = np.bincount(own, weight, k)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x * weight[:, None])
+        centres[total > 0] = sums[total > 0] / total[total > 0, None]
+    table[seen] = own
+    return table
+
+
+def vocabulary(counts: DataFrame, docs: DataFrame, settings: Settings) -> Vocabulary:
+    """From all counts and the company of rare words in docs. The heads are the tokens with counts of at least the least limit that keeps them within broadcast_tokens."""
     words = counts.where(F.length("token") > 0)
     step = F.floor(F.log2("c") * 8).cast("int")
     sizes = {r[0]: r[1] for r in words.groupBy(step.alias("s")).count().collect()}
@@ -194,16 +289,16 @@ def vocabulary(counts: DataFrame, settings: Settings) -> Vocabulary:
     heads = sorted(((bytes(r[0]), r[1]) for r in words.where(step >= limit).collect()), key=lambda x: (-x[1], x[0]))
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = counts.where(F.length("token") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    number = F.crc32(F.expr(f"substring(token, 1, {HASHED})")) % settings.classes
-    by_class = {r[0]: r[1:] for r in words.groupBy(number.alias("n")).agg(F.sum("c"), F.count("*")).collect()}
-    class_total, class_types = np.zeros(settings.classes), np.zeros(settings.classes)
-    for n, x in by_class.items():
-        class_total[n], class_types[n] = x
     n = min(settings.words, len(heads))
+    mass, kinds = np.zeros(settings.buckets, np.int64), np.zeros(settings.buckets, np.int64)
+    for b, c, t in words.groupBy(bucket_column(settings).alias("b")).agg(F.sum("c"), F.count("*")).collect():  # one row a bucket
+        mass[b], kinds[b] = c, t
     for t, c in heads[:n]:
-        class_total[class_of(t, settings.classes)] -= c
-        class_types[class_of(t, settings.classes)] -= 1
-    return Vocabulary([t for t, _ in heads], [c for _, c in heads], n, total, types, end, class_total, class_types)
+        mass[bucket_of(t, settings)] -= c
+        kinds[bucket_of(t, settings)] -= 1
+    outputs = [t for t, _ in heads[:n]]
+    table = class_table(company(docs, outputs, settings) if n else np.zeros((settings.buckets, settings.near)), mass, settings)
+    return Vocabulary([t for t, _ in heads], [c for _, c in heads], n, total, types, end, np.bincount(table, mass, settings.classes), np.bincount(table, kinds, settings.classes), table)
 
 
 @dataclass
@@ -313,53 +408,57 @@ def average(parts: list[tuple[float, np.ndarray]]) -> tuple[float, np.ndarray]:
 
 
 def train(docs: DataFrame, vocab: Vocabulary, lexicon, settings: Settings) -> Model:
-    """From all rows of docs, each in one of the rounds. lexicon: a broadcast Lexicon."""
+    """From all rows of keyed docs, each in one shard of one round. lexicon: a broadcast Lexicon."""
     sc = docs.sparkSession.sparkContext
     counts = vocab.output_counts(settings) + SMOOTH
     shares = counts / counts.sum()
     model = Model.new(shares, settings)
+    shards = min(MOST_SHARDS, max(1, round(vocab.total / settings.rounds / settings.shard_tokens)))
     groups = 16
-    sql = "g int, weight double, flat binary"
-    types = pa.schema([("g", pa.int32()), ("weight", pa.float64()), ("flat", pa.binary())])
+    sql = "g int, shard int, weight double, flat binary"
+    types = pa.schema([("g", pa.int32()), ("shard", pa.int32()), ("weight", pa.float64()), ("flat", pa.binary())])
 
-    def row(g, weight, flat):
-        return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([weight]), pa.array([flat.astype("f4").tobytes()])], schema=types)
+    def row(g, shard, weight, flat):
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([shard], pa.int32()), pa.array([weight]), pa.array([flat.tobytes()])], schema=types)
 
     def passes(start):
         @released
         def run(batches):
-            trainer, first = None, 0
+            trainer, shard = None, TaskContext.get().partitionId()
             for batch in chunks(batches, 4 << 20):
                 w = Words.of(byte_lists(batch.column("text")))
                 ids, sizes = w.with_ends(lexicon.value(w)[0], 0)
                 if trainer is None:
-                    first = len(ids)
-                    trainer = Trainer(Model.of(start.value, settings), shares, settings, settings.seed + len(ids))
+                    trainer = Trainer(Model.of(start.value, settings), shares, settings, settings.seed + shard)
                 contexts = np.asfortranarray(contexts_of(ids, sizes, settings.context))
                 for at in range(0, len(ids), settings.batch):
                     trainer.step(contexts[at : at + settings.batch], ids[at : at + settings.batch])
             if trainer is not None:
-                yield row(first % groups, float(trainer.seen), trainer.model.flat())
+                yield row(shard % groups, shard, float(trainer.seen), trainer.model.flat().astype("f8"))
 
         return run
 
+    def mixed(rows: list[tuple[int, float, bytes]]) -> tuple[float, np.ndarray]:
+        return average([(w, np.frombuffer(x, "f8")) for _, w, x in sorted(rows)])
+
     def mix(batches):
-        held = [(w, np.frombuffer(x, "f4").astype("f8")) for b in batches for w, x in zip(b.column("weight").to_pylist(), b.column("flat").to_pylist(), strict=True)]
+        held = [x for b in batches for x in zip(b.column("shard").to_pylist(), b.column("weight").to_pylist(), b.column("flat").to_pylist(), strict=True)]
         if held:
-            yield row(0, *average(held))
+            yield row(0, held[0][0] % groups, *mixed(held))
 
-    part = F.pmod(F.xxhash64(id_text()), F.lit(settings.rounds))
-    passes_over = max(1, min(settings.passes, round(settings.train_tokens / max(1, vocab.total))))
-    for k in range(settings.rounds * passes_over):
+    key = F.xxhash64("k1", "k2")
+    for k in range(settings.rounds):
         start = sc.broadcast(model.flat())
-        mixed = docs.where(part == k % settings.rounds).select("text").mapInArrow(passes(start), sql).repartition(groups, "g").mapInArrow(mix, sql).collect()  # one row a group
-        if mixed:
-            model = Model.of(average([(r["weight"], np.frombuffer(r["flat"], "f4").astype("f8")) for r in mixed])[1], settings)
+        # in an order that the input's tasks have no part in
+        part = docs.where(F.pmod(key, F.lit(settings.rounds)) == k).select("k1", "k2", "text").repartition(shards, key).sortWithinPartitions("k1", "k2").select("text")
+        rows = part.mapInArrow(passes(start), sql).repartition(groups, "g").mapInArrow(mix, sql).collect()  # one row a group
+        if rows:
+            model = Model.of(mixed([(r["shard"], r["weight"], r["flat"]) for r in rows])[1], settings)
     return model
 
 
-SCORED = "k1 long, k2 long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-SCORED_TYPES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+SCORED = "k1 long, k2 long, token binary, n long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+SCORED_TYPES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("token", pa.binary()), ("n", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -368,19 +467,21 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     Learns from the rows that are not held out; a null id counts as the empty
     text there. A null text is empty: it has one token, the end. Equal rows
     get equal scores; other columns are ignored; no documents give no rows,
-    and with none to learn from every output is as likely as any other.
+    and with none to learn from every output is as likely as any other. Of
+    tokens of equal count the least by bytes comes first in the vocabulary.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = keyed(docs).withColumn("doc_id", real_id()).withColumn("held_out", held_out())
     learn = rows.where(~F.col("held_out"))
     counts = checkpoint(count_tokens(learn))
-    vocab = vocabulary(counts, settings)
+    vocab = vocabulary(counts, learn, settings)
     lexicon = sc.broadcast(Lexicon(vocab, settings))
-    model = sc.broadcast(train(learn.select("doc_id", "text"), vocab, lexicon, settings))
+    model = sc.broadcast(train(learn, vocab, lexicon, settings))
 
     @released
     def run(batches):
+        """A row for each document, under a token that no text has, and one for each of its tokens whose count is not broadcast."""
         for batch in chunks(batches, 4 << 20):
             w, known_words = Words.of(byte_lists(batch.column("text"))), lexicon.value
             out, low, inside, head = known_words(w)
@@ -388,14 +489,11 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
             logs = model.value.log_probabilities(contexts_of(ids, sizes, settings.context), ids).astype("f8") / math.log(10) + w.with_ends(inside, 0.0)[0]
             first = np.cumsum(sizes) - sizes
             sums = [np.add.reduceat(x, first) for x in (w.with_ends(head.astype(np.int64), int(known_words.end_known))[0], w.with_ends(low, known_words.end_low)[0], logs)]
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("held_out"), pa.array(sizes), *map(pa.array, sums)], schema=SCORED_TYPES)
+            k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
+            names = pa.array([b" %d %d" % key for key in zip(k1.tolist(), k2.tolist(), strict=True)], pa.binary())
+            nulls = lambda n, columns: [pa.nulls(n, SCORED_TYPES.field(c).type) for c in columns]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), names, *nulls(len(k1), ["n"]), batch.column("held_out"), pa.array(sizes), *map(pa.array, sums)], schema=SCORED_TYPES)
 
-    @released
-    def others(batches):
-        types = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("token", pa.binary()), ("n", pa.int64()), ("head", pa.int64())])
-        for batch in chunks(batches, 4 << 20):
-            w = Words.of(byte_lists(batch.column("text")))
-            head = lexicon.value(w)[3]
             rest = np.flatnonzero(~head)
             number = np.full(len(head), -1, np.int64)
             number[rest] = np.arange(len(rest))
@@ -404,23 +502,19 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
             codes, pairs = pd.factorize(doc * max(1, len(rest)) + number[w.codes[at]])
             doc, token = pairs // max(1, len(rest)), pairs % max(1, len(rest))
             words = pa.array(w.bytes_of(rest), pa.binary()).take(pa.array(token, pa.int64()))
-            first = np.ones(len(doc), np.int64)
-            first[1:] = doc[1:] != doc[:-1]
-            k1, k2 = (batch.column(c).to_numpy()[doc] for c in ("k1", "k2"))
-            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), words, pa.array(np.bincount(codes, minlength=len(pairs)).astype(np.int64)), pa.array(first)], schema=types)
-
-    scored = rows.select("k1", "k2", "held_out", "text").mapInArrow(run, SCORED)
-    rare = rows.select("k1", "k2", "text").mapInArrow(others, "k1 long, k2 long, token binary, n long, head long")
-    met = rare.join(counts, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    number = (F.crc32(F.expr(f"substring(token, 1, {HASHED})")) % settings.classes).cast("int")
-    inside = F.lit((vocab.class_total + SMOOTH * (vocab.class_types + 1)).tolist())
+            often = pa.array(np.bincount(codes, minlength=len(pairs)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(k1[doc]), pa.array(k2[doc]), words, often, *nulls(len(pairs), SCORED_TYPES.names[4:])], schema=SCORED_TYPES)
+
+    met = rows.select("k1", "k2", "held_out", "text").mapInArrow(run, SCORED).join(counts, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    inside = F.lit(np.log10(vocab.class_total + SMOOTH * (vocab.class_types + 1))[vocab.table].tolist())
     share = F.log10(F.col("c") + SMOOTH)
     low = math.log10(vocab.total + SMOOTH * (vocab.types + 1))
-    # rows that agree in id and text bring their tokens once each; "head" marks one token of a row
+    told = ("held_out", "n_tokens", "n_known", "base_score", "score")
+    # rows that agree in id and text bring their tokens once each
     added = met.groupBy("k1", "k2").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * (share - low)).alias("low"), F.sum(F.col("n") * (share - F.log10(F.get(inside, number)))).alias("inside"), F.sum("head").alias("rows")
+        F.count("n_tokens").alias("rows"), *[F.max(c).alias(c) for c in told], F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("known"), F.sum(F.col("n") * (share - low)).alias("low"), F.sum(F.col("n") * (share - F.get(inside, bucket_column(settings)))).alias("inside")
     )
     more = lambda c: F.coalesce(F.col(c) / F.col("rows"), F.lit(0.0))
-    return scored.join(added, ["k1", "k2"], "left").select(
+    return added.select("*", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))).select(
         real_id(), "held_out", "n_tokens", (F.col("n_known") + F.round(more("known")).cast("long")).alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"), (F.col("base_score") + more("low")).alias("base_score"), (F.col("score") + more("inside")).alias("score")
     )
