@@ -1009,12 +1009,29 @@ def test_near_copies(spark, odd, none):
     want = brute_similar(rows)
     got = {r.doc_id for r in P.near_duplicates(spark, frame(spark, rows), "").collect()}
     assert got == want
+    assert {r.doc_id for r in jaccard.keep_one(frame(spark, rows), split_from=3).collect()} == want
     old = {r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()}
     assert len(old) > len(want)
     assert P.near_duplicates(spark, odd, "").columns == odd.columns and P.near_duplicates(spark, none, "").count() == 0
     assert P.near_duplicates(spark, odd, "").where("text = ''").count() == 1
 
 
+def test_near_copies_around_a_passage(spark):
+    """Texts that have most of their words in common, in groups of their own: their one band is split, and no link is lost."""
+    random.seed(21)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for k in range(50):
+        own = [word() for _ in range(40)]
+        for c in range(3):
+            rows.append((3 * k + c, " ".join([*passage, *own[:36], *(word() if c and random.random() < 0.5 else w for w in own[36:])])))
+    want = brute_similar(rows)
+    assert 40 < len(want) < 120
+    for split in (jaccard.SPLIT_FROM, 20):
+        assert {r.doc_id for r in jaccard.keep_one(frame(spark, rows), split_from=split).collect()} == want
+
+
 # ---------------------------------------------------------------- the pipeline
 def brute_cut(rows, w=100):
     """The texts less what occurs earlier."""
