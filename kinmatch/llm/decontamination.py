@@ -36,13 +36,14 @@ from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinmatch.llm.common import bounded_batches, broadcast_if_small, byte_lists, ByValue, checkpoint, chunks, keyed, real_id, released, with_keys
-from kinmatch.llm.rolling import mix, Slices
+from kinmatch.llm.rolling import mix, slice_hashes, Slices, word_places
 
 WIDTH = 8
 #: The share of an item's template words that an alignment has to cover, and how many it takes at least.
@@ -54,9 +55,10 @@ LITERALS = 3
 BLOCK_WORDS = 4
 #: Bits of the map of the benchmark's keys.
 BITS = 1 << 25
-#: Rows of a side that is broadcast, at most; a row takes some tens of bytes in the first, a document's matches in the second.
+#: Rows of a side that is broadcast, at most: of a few numbers each (windows, keys), and of a document's matches.
 MOST_WINDOWS, MOST_FOUND = 200_000, 50_000
-CACHED_WORDS = 400_000
+#: Words that a worker keeps, at most; then it begins anew.
+CACHED_WORDS = 2_000_000
 
 UNITS = frozenset(
     b"mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms oz ounce ounces lb lbs pound pounds ton tons ml l liter liters litre litres gallon gallons cup cups"
@@ -79,10 +81,11 @@ def describe(word: bytes) -> bytes:
     import xxhash
 
     bare = word.strip(MARKS)
-    low = bare.decode(errors="replace").lower().encode()
+    text = bare.decode(errors="replace")
+    low = text.lower().encode()
     flags = _NUMBER if NUMBER.match(bare) else 0
     flags |= _UNIT if low in UNITS else 0
-    flags |= _CAPITAL if bare[:1].isalpha() and bare[:1].isupper() or bare[:1] > b"\x7f" and bare.decode(errors="replace")[:1].isupper() else 0
+    flags |= _CAPITAL if text[:1].isupper() else 0
     flags |= _STOP if word.endswith(STOPS) else 0
     flags |= 0 if bare else _EMPTY
     flags |= _MARK if word[-1:] in MARKS else 0
@@ -90,25 +93,39 @@ def describe(word: bytes) -> bytes:
 
 
 class Templates(ByValue):
-    """Template words of texts. Broadcast, it keeps its words from task to task of a worker."""
+    """Template words of texts. Broadcast, it keeps its words, by their hashes, from task to task of a worker."""
 
     def __init__(self, cached: int = CACHED_WORDS):
-        self.cached, self.known = cached, {}
+        self.cached = cached
+        self._forget()
 
     def __getstate__(self) -> dict:
-        return vars(self) | {"known": {}}
+        return {"cached": self.cached}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
+    def _forget(self) -> None:
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, _ROW)
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every word of all texts: its text, what may be made of it, and its hash."""
-        lists = [t.split() for t in texts]
-        words, known = set().union(*lists), self.known
-        if len(known) > self.cached:
-            self.known = known = {w: known[w] for w in words if w in known}
-        for w in words.difference(known):
-            known[w] = describe(w)
-        rows = np.frombuffer(b"".join([known[w] for own in lists for w in own]), _ROW)
-        doc = np.repeat(np.arange(len(texts)), [len(x) for x in lists])
-        return doc, rows["flags"], rows["value"]
+        text, starts, stops, counts = word_places(texts)
+        codes, hashes = pd.factorize(slice_hashes(text, starts, stops))
+        if len(self.hashes) + len(hashes) > self.cached:
+            self._forget()
+        at = np.searchsorted(self.hashes, hashes)
+        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            one = np.zeros(len(hashes), np.int64)
+            one[codes] = np.arange(len(codes))
+            new = new[np.argsort(hashes[new])]
+            told = np.frombuffer(b"".join([describe(text[a:b]) for a, b in zip(starts[one[new]].tolist(), stops[one[new]].tolist(), strict=True)]), _ROW)
+            self.hashes, self.rows = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.rows, at[new], told)
+            at = np.searchsorted(self.hashes, hashes)
+        rows = self.rows[at][codes]
+        return np.repeat(np.arange(len(texts)), counts), rows["flags"], rows["value"]
 
     @staticmethod
     def reading(doc: np.ndarray, flags: np.ndarray, value: np.ndarray, which: int = STRICT) -> tuple[np.ndarray, ...]:
@@ -307,7 +324,7 @@ def shared_windows(rows: DataFrame, items: DataFrame) -> DataFrame:
     @released
     def run(batches):
         readings = sorted({r for r, _ in sieve.value.widths})
-        for batch in chunks(batches, 2 << 20):
+        for batch in chunks(batches, 1 << 20):
             words = templates.value.words(byte_lists(batch.column("text")))
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             for reading in readings:
@@ -331,7 +348,8 @@ def matches_of(rows: DataFrame, benchmark: DataFrame, cover: float = COVER) -> D
     texts, items = item_table(benchmark, cover)
     hits = shared_windows(rows, items).join(items.drop("keys", "offsets"), ["item", "reading"]).join(texts, "item")
     wanted = checkpoint(hits.groupBy("k1", "k2").agg(F.collect_list(F.struct(*CANDIDATE)).alias("candidates")))
-    again = rows.select("k1", "k2", "text").join(broadcast_if_small(wanted, MOST_FOUND), ["k1", "k2"])
+    # only keys are broadcast; the texts that they leave are few, as the candidates are
+    again = rows.select("k1", "k2", "text").join(broadcast_if_small(wanted.select("k1", "k2"), MOST_WINDOWS), ["k1", "k2"], "left_semi").join(wanted, ["k1", "k2"])
     templates = rows.sparkSession.sparkContext.broadcast(Templates())
     names = [f.name for f in MATCH.elementType.fields]
 
