@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,11 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm.common import byte_lists, ByValue, checkpoint, chunks, id_text, keyed, real_id, released
-from kinmatch.llm.rolling import slice_hashes, word_places
+from kinmatch.llm.rolling import binary_array, prefix_crcs, slice_hashes, word_places
 
 #: The token that ends a text; no word is empty.
 END = b""
 SMOOTH = 0.1
+#: Bytes of text that are cut into words at once; more would not fit a processor's cache.
+CHUNK = 1 << 20
 #: Tasks that train at once, at most, each on one shard.
 MOST_SHARDS = 4096
 
@@ -101,8 +102,12 @@ class Words:
         one[codes] = np.arange(len(codes))
         return cls(text, starts[one], stops[one], hashes, codes, counts)
 
-    def bytes_of(self, which: np.ndarray) -> list[bytes]:
-        return [self.text[a:b] for a, b in zip(self.start[which].tolist(), self.stop[which].tolist(), strict=True)]
+    def tokens(self, which: np.ndarray) -> pa.BinaryArray:
+        return binary_array(self.text, self.start[which], self.stop[which])
+
+    def buckets(self, which: np.ndarray, settings: Settings) -> np.ndarray:
+        """As bucket_of, of some of the different words."""
+        return prefix_crcs(self.text, self.start[which], self.stop[which], settings.prefix).astype(np.int64) % settings.buckets
 
     def with_ends(self, values: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
         """A value for every token, words by their own, ends by `end`; and the number of tokens of each text."""
@@ -112,24 +117,32 @@ class Words:
         return out, sizes
 
 
-def count_tokens(docs: DataFrame, most: int = 400_000) -> DataFrame:
-    """token (binary) and c over all texts; tasks count first, with no more than about `most` tokens at a time."""
+def count_tokens(docs: DataFrame, flush: int = 16 << 20) -> DataFrame:
+    """token (binary) and c over all texts; tasks count first, so many bytes of text at a time. Words are told apart by 64-bit hashes there."""
     types = pa.schema([("token", pa.binary()), ("c", pa.int64())])
 
-    def out(counts):
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=types)
+    def out(held: list[Words], texts: int):
+        before = np.cumsum([0, *(len(w.text) for w in held)])
+        start, stop = (np.concatenate([x + at for x, at in zip(side, before, strict=False)]) for side in ([w.start for w in held], [w.stop for w in held]))
+        codes, hashes = pd.factorize(np.concatenate([w.hashes for w in held]))
+        counts = np.bincount(codes, np.concatenate([np.bincount(w.codes, minlength=len(w.hashes)) for w in held]), len(hashes)).astype(np.int64)
+        one = np.zeros(len(hashes), np.int64)
+        one[codes] = np.arange(len(codes))
+        tokens = binary_array(b"".join(w.text for w in held), start[one], stop[one])
+        yield pa.RecordBatch.from_arrays([tokens, pa.array(counts)], schema=types)
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([texts], pa.int64())], schema=types)
 
     @released
     def run(batches):
-        counts: Counter[bytes] = Counter()
-        for batch in chunks(batches, 4 << 20):
-            w = Words.of(byte_lists(batch.column("text")))
-            counts.update(dict(zip(w.bytes_of(np.arange(len(w.hashes))), np.bincount(w.codes, minlength=len(w.hashes)).tolist(), strict=True)))
-            counts[END] += batch.num_rows
-            if len(counts) > most:
-                yield out(counts)
-                counts = Counter()
-        yield out(counts)
+        held, size, texts = [], 0, 0
+        for batch in chunks(batches, CHUNK):
+            held.append(Words.of(byte_lists(batch.column("text"))))
+            size, texts = size + len(held[-1].text), texts + batch.num_rows
+            if size >= flush:
+                yield from out(held, texts)
+                held, size, texts = [], 0, 0
+        if held:
+            yield from out(held, texts)
 
     return docs.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -190,7 +203,7 @@ class Lexicon(ByValue):
         out, low, inside = np.zeros(len(head), np.int64), np.zeros(len(head)), np.zeros(len(head))
         out[head], low[head], inside[head] = self.out[at[head]], self.low[at[head]], self.inside[at[head]]
         rest = np.flatnonzero(~head)
-        out[rest] = self.base + self.vocab.table[np.array([bucket_of(t, self.settings) for t in w.bytes_of(rest)], np.int64)]
+        out[rest] = self.base + self.vocab.table[w.buckets(rest, self.settings)]
         return out, low, inside, head
 
 
@@ -212,7 +225,7 @@ class Company(ByValue):
         at = np.minimum(np.searchsorted(self.hashes, w.hashes), len(self.hashes) - 1)
         head = self.hashes[at] == w.hashes
         out, rest = self.order[at] + 1, np.flatnonzero(~head)
-        out[rest] = [len(self.heads) + 1 + bucket_of(t, self.settings) for t in w.bytes_of(rest)]
+        out[rest] = len(self.heads) + 1 + w.buckets(rest, self.settings)
         return out
 
 
@@ -228,7 +241,7 @@ def company(docs: DataFrame, heads: list[bytes], settings: Settings) -> np.ndarr
     @released
     def run(batches):
         total, first = np.zeros(settings.buckets * near, np.int64), len(heads) + 1
-        for batch in chunks(batches, 4 << 20):
+        for batch in chunks(batches, CHUNK):
             w = Words.of(byte_lists(batch.column("text")))
             ids, sizes = w.with_ends(numbers.value(w), 0)
             doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -425,7 +438,7 @@ def train(docs: DataFrame, vocab: Vocabulary, lexicon, settings: Settings) -> Mo
         @released
         def run(batches):
             trainer, shard = None, TaskContext.get().partitionId()
-            for batch in chunks(batches, 4 << 20):
+            for batch in chunks(batches, CHUNK):
                 w = Words.of(byte_lists(batch.column("text")))
                 ids, sizes = w.with_ends(lexicon.value(w)[0], 0)
                 if trainer is None:
@@ -482,7 +495,7 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     @released
     def run(batches):
         """A row for each document, under a token that no text has, and one for each of its tokens whose count is not broadcast."""
-        for batch in chunks(batches, 4 << 20):
+        for batch in chunks(batches, CHUNK):
             w, known_words = Words.of(byte_lists(batch.column("text"))), lexicon.value
             out, low, inside, head = known_words(w)
             ids, sizes = w.with_ends(out, 0)
@@ -501,7 +514,7 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
             doc = np.repeat(np.arange(len(w.counts)), w.counts)[at]
             codes, pairs = pd.factorize(doc * max(1, len(rest)) + number[w.codes[at]])
             doc, token = pairs // max(1, len(rest)), pairs % max(1, len(rest))
-            words = pa.array(w.bytes_of(rest), pa.binary()).take(pa.array(token, pa.int64()))
+            words = w.tokens(rest[token])
             often = pa.array(np.bincount(codes, minlength=len(pairs)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(k1[doc]), pa.array(k2[doc]), words, often, *nulls(len(pairs), SCORED_TYPES.names[4:])], schema=SCORED_TYPES)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -75,6 +76,34 @@ def slice_hashes(text: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarr
     return Slices(BYTE_SYMBOLS[np.frombuffer(text, np.uint8)])(starts, stops)
 
 
+def _crc_table() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & np.uint32(1), (out >> np.uint32(1)) ^ np.uint32(0xEDB88320), out >> np.uint32(1))
+    return out
+
+
+_CRC = _crc_table()
+
+
+def prefix_crcs(text: bytes, starts: np.ndarray, stops: np.ndarray, width: int) -> np.ndarray:
+    """CRC-32 of the first `width` bytes, at most, of slices of a text."""
+    raw = np.frombuffer(text, np.uint8)
+    out = np.full(len(starts), 0xFFFFFFFF, np.uint32)
+    for k in range(width):
+        at = np.flatnonzero(starts + k < stops)
+        out[at] = _CRC[(out[at] ^ raw[starts[at] + k]) & np.uint32(255)] ^ (out[at] >> np.uint32(8))
+    return out ^ np.uint32(0xFFFFFFFF)
+
+
+def binary_array(text: bytes, starts: np.ndarray, stops: np.ndarray) -> pa.BinaryArray:
+    """Slices of a text as an Arrow array, without an object for each."""
+    sizes = stops - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    data = np.frombuffer(text, np.uint8)[spans(starts, sizes)]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The least of every `width` neighbours."""
     span = 1

@@ -68,6 +68,16 @@ def test_merged(items):
     assert all(not (p[0] == q[0] and p[2] >= q[1]) for p, q in zip(got, got[1:], strict=False))
 
 
+@given(st.lists(st.binary(max_size=9), max_size=20), st.integers(1, 6))
+@settings(max_examples=60, deadline=None)
+def test_slices_of_text(parts, width):
+    stops = np.cumsum([len(p) for p in parts], dtype=np.int64)
+    starts = stops - np.array([len(p) for p in parts], np.int64)
+    text = b"".join(parts)
+    assert rolling.prefix_crcs(text, starts, stops, width).tolist() == [zlib.crc32(p[:width]) for p in parts]
+    assert rolling.binary_array(text, starts, stops).to_pylist() == parts
+
+
 # ---------------------------------------------------------------- 1: language model
 def test_lm(spark, sf_dir, duck):
     rows = documents(duck)
