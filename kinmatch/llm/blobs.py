@@ -67,18 +67,19 @@ def interval_batch(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, k1: np.
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (k1[doc], k2[doc], start, stop)], schema=INTERVALS)
 
 
-def hot_hashes(docs: DataFrame, hashes_of: Callable[[list[bytes]], np.ndarray], least: int, most: int = 100_000, rows: int = 20_000) -> np.ndarray:
+def hot_hashes(docs: DataFrame, hashes_of: Callable[[list[bytes]], np.ndarray], least: int, most: int = 100_000, rows: int = 5_000) -> np.ndarray:
     """Hashes, in order, that about `least` or more of what all keyed documents give have, and no more than `most` of them.
 
-    Estimated from about `rows` documents, chosen by a hash. The result only
+    Estimated from about `rows` documents, chosen by a hash, and from so many
+    of a large corpus that eight of what is hot are among them. The result only
     decides which task does what, so an estimate is enough.
     """
-    share = min(1.0, rows / max(1, docs.count()))
+    share = min(1.0, max(rows / max(1, docs.count()), 8 / least))
     types = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 
     @released
     def run(batches):
-        for batch in chunks(batches, 2 << 20):
+        for batch in chunks(batches, 1 << 20):
             h, c = np.unique(hashes_of(byte_lists(batch.column("text"))), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], schema=types)
 

@@ -63,13 +63,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinmatch.llm.suffix import remove_earlier
 
-    return remove_earlier(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_earlier(table(spark, sf_dir, "documents"), keep=False)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinmatch.llm.substring import remove_repeated
 
-    return remove_repeated(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeated(table(spark, sf_dir, "documents"), keep=False)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def window_blobs(docs: DataFrame, width: int, hot_windows: int = HOT_WINDOWS, fl
     @released
     def run(batches):
         parts, keys1, keys2, size, docs_so_far = [], [], [], 0, 0
-        for batch in chunks(batches, 2 << 20):
+        for batch in chunks(batches, 1 << 20):
             texts = byte_lists(batch.column("text"))
             doc, start, hashes, least = window_hashes(texts, width)
             parts.append((doc + docs_so_far, start, hashes, least))
@@ -146,8 +146,8 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, hot_windows: int = H
     return sent.mapInArrow(count, blobs.INTERVALS_SQL)
 
 
-def remove_repeated(docs: DataFrame, width: int = WIDTH, hot_windows: int = HOT_WINDOWS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by a space) of every row.
+def remove_repeated(docs: DataFrame, width: int = WIDTH, hot_windows: int = HOT_WINDOWS, keep: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, with keep, kept (the words left, joined by a space) of every row.
 
     A null text has no words. Rows that repeat a document repeat its windows,
     so both lose them. Null ids are kept; other columns are ignored; no
@@ -167,9 +167,9 @@ def remove_repeated(docs: DataFrame, width: int = WIDTH, hot_windows: int = HOT_
                     gone = blobs.covered(len(words), starts, stops)
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 left = b" ".join(kept)
-                out.append((k1, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), left.decode()))
+                out.append((k1, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), left.decode() if keep else None))
             yield blobs.batch(out, types)
 
     joined = blobs.with_intervals(rows, repeated_intervals(rows, width, hot_windows))
     done = joined.mapInArrow(cut, "k1 long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return done.select(real_id(), "n_words", "n_removed", "kept_sha256", "kept")
+    return done.select(real_id(), "n_words", "n_removed", "kept_sha256", *["kept"][: int(keep)])

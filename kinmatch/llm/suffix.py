@@ -47,7 +47,8 @@ from kinmatch.llm.rolling import BYTE_SYMBOLS, Slices, merged, mix, sliding_min,
 WIDTH = 100
 RUN = 16
 MOST_CONTEXTS = 50_000
-SEGMENT = 2 << 20
+#: Bytes whose windows are hashed at once; more would not fit a processor's cache.
+SEGMENT = 1 << 19
 #: Between contexts in one text; UTF-8 has no such byte.
 GAP = 255
 #: A second symbol for each byte value, for hashes that owe nothing to the first.
@@ -379,8 +380,8 @@ def _texts(batch: pa.RecordBatch):
     return zip(byte_lists(batch.column("text")), batch.column("starts").to_pylist(), batch.column("stops").to_pylist(), strict=True)
 
 
-def remove_earlier(docs: DataFrame, width: int = WIDTH, most_contexts: int = MOST_CONTEXTS, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every row.
+def remove_earlier(docs: DataFrame, width: int = WIDTH, most_contexts: int = MOST_CONTEXTS, limit: int = LIMIT, keep: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep, kept (the bytes left) of every row.
 
     Documents come in the order of doc_id, null last, and under one doc_id in
     that of their texts' hashes; rows that agree in both count as one
@@ -396,12 +397,12 @@ def remove_earlier(docs: DataFrame, width: int = WIDTH, most_contexts: int = MOS
             out = []
             for k1, (text, starts, stops) in zip(batch.column("k1").to_pylist(), _texts(batch), strict=True):
                 kept, removed = kept_parts(text, starts, stops)
-                out.append((k1, len(text), len(text) - len(kept), removed, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((k1, len(text), len(text) - len(kept), removed, hashlib.sha256(kept).hexdigest(), kept if keep else None))
             yield blobs.batch(out, types)
 
     joined = blobs.with_intervals(rows, earlier_intervals(rows, width, most_contexts, limit))
     done = joined.mapInArrow(cut, "k1 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return done.select(real_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    return done.select(real_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"][: int(keep)])
 
 
 def cut_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
