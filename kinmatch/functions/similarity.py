@@ -8,6 +8,7 @@ pair's strings cross to Python once.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from functools import lru_cache, partial
@@ -103,26 +104,60 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
+def best_window(a: str, b: str) -> float:
+    """The best ratio of a with a stretch of its length of b, stretches that the ends cut short included.
+
+    From one stretch to the next the common length changes by one at most, so
+    what two stretches have bounds all between them; only where the bound is
+    over the best so far are more tried.
+    """
+    n, masks = len(a), {}
+    for k, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << k
+    full, best, lengths = (1 << n) - 1, 0.0, {}
+
+    def size(start: int) -> int:
+        return min(start + n, len(b)) - max(0, start)
+
+    def common(start: int) -> int:
+        nonlocal best
+        row = full
+        for c in b[max(0, start) : start + n]:
+            u = row & masks.get(c, 0)
+            row = ((row + u) | (row - u)) & full
+        lengths[start] = out = n - row.bit_count()
+        best = max(best, 2 * out / (n + size(start)))
+        return out
+
+    def bound(i: int, j: int) -> float:
+        most = min(n, (lengths[i] + lengths[j] + j - i) // 2)
+        return 2 * most / (n + max(most, min(size(i), size(j))))
+
+    low, high = 1 - n, len(b) - 1
+    common(low)
+    common(high)
+    heap = [(-bound(low, high), low, high)]
+    while heap and best < 1:
+        least, i, j = heapq.heappop(heap)
+        if -least <= best:
+            break
+        if j - i > 1:
+            mid = (i + j) // 2
+            common(mid)
+            heapq.heappush(heap, (-bound(i, mid), i, mid))
+            heapq.heappush(heap, (-bound(mid, j), mid, j))
+    return best
+
+
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter with a stretch of the longer, stretches that the ends cut short included."""
+    """The best ratio of the shorter with a stretch of the longer; of equally long ones either way."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 1.0 if not b else 0.0
-    best, n = 0.0, len(a)
-    letters = set(a)
-    for start in range(1 - n, len(b)):
-        part = b[max(0, start) : start + n]
-        edge = part[-1] if start <= len(b) - n else part[0]
-        if edge in letters:
-            best = max(best, ratio(a, part))
-            if best == 1.0:
-                break
-    if len(a) == len(b):
-        for start in range(1 - n, n):
-            part = a[max(0, start) : start + n]
-            best = max(best, ratio(b, part))
-    return best
+    if a == b:
+        return 1.0
+    return max(best_window(a, b), best_window(b, a) if len(a) == len(b) else 0.0)
 
 
 def jaro_winkler(a: str, b: str) -> float:

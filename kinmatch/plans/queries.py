@@ -46,15 +46,69 @@ def _words(value, name="value"):
 
 
 # ------------------------------------------------------------ normalisation
-_countries = ", ".join(f"'{k}': '{v}'" for k, v in L.pairs(L.COUNTRIES).items())
-query("country_key", REC + f"SELECT coalesce(MAP {{{_countries}}}[lower(trim(country))], lower(trim(country))) AS country_key, count(*) AS n FROM rec GROUP BY 1")(
-    lambda s, d: V.records(s, d).groupBy(X.country_key(F.col("country")).alias("country_key")).agg(F.count("*").alias("n"))
-)
-query("name_core", REC + "SELECT entity_id, name_core AS value FROM rec")(lambda s, d: V.records(s, d).select("entity_id", F.col("name_core").alias("value")))
-_maps = ", ".join(f"'{k}': '{v}'" for k, v in L.pairs(L.NAME_WORDS).items())
-query("name_abbreviations", REC + f"SELECT entity_id, array_to_string(list_transform(nt, lambda t: coalesce(MAP {{{_maps}}}[t], t)), ' ') AS value FROM rec")(
-    lambda s, d: V.records(s, d).select("entity_id", F.array_join(F.transform(X.words(F.col("name_core")), lambda t: F.coalesce(L.lookup(L.pairs(L.NAME_WORDS), t), t)), " ").alias("value"))
-)
+CO = O.having(O.companies())
+NM = O.having(O.companies(), O.company_names())
+AD = O.having(O.companies(), O.company_addresses())
+NAME_COLUMNS = ", ".join(normalize.NAME_COLUMNS)
+ADDRESS_COLUMNS = [c for c in normalize.ADDRESS_COLUMNS if c != "addr_hn"]
+query("country_key", CO + "SELECT ck AS country_key, count(*) AS n FROM co GROUP BY 1")(lambda s, d: V.companies(s, d).groupBy(X.country_key(F.col("country")).alias("country_key")).agg(F.count("*").alias("n")))
+query("company_names", NM + f"SELECT entity_id, {NAME_COLUMNS} FROM nm")(lambda s, d: normalize.with_names(V.companies(s, d)).select("entity_id", *normalize.NAME_COLUMNS))
+query("company_addresses", AD + f"SELECT entity_id, {', '.join(ADDRESS_COLUMNS)} FROM ad")(lambda s, d: normalize.with_addresses(V.companies(s, d).withColumn("country_key", X.country_key(F.col("country")))).select("entity_id", *ADDRESS_COLUMNS))
+query("company_records", O.having(O.companies(), O.company_names(), O.company_addresses()) + f"SELECT entity_id, ck AS country_key, addr_state_src, {NAME_COLUMNS}, {', '.join(ADDRESS_COLUMNS)} FROM nm JOIN ad USING (entity_id)")(
+    lambda s, d: normalize.normalize(V.companies(s, d)).select("entity_id", "country_key", "addr_state_src", *normalize.NAME_COLUMNS, *ADDRESS_COLUMNS)
+)
+query("company_blocks", AD + "SELECT ck AS country_key, block AS bk, count(*) AS n FROM ad GROUP BY ALL")(lambda s, d: B.with_blocks(normalize.normalize(V.companies(s, d))).groupBy(*B.BLOCK).agg(F.count("*").alias("n")))
+
+
+def company_pairs(s, d, *columns) -> DataFrame:
+    """Customers of one nation and segment in pairs, with their normalised columns."""
+    c = V.table(s, d, "customer").select(F.concat(F.lit("S1-"), F.col("c_custkey").cast("string")).alias("entity_id"), "c_nationkey", "c_mktsegment")
+    ids = lambda n: c.withColumnRenamed("entity_id", n)
+    pairs = ids("s1_id").join(ids("cand_id"), ["c_nationkey", "c_mktsegment"]).where("s1_id < cand_id").select("s1_id", "cand_id")
+    made = normalize.normalize(V.companies(s, d))
+    return features.paired(pairs, made, made, columns)
+
+
+CPAIRS = O.having(O.companies(), O.company_names(), O.company_addresses(), "\ncu AS (SELECT 'S1-' || c_custkey AS entity_id, c_nationkey, c_mktsegment FROM customer),\ncr AS (SELECT * FROM co JOIN nm USING (entity_id) JOIN ad USING (entity_id)),\ncp AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM cu a JOIN cu b USING (c_nationkey, c_mktsegment) WHERE a.entity_id < b.entity_id)") + "SELECT <columns> FROM cp JOIN cr a ON a.entity_id = s1_id JOIN cr b ON b.entity_id = cand_id"
+_co = lambda select: CPAIRS.replace("<columns>", select)
+_lev0 = "CASE WHEN greatest(length(a.name_nospace), length(b.name_nospace)) = 0 THEN 1.0 ELSE 1 - levenshtein(a.name_nospace, b.name_nospace)::DOUBLE / greatest(length(a.name_nospace), length(b.name_nospace)) END"
+query("company_levenshtein", _co(f"s1_id, cand_id, round({_lev0}, 6) AS value"))(lambda s, d: company_pairs(s, d, "name_nospace").select("s1_id", "cand_id", F.round(S.levenshtein_similarity(F.col("a_name_nospace"), F.col("b_name_nospace")), 6).alias("value")))
+query("company_jaro_winkler", _co("s1_id, cand_id, round(CASE WHEN a.name_nospace = '' AND b.name_nospace = '' THEN 1.0 ELSE jaro_winkler_similarity(a.name_nospace, b.name_nospace) END, 6) AS value"))(
+    lambda s, d: company_pairs(s, d, "name_nospace").select("s1_id", "cand_id", F.round(S.aligned(F.col("a_name_nospace"), F.col("b_name_nospace"), "jw")["jw"], 6).alias("value"))
+)
+_light = lambda c: rf"trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_tok = lambda c: f"list_filter(string_split({c}, ' '), lambda x: x <> '')"
+_cjac = lambda c, f=lambda x: x: O.jac(_tok(f(f"a.{c}")), _tok(f(f"b.{c}")), "1.0")
+_stat = lambda e: f"avg(CASE WHEN {e} THEN 1.0 ELSE 0.0 END)"
+_measures = [
+    _stat("a.ck = b.ck"), _stat("a.name_norm = b.name_norm"), _stat("a.name_core = b.name_core"), _stat("a.name_nospace = b.name_nospace"), _stat(f"{_light('a.business_name')} = {_light('b.business_name')}"), f"avg({_cjac('name_core')})", _stat(f"{_cjac('name_core')} = 0"),
+    _stat("a.addr_norm = b.addr_norm"), f"avg({_cjac('addr_norm')})", _stat(f"len(list_intersect({_tok('a.addr_nums')}, {_tok('b.addr_nums')})) > 0"), _stat("a.addr_state = b.addr_state"),
+]
+query("pair_statistics", _co("count(*) AS n, " + ", ".join(f"round({m}, 6) AS {n}" for n, m in zip(normalize.PAIR_STATS, _measures, strict=True))))(
+    lambda s, d: normalize.pair_statistics(company_pairs(s, d, "country_key", "name_norm", "name_core", "name_nospace", "business_name", "addr_norm", "addr_nums", "addr_state")).select("n", *[F.round(c, 6).alias(c) for c in normalize.PAIR_STATS])
+)
+_same = lambda c: _stat(f"{_light('a.' + c)} = {_light('b.' + c)}")
+_pn, _pa = _cjac("business_name", _light), _cjac("business_address", _light)
+query(
+    "prof_true_pairs",
+    "WITH w AS (" + _co(f"count(*)::DOUBLE AS n, {_stat('trim(a.country) = trim(b.country)')} AS same_country, {_same('business_name')} AS same_name, {_same('business_address')} AS same_address, avg({_pn}) AS name_jac, avg({_pa}) AS addr_jac, {_stat(f'{_pn} = 0')} AS no_name, {_stat(f'{_pn} = 0 AND {_pa} = 0')} AS nothing") + ") SELECT metric, round(value, 6) AS value FROM w UNPIVOT (value FOR metric IN (n, same_country, same_name, same_address, name_jac, addr_jac, no_name, nothing))",
+)(lambda s, d: R.pair_profile(company_pairs(s, d, "country", "business_name", "business_address")))
+
+PAGES = lambda value: f"SELECT page_id, {value} AS value FROM pages"
+_low = "lower(coalesce(url, ''))"
+_leet = _low
+for _digit, _letter in L.pairs(L.DIGITS_AS_LETTERS, " ").items():
+    for _ in range(2):
+        _leet = rf"regexp_replace({_leet}, '([a-z]){_digit}([a-z])', '\1{_letter}\2', 'g')"
+_url = lambda f: lambda s, d: V.table(s, d, "pages").select("page_id", f(X.base_clean(F.col("url"))).alias("value"))
+query("leet_fix", PAGES(_leet))(_url(X.leet_fix))
+query("alnum_split", PAGES(rf"regexp_replace(regexp_replace({_low}, '([0-9])([a-z]{{3,}})', '\1 \2', 'g'), '([a-z]{{2}})([0-9])', '\1 \2', 'g')"))(_url(X.alnum_split))
+query("text_cleaning", PAGES(rf"regexp_replace(regexp_replace(replace({_low}, '&', ' and '), '#\s*[0-9]+', ' ', 'g'), '\b(?:www\.)?([a-z0-9][a-z0-9\-]*)\.(?:{L.DOMAINS.replace(' ', '|')})\b', ' \1 ', 'g')"))(
+    _url(lambda c: X.unwrap_domain(X.drop_hash_numbers(F.replace(c, F.lit("&"), F.lit(" and ")))))
+)
+query("name_cleaning")(lambda s, d: V.records(s, d).select("entity_id", X.unwrap_domain(X.drop_hash_numbers(F.replace(X.base_clean(F.col("business_name")), F.lit("&"), F.lit(" and ")))).alias("value")))
+query("name_leet_fix")(lambda s, d: V.records(s, d).select("entity_id", X.leet_fix(X.base_clean(F.col("business_name"))).alias("value")))
+query("address_alnum_split")(lambda s, d: V.records(s, d).select("entity_id", X.alnum_split(X.base_clean(F.col("business_address"))).alias("value")))
 _any = ", ".join(f"'{w}'" for w in L.LEGAL_ANYWHERE.split())
 _tail = "|".join([*L.LEGAL_AT_END.split(), *L.DROPPED_AT_END.split()])
 query(
@@ -63,26 +117,17 @@ query(
     regexp_replace(trim(regexp_replace(' ' || array_to_string(list_filter(nt, lambda t: t NOT IN ({_any})), ' '), '(?: (?:{_tail}))+$', '')), '^(?:the(?: |$))+', '') AS body FROM rec)""",
 )(lambda s, d: V.records(s, d).select("entity_id", F.array_join(X.split_legal(X.words(F.col("name_core")))[0], " ").alias("core")))
 query("addr_numbers", REC + "SELECT entity_id, array_to_string(nums, ' ') AS nums FROM rec")(lambda s, d: V.records(s, d).select("entity_id", F.col("addr_nums").alias("nums")))
-query("name_skeleton_latin", REC + "SELECT entity_id, name_skel FROM rec")(lambda s, d: V.records(s, d).select("entity_id", "name_skel"))
+query("name_skeleton_latin", O.having(O.RECORDS_WITH_SKELETONS) + "SELECT entity_id, name_skel FROM rec")(lambda s, d: V.records(s, d).select("entity_id", "name_skel"))
 query("name_trigrams", REC + f"SELECT gram, count(*) AS df FROM (SELECT DISTINCT entity_id, unnest({O._grams(chr(40) + chr(39) + '#' + chr(39) + ' || name_nospace || ' + chr(39) + '#' + chr(39) + chr(41), 3)}) AS gram FROM rec) GROUP BY 1")(
     lambda s, d: V.records(s, d).select(F.explode(F.array_distinct(X.ngrams(F.col("name_nospace"), 3))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 )
 query("base_clean")(lambda s, d: V.records(s, d).select("entity_id", X.base_clean(F.col("business_name")).alias("value")))
 query("light_norm")(lambda s, d: V.records(s, d).select("entity_id", X.light_norm(F.col("business_name")).alias("value")))
-query("leet_fix")(lambda s, d: V.records(s, d).select("entity_id", X.leet_fix(X.base_clean(F.col("business_name"))).alias("value")))
 query("composite_number")(lambda s, d: V.records(s, d).select("entity_id", X.composite_number(X.base_clean(F.col("business_address"))).alias("value")))
-query("alnum_split")(lambda s, d: V.records(s, d).select("entity_id", X.alnum_split(X.base_clean(F.col("business_address"))).alias("value")))
-query("text_cleaning", REC + r"""SELECT entity_id, regexp_replace(regexp_replace(replace(lower(business_name), '&', ' and '), '#\s*[0-9]+', ' ', 'g'), '\b(?:www\.)?([a-z0-9][a-z0-9\-]*)\.(?:co\.in|com|net|org|biz|info|in|fr|us|io)\b', ' \1 ', 'g') AS value FROM rec WHERE name_nonlatin = 0""")(
-    lambda s, d: V.records(s, d).where("name_nonlatin = 0").select("entity_id", X.unwrap_domain(X.drop_hash_numbers(F.replace(X.base_clean(F.col("business_name")), F.lit("&"), F.lit(" and ")))).alias("value"))
-)
 query("normalize_records")(lambda s, d: normalize.normalize(V.records(s, d).select("entity_id", "business_name", "business_address", "country")).drop("business_name", "business_address"))
 query("zip_detect", REC + "SELECT entity_id, array_to_string(list_filter(at_, lambda t, i: regexp_matches(t, '^[0-9]{5}$') AND i = len(at_) AND (len(at_) = 1 OR i > 1)), ' ') AS value FROM rec")(
     lambda s, d: V.records(s, d).withColumn("w", X.words(F.col("addr_norm"))).select("entity_id", F.array_join(F.filter("w", lambda t, i: normalize.is_postcode(t, i, F.size("w"), F.lit("us"))), " ").alias("value"))
 )
-_us = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in L.with_values(L.pairs(L.STATES["us"])).items()) + "}"
-query("state_extract", REC + f"SELECT entity_id, coalesce(list_filter(list_transform(at_, lambda t: {_us}[t]), lambda x: x IS NOT NULL)[1], '') AS value FROM rec")(
-    lambda s, d: V.records(s, d).select("entity_id", F.coalesce(F.get(F.filter(F.transform(X.words(F.col("addr_norm")), lambda t: L.lookup(normalize.states()["us"], t)), lambda x: x.isNotNull()), F.lit(0)), F.lit("")).alias("value"))
-)
 query("text_hygiene", REC + r"""SELECT flag, n FROM (SELECT
     count(*) FILTER (business_name <> trim(business_name)) AS name_outer_space, count(*) FILTER (contains(business_name, '  ')) AS name_double_space, count(*) FILTER (name_nonlatin = 1) AS name_not_ascii,
     count(*) FILTER (upper(business_name) = business_name AND lower(business_name) <> business_name) AS name_all_caps,
@@ -144,9 +189,9 @@ def _channel(c: B.Channel) -> Query:
 
 
 for _c, _args in zip(B.CHANNELS, O.channel_list(), strict=True):
-    query("block_" + {"score": "word"}.get(_c.name, _c.name[4:]), O.having(O.RECORDS, O.channel(*_args)) + f"SELECT s1_id, cand_id, score, rank FROM {_c.name}_top")(_channel(_c))
+    query("block_" + {"score": "word"}.get(_c.name, _c.name[4:]), O.having(O.RECORDS_WITH_SKELETONS if _c.name == "blk_sk" else O.RECORDS, O.channel(*_args)) + f"SELECT s1_id, cand_id, score, rank FROM {_c.name}_top")(_channel(_c))
 
-CAND = O.having(O.RECORDS, O.TRUTH, O.candidates())
+CAND = O.having(O.RECORDS_WITH_SKELETONS, O.TRUTH, O.candidates())
 
 
 def _cand(s, d) -> DataFrame:
@@ -211,17 +256,14 @@ def _pair_strings(s, d, *columns) -> DataFrame:
 JOINED = PAIRS.replace("{", "{{").replace("}", "}}") + "SELECT s1_id, cand_id, {} FROM pairs JOIN s1 a ON a.entity_id = s1_id JOIN pool b ON b.entity_id = cand_id"
 _ab = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
 _wab = lambda c: (X.words(F.col(f"a_{c}")), X.words(F.col(f"b_{c}")))
-_lev = "CASE WHEN greatest(length(a.name_nospace), length(b.name_nospace)) = 0 THEN 1.0 ELSE 1 - levenshtein(a.name_nospace, b.name_nospace)::DOUBLE / greatest(length(a.name_nospace), length(b.name_nospace)) END"
 
 
 def _measure(name: str, sql: str, value, *columns):
     query(name, JOINED.format(f"round({sql}, 6) AS value"))(lambda s, d: _pair_strings(s, d, *columns).select("s1_id", "cand_id", F.round(value(), 6).alias("value")))
 
 
-# DuckDB's edit distance counts bytes, so pairs of ASCII names only
-query("sim_levenshtein", JOINED.format(f"round({_lev}, 6) AS value") + " WHERE a.name_nonlatin = 0 AND b.name_nonlatin = 0")(
-    lambda s, d: _pair_strings(s, d, "name_nospace", "name_nonlatin").where("a_name_nonlatin = 0 and b_name_nonlatin = 0").select("s1_id", "cand_id", F.round(S.levenshtein_similarity(*_ab("name_nospace")), 6).alias("value"))
-)
+# DuckDB's edit distance counts bytes; company_levenshtein has SQL
+query("sim_levenshtein")(lambda s, d: _pair_strings(s, d, "name_nospace").select("s1_id", "cand_id", F.round(S.levenshtein_similarity(*_ab("name_nospace")), 6).alias("value")))
 _measure("sim_jaccard", O.jac("a.nt", "b.nt"), lambda: S.jaccard(*_wab("name_core")), "name_core")
 _measure("sim_overlap", "CASE WHEN least(len(list_distinct(a.nt)), len(list_distinct(b.nt))) = 0 THEN 0.0 ELSE len(list_intersect(a.nt, b.nt))::DOUBLE / least(len(list_distinct(a.nt)), len(list_distinct(b.nt))) END", lambda: S.overlap(*_wab("name_core")), "name_core")
 _measure("sim_containment", "CASE WHEN len(a.nums) = 0 THEN 0.0 ELSE len(list_intersect(a.nums, b.nums))::DOUBLE / len(a.nums) END", lambda: S.containment(*_wab("addr_nums")), "addr_nums")
@@ -413,7 +455,14 @@ query("uniqueness_ab", PAIRS + MATCHES + " " + " UNION ALL ".join([_variant("on"
 query("auc_logloss", PAIRS + """, v AS (SELECT p, sum(label) AS pos, count(*) AS n FROM pairs GROUP BY p), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2.0 AS rk FROM v),
     c AS (SELECT sum(pos * rk)::DOUBLE AS r, sum(pos)::DOUBLE AS p1, sum(n - pos)::DOUBLE AS p0 FROM r), l AS (SELECT avg(-(label * ln(greatest(least(p, 1 - 1e-6), 1e-6)) + (1 - label) * ln(1 - greatest(least(p, 1 - 1e-6), 1e-6)))) AS l FROM pairs)
     SELECT round(CASE WHEN p1 * p0 > 0 THEN (r - p1 * (p1 + 1) / 2) / (p1 * p0) END, 6) AS auc, round(l, 6) AS logloss FROM c, l""")(lambda s, d: E.auc_logloss(V.pairs(s, d)))
-query("bootstrap_ci")(lambda s, d: E.bootstrap(_scores(s, d), _scores(s, d, True)))
+_poisson = " + ".join(f"CASE WHEN u > {t!r}::DOUBLE THEN 1 ELSE 0 END" for t in E.poisson_steps())
+query(
+    "bootstrap_ci",
+    PAIRS + MATCHES + WIN2 + SCORES + SCORES.replace("e0 AS", "e02 AS").replace("es AS", "es2 AS").replace("FROM e0", "FROM e02").replace("FROM matches m", "FROM matches2 m") + f""", b AS (SELECT es.s1_id, es.f AS f1, es2.f AS f2, unnest(range(1, 201)) AS b FROM es JOIN es2 USING (s1_id)),
+    w AS (SELECT b, f1, f2, {_poisson} AS w FROM (SELECT *, (('0x' || substr(md5(b || ':' || s1_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM b)),
+    m AS (SELECT b, sum(w * f1) / sum(w) AS f1, sum(w * f2) / sum(w) AS f2 FROM w GROUP BY b), l AS (SELECT 'first' AS score, f1 AS v FROM m UNION ALL SELECT 'second', f2 FROM m UNION ALL SELECT 'difference', f2 - f1 FROM m)
+    SELECT score, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM l GROUP BY 1""",
+)(lambda s, d: E.bootstrap(_scores(s, d), _scores(s, d, True)))
 
 # ------------------------------------------------------------ submissions
 LISTS = ", lists AS (SELECT s1_id, string_agg(cand_id, ',' ORDER BY p DESC, cand_id) AS ids FROM matches GROUP BY 1), sub AS (SELECT entity_id AS source1_entity_id, coalesce(ids, '') AS matched_entity_ids FROM s1 LEFT JOIN lists ON s1_id = entity_id)"
@@ -461,8 +510,6 @@ query("uniform_sample", REC + "SELECT entity_id FROM rec ORDER BY md5('0:' || en
 query("category_examples", REC + "SELECT entity_id, country FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY md5('0:' || entity_id), entity_id) AS r FROM rec) WHERE r <= 3")(lambda s, d: R.examples(V.records(s, d).select("entity_id", "country"), "country"))
 PERM = ", x AS (SELECT gt.*, s1.country FROM gt JOIN s1 ON entity_id = s1_id), y AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY md5('0:' || s1_id), s1_id, cand_id) AS a, row_number() OVER (PARTITION BY country ORDER BY md5('1:' || cand_id), s1_id, cand_id) AS b FROM x), perm AS (SELECT l.s1_id, r.cand_id FROM y l JOIN y r ON l.country = r.country AND l.a = r.b)"
 query("permuted_negatives", GT + PERM + " SELECT * FROM perm")(lambda s, d: R.permuted_pairs(V.truth(s, d), V.sides(s, d)[0]))
-query("pair_statistics")(lambda s, d: normalize.pair_statistics(features.paired(V.truth(s, d), *V.sides(s, d), ("country_key", "name_core", "name_nospace", "business_name", "addr_norm", "addr_nums", "addr_state")).withColumns({f"{x}_name_norm": F.col(f"{x}_name_core") for x in "ab"})))
-query("prof_true_pairs")(lambda s, d: R.pair_profile(features.paired(V.truth(s, d), *V.sides(s, d), ("country", "business_name", "business_address"))))
 query("prof_missing", "SELECT k AS \"column\", count(*) AS n, count(*) FILTER (v = '') AS blank, count(*) FILTER (lower(v) IN (" + ", ".join(f"'{x}'" for x in L.PLACEHOLDERS.split()) + ")) AS placeholder FROM (SELECT 'c_name' AS k, trim(coalesce(c_name, '')) AS v FROM customer UNION ALL SELECT 'c_mktsegment', trim(coalesce(c_mktsegment, '')) FROM customer) GROUP BY 1")(
     lambda s, d: R.missing(V.table(s, d, "customer"), ["c_name", "c_mktsegment"])
 )
@@ -491,7 +538,7 @@ query(
     SELECT country_key, count(*) AS n, round(avg(CASE WHEN top < 0.3 THEN 1.0 ELSE 0.0 END), 4) AS top_below_30, round(avg(CASE WHEN top >= 0.3 AND top < 0.8 THEN 1.0 ELSE 0.0 END), 4) AS top_30_to_80, round(avg(CASE WHEN top >= 0.95 THEN 1.0 ELSE 0.0 END), 4) AS top_from_95, round(avg(n50), 4) AS avg_n50, round(avg(m), 4) AS avg_mid, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 4) AS any_mid, round(sum(m)::DOUBLE / sum(n), 4) AS pair_mid FROM x GROUP BY 1""",
 )(lambda s, d: R.probability_profile(V.pairs(s, d).join(V.sides(s, d)[0].select(F.col("entity_id").alias("s1_id"), "country_key"), "s1_id")))
 query("order_crosstab", "SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '2-HIGH') AS high, count(*) AS n FROM orders GROUP BY 1")(
-    lambda s, d: V.table(s, d, "orders").groupBy("o_orderstatus").agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.count_if(F.col("o_orderpriority") == "2-HIGH").alias("high"), F.count("*").alias("n"))
+    lambda s, d: R.crosstab(V.table(s, d, "orders"), "o_orderstatus", "o_orderpriority", {"1-URGENT": "urgent", "2-HIGH": "high"})
 )
 
 

@@ -1,8 +1,12 @@
 """Record-linkage inputs made from the driver's documents table.
 
-A document is a record: its first line is the name, its length and second line
-the address, its language the country. The name's first letter stands for the
-state, which every tenth record lacks. Documents that end alike match.
+A document is a record: its first line is the name, its length and all its
+other lines the address, its language the country. The name's first letter
+stands for the state, which every tenth record lacks. Documents of one language
+match if the sets of their texts' runs of five words are similar by 0.8 at least.
+
+Companies made by rule from customers and nations have names and addresses as
+records have them, for the queries of normalisation.
 """
 
 from __future__ import annotations
@@ -28,9 +32,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n")
     prefix = F.when(F.col("doc_id") % 3 == 0, "S1-").when(F.col("doc_id") % 3 == 1, "S2-").otherwise("S3-")
     df = docs.select(
-        F.concat(prefix, F.col("doc_id").cast("string")).alias("entity_id"), "doc_id", F.substring(F.get(lines, F.lit(0)), 1, 80).alias("business_name"),
-        F.concat(F.coalesce("n_chars", F.lit(0)).cast("string"), F.lit(" "), F.substring(F.coalesce(F.get(lines, F.lit(1)), F.lit("")), 1, 120)).alias("business_address"),
-        F.coalesce("lang", F.lit("")).alias("country"), F.expr("right(text, 40)").alias("ending"),
+        F.concat(prefix, F.col("doc_id").cast("string")).alias("entity_id"), "doc_id", "text", F.get(lines, F.lit(0)).alias("business_name"),
+        F.concat(F.coalesce("n_chars", F.lit(0)).cast("string"), F.lit(" "), F.substring("text", F.length(F.get(lines, F.lit(0))) + 2, F.length("text"))).alias("business_address"), F.coalesce("lang", F.lit("")).alias("country"),
     )
     letter = F.lower(F.substring("business_name", 1, 1))
     df = df.withColumns({"country_key": F.col("country"), "letter": letter, "name_core": plain(F.col("business_name")), "addr_norm": plain(F.col("business_address")), "name_nonlatin": (~F.col("business_name").rlike(X.ASCII)).cast("int")})
@@ -45,11 +48,20 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return r.where(F.col("entity_id").startswith("S1-")), r.where(~F.col("entity_id").startswith("S1-"))
 
 
+def with_shingles(df: DataFrame, width: int = 5) -> DataFrame:
+    """Adds own: hashes of the text's different runs of five words, of all its words if there are fewer."""
+    last = F.greatest(F.size("w") - width + 1, F.lit(1))
+    runs = F.transform(F.sequence(F.lit(1), last), lambda k: F.xxhash64(F.array_join(F.slice("w", k, F.lit(width)), " ")))
+    return df.withColumn("w", X.words(plain(F.col("text")))).withColumn("own", F.array_distinct(runs)).drop("w")
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """s1_id, cand_id: each pool record belongs to the least record of the first side that ends alike."""
-    s1, pool = sides(spark, sf_dir)
-    owners = s1.groupBy("country", "ending").agg(F.min("entity_id").alias("s1_id"))
-    return pool.join(owners, ["country", "ending"]).select("s1_id", F.col("entity_id").alias("cand_id"))
+    """s1_id, cand_id: each pool record belongs to the least record of the first side that its text is similar to."""
+    rows = with_shingles(records(spark, sf_dir).select("entity_id", "country", "text")).select("entity_id", "country", F.size("own").alias("n"), F.explode_outer("own").alias("s"))  # an inner one would put a filter with all of the words' work below
+    first = F.col("entity_id").startswith("S1-")
+    side = lambda which, i, n: rows.where(which).select("country", "s", F.col("entity_id").alias(i), F.col("n").alias(n))
+    both = side(first, "s1_id", "n1").join(side(~first, "cand_id", "n2"), ["country", "s"]).groupBy("s1_id", "cand_id").agg(F.count("*").alias("c"), F.min("n1").alias("n1"), F.min("n2").alias("n2"))
+    return both.where("5 * c >= 4 * (n1 + n2 - c)").groupBy("cand_id").agg(F.min("s1_id").alias("s1_id")).select("s1_id", "cand_id")
 
 
 def rounded(c, places: int = 4):
@@ -66,3 +78,19 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, addr = S.jaccard(F.col("a_n"), F.col("b_n")), S.jaccard(F.col("a_a"), F.col("b_a"))
     scored = both.select("s1_id", "cand_id", name.alias("name_jac"), addr.alias("addr_jac"), rounded(0.6 * name + 0.4 * addr).alias("p"), rounded(0.5 * name + 0.5 * addr).alias("p2"))
     return scored.join(truth(spark, sf_dir).withColumn("label", F.lit(1)), ["s1_id", "cand_id"], "left").fillna(0, ["label"])
+
+
+#: What companies are made of; numbers pick from the lists. Slots: segment, number.
+NAMES = ["The {s} Pvt. Ltd.", "{s} & Sons Co.", "www.{s}-shop.co.in", "{s} Intl. Corp # 12", "{s}'s Bros LLC", "{s} 1234567 Mfg Inc.", "M0bi1e {s} Svcs and Co of the", "The Limited", "Ets {s} S.A.R.L.", "{s} {n} Grp Ctr"]
+STREETS = ["{n} North Main Street", "00{n} Oak Avenue, Apartment 7b", "Building {n}15south, fl13", "{n} Rue de la Paix", "Plot {n}, Sector 4, Opposite Park", " {n}  MG Road "]
+PLACES = ["Springfield, Ohio 44117", "Dover, DE", "Ada, Texas, NY, 75001 1234", "Chennai, 600 042, Tamil Nadu", "Pune, Maharashtra", "75002 Paris, Ile de France", "Lyon, 69001", "Lima", "Telangana", "Ohio, Texas"]
+COUNTRIES = ["USA", "india", " United States ", "France", "Peru", "IN"]
+
+
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_id, business_name, business_address and country of every customer; every seventeenth has no address."""
+    k = F.col("c_custkey")
+    pick = lambda values, n: F.get(F.lit(values), F.pmod(n, F.lit(len(values))).cast("int"))
+    fill = lambda c: F.replace(F.replace(c, F.lit("{s}"), F.initcap("c_mktsegment")), F.lit("{n}"), k.cast("string"))
+    address = F.concat(fill(pick(STREETS, k)), F.lit(", "), pick(PLACES, F.floor(k / 7)))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("S1-"), k.cast("string")).alias("entity_id"), fill(pick(NAMES, F.floor(k / 3))).alias("business_name"), F.when(k % 17 == 0, "  ").otherwise(address).alias("business_address"), pick(COUNTRIES, F.floor(k / 5)).alias("country"))
