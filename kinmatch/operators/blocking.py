@@ -104,10 +104,15 @@ def pool_in_blocks(s1: DataFrame, pool: DataFrame) -> DataFrame:
     return own.unionByName(free).unionByName(whole)
 
 
+def postings(side: DataFrame, *columns: str) -> DataFrame:
+    """A row for each token. An inner explode would have Catalyst put a filter on the tokens' number below, with all the work of making them."""
+    return side.select(*columns, F.explode_outer("tokens").alias("token")).where("token is not null")
+
+
 def token_statistics(pool: DataFrame, channel: Channel) -> DataFrame:
     """df, n and idf of every token kept, by block; n counts records without tokens too."""
     n = pool.groupBy(*BLOCK).agg(F.count("*").alias("n"))
-    df = pool.select(*BLOCK, F.explode("tokens").alias("token")).groupBy(*BLOCK, "token").agg(F.count("*").alias("df"))
+    df = postings(pool, *BLOCK).groupBy(*BLOCK, "token").agg(F.count("*").alias("df"))
     kept = df.join(n, BLOCK).where(F.col("df") <= F.greatest(F.lit(channel.most) * F.col("n"), F.lit(float(channel.floor))))
     return kept.withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
 
@@ -117,7 +122,7 @@ def _vectors(side: DataFrame, stats: DataFrame, channel: Channel) -> DataFrame:
     factor = F.lit(1.0)
     for letter, w in channel.weights.items():
         factor = F.when(F.substring("token", 1, 1) == letter, w).otherwise(factor)
-    rows = side.select(*BLOCK, "entity_id", F.explode("tokens").alias("token")).join(stats.select(*BLOCK, "token", "idf"), [*BLOCK, "token"])
+    rows = postings(side, *BLOCK, "entity_id").join(stats.select(*BLOCK, "token", "idf"), [*BLOCK, "token"])
     rows = rows.withColumn("w", F.col("idf") * factor).drop("idf")
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*BLOCK, "entity_id")))
     return rows.withColumn("w", F.col("w") / length)
