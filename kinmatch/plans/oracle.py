@@ -41,11 +41,11 @@ rec AS MATERIALIZED (SELECT rec_.* EXCLUDE (name_skel), coalesce(sj.name_skel, '
 RECORDS_WITH_SKELETONS = RECORDS.replace("\nrec AS (", "\nrec_ AS MATERIALIZED (").replace("\ns1 AS (", SKELETONS + "\ns1 AS (")
 
 TRUTH = f"""
-wd AS (SELECT entity_id, country, list_filter(string_split({_PLAIN.format("text")}, ' '), lambda x: x <> '') AS w FROM rec),
-sh AS (SELECT DISTINCT entity_id, country, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM wd),
-ns AS (SELECT entity_id, count(*) AS n FROM sh GROUP BY 1),
-lk AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, count(*) AS c FROM sh a JOIN sh b USING (country, s) WHERE starts_with(a.entity_id, 'S1-') AND NOT starts_with(b.entity_id, 'S1-') GROUP BY ALL),
-gt AS (SELECT min(s1_id) AS s1_id, cand_id FROM lk JOIN ns x ON x.entity_id = s1_id JOIN ns y ON y.entity_id = cand_id WHERE 5 * c >= 4 * (x.n + y.n - c) GROUP BY cand_id)"""
+truth_wd AS (SELECT entity_id, country, list_filter(string_split({_PLAIN.format("text")}, ' '), lambda x: x <> '') AS w FROM rec),
+truth_sh AS (SELECT DISTINCT entity_id, country, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM truth_wd),
+truth_ns AS (SELECT entity_id, count(*) AS n FROM truth_sh GROUP BY 1),
+truth_lk AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, count(*) AS c FROM truth_sh a JOIN truth_sh b USING (country, s) WHERE starts_with(a.entity_id, 'S1-') AND NOT starts_with(b.entity_id, 'S1-') GROUP BY ALL),
+gt AS (SELECT min(s1_id) AS s1_id, cand_id FROM truth_lk JOIN truth_ns x ON x.entity_id = s1_id JOIN truth_ns y ON y.entity_id = cand_id WHERE 5 * c >= 4 * (x.n + y.n - c) GROUP BY cand_id)"""
 
 
 def jac(a: str, b: str, empty: str = "0.0") -> str:
