@@ -68,6 +68,7 @@ def released(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
+            pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -34,6 +34,8 @@ from kinmatch.llm.rolling import slice_hashes, spans, word_places
 END_ID = 1
 #: Pieces whose ids a worker keeps, at most; then it begins anew.
 KEPT_PIECES = 2_000_000
+#: Pieces encoded at once, and bytes of text worked on at once, which takes about 30 times as much memory.
+AT_ONCE, CHUNK = 4096, 1 << 20
 
 
 def _bytes(values) -> np.ndarray:
@@ -97,7 +99,10 @@ class WordIds(ByValue):
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_str(self.model)
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for k in range(0, len(texts), AT_ONCE):  # an encoding holds far more than its ids
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
+        return out
 
     def _places(self, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray, raw: bytes) -> np.ndarray:
         """Where the ids of pieces, all different, are kept; unknown pieces are encoded first."""
@@ -153,7 +158,7 @@ def cut_pieces(docs: DataFrame, model: str, max_tokens: int = 4096, end_id: int
 
     @released
     def cut(batches):
-        for batch in chunks(batches, 4 << 20):
+        for batch in chunks(batches, CHUNK):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of.value(byte_lists(batch.column("text"))), strict=True):
                 ids, start = ids + end, 0
