@@ -240,16 +240,23 @@ def company(docs: DataFrame, heads: list[bytes], settings: Settings) -> np.ndarr
 
     @released
     def run(batches):
-        total, first = np.zeros(settings.buckets * near, np.int64), len(heads) + 1
+        total, first, held, size = np.zeros(settings.buckets * near, np.int64), len(heads) + 1, [], 0
         for batch in chunks(batches, CHUNK):
             w = Words.of(byte_lists(batch.column("text")))
             ids, sizes = w.with_ends(numbers.value(w), 0)
             doc = np.repeat(np.arange(len(sizes)), sizes)
+            rare, often = ids >= first, (ids > 0) & (ids < min(near, first))
             for step in (1, 2):
                 same = doc[step:] == doc[:-step]
-                for own, other in ((ids[step:], ids[:-step]), (ids[:-step], ids[step:])):
-                    at = np.flatnonzero(same & (own >= first) & (other > 0) & (other < min(near, first)))
-                    total += np.bincount((own[at] - first) * near + other[at], minlength=len(total))
+                for own, other in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
+                    at = np.flatnonzero(same & rare[own] & often[other])
+                    held.append((ids[own][at] - first) * near + ids[other][at])
+                    size += len(at)
+            if size >= len(total):  # a count costs as much as the table has cells
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
         yield rows(dict(enumerate(np.array_split(total, parts))))
 
     def add(batches):
