@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -84,6 +85,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, whereupon Spark deletes the shuffle files and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_text() -> Column:
     """doc_id as text; a null counts as the empty text."""
     return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import byte_lists, checkpoint, chunks, keyed, others, partitions, real_id, released
+from kinmatch.llm.common import byte_lists, checkpoint, chunks, keyed, others, partitions, real_id, released, tidy
 
 SEED = 42
 BITS = 64
@@ -204,6 +204,8 @@ def star_components(links: DataFrame, most: int = 60) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        del both, least, large, small
+        tidy(edges.sparkSession)
         if now == told:
             break
         told = now
