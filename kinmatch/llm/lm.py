@@ -348,25 +348,34 @@ class Model(ByValue):
         parts = np.split(flat.astype("f4"), np.cumsum([math.prod(s) for s in shapes])[:-1])
         return cls(*[p.reshape(s) for p, s in zip(parts, shapes, strict=True)])
 
-    def predictions(self, contexts: np.ndarray) -> np.ndarray:
-        out = self.r[contexts[:, 0]] * self.c[0]
-        for k in range(1, contexts.shape[1]):
-            out += self.r[contexts[:, k]] * self.c[k]
-        return out
-
-    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, batch: int = 512) -> np.ndarray:
+    def places(self) -> np.ndarray:
+        """What turns the vectors of a context, side by side, into its prediction: the places' scales on diagonals. Products of matrices are faster than rows scaled."""
+        k, d = self.c.shape
+        out = np.zeros((k, d, d), "f4")
+        out[:, np.arange(d), np.arange(d)] = self.c
+        return out.reshape(k * d, d)
+
+    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, batch: int = 256) -> np.ndarray:
         """Natural logs, normalised over all outputs."""
         out = np.empty(len(targets), "f4")
         across = np.ascontiguousarray(np.concatenate([self.q, self.b[:, None]], axis=1).T)
-        ones = np.ones(across.shape[1], "f4")
+        size, many = across.shape
+        ones, rows, places = np.ones(many, "f4"), np.arange(batch), self.places()
+        # the same memory for every batch
+        inputs, held, sums = np.ones((batch, size), "f4"), np.empty((batch, many), "f4"), np.empty(batch, "f4")
         bound, tallest = np.abs(self.q).max(0), float(self.b.max())
+        tall = float(np.abs(self.r).max(0) @ np.abs(self.c).sum(0) * bound.sum() + tallest) > 80
         for at in range(0, len(targets), batch):
-            p = self.predictions(contexts[at : at + batch])
-            scores = np.concatenate([p, np.ones((len(p), 1), "f4")], axis=1) @ across
-            own = scores[np.arange(len(p)), targets[at : at + batch]]
-            top = max(0.0, float(np.abs(p).max(0) @ bound + tallest) - 80)  # so that no exponential overflows
-            np.exp(scores - np.float32(top) if top else scores, out=scores)
-            out[at : at + batch] = own - top - np.log(scores @ ones)
+            near = contexts[at : at + batch]
+            n = len(near)
+            inputs[:n, :-1] = p = self.r.take(near, 0).reshape(n, -1) @ places
+            scores = np.matmul(inputs[:n], across, out=held[:n])
+            own = scores[rows[:n], targets[at : at + batch]]
+            top = max(0.0, float(np.abs(p).max(0) @ bound + tallest) - 80) if tall else 0.0  # so that no exponential overflows
+            if top:
+                scores -= np.float32(top)
+            np.exp(scores, out=scores)
+            out[at : at + n] = own - np.float32(top) - np.log(np.matmul(scores, ones, out=sums[:n]))
         return out
 
 
@@ -380,12 +389,6 @@ def contexts_of(ids: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _sums(which: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Rows added up by index."""
-    size = rows.shape[1]
-    return np.bincount((which[:, None] * size + np.arange(size)).ravel(), rows.ravel(), n * size).reshape(n, size).astype("f4")
-
-
 class Trainer:
     """Noise-contrastive steps with Adagrad."""
 
@@ -394,31 +397,44 @@ class Trainer:
         self.cumulative = np.cumsum(shares)
         self.log_noise = np.log(settings.noise * shares).astype("f4")
         self.squares = [np.full_like(x, 1e-3) for x in model.arrays()]
+        self.cells = np.arange(settings.outputs * settings.size).reshape(settings.outputs, settings.size)
         self.seen = 0
 
+    def _sums(self, which: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Rows added up by output."""
+        return np.bincount(self.cells.take(which, 0).ravel(), rows.ravel(), self.cells.size).reshape(self.cells.shape).astype("f4")
+
     def _add(self, k: int, grad: np.ndarray) -> None:
-        self.squares[k] += grad * grad
-        self.model.arrays()[k][...] -= self.settings.rate * grad / np.sqrt(self.squares[k])
+        change = grad * grad
+        self.squares[k] += change
+        np.divide(grad, np.sqrt(self.squares[k], out=change), out=change)
+        change *= np.float32(self.settings.rate)
+        array = self.model.arrays()[k]
+        array -= change
 
     def step(self, contexts: np.ndarray, targets: np.ndarray) -> None:
         m, n, s = self.model, len(targets), self.settings
         noise = np.searchsorted(self.cumulative, self.rng.random(s.noise) * self.cumulative[-1]).clip(0, s.outputs - 1)
-        vectors = [m.r[contexts[:, k]] for k in range(s.context)]
-        p = vectors[0] * m.c[0]
-        for k in range(1, s.context):
-            p += vectors[k] * m.c[k]
-        q = m.q[targets]
+        vectors, places = m.r.take(contexts, 0).reshape(n, -1), m.places()
+        p = vectors @ places
+        q, drawn = m.q.take(targets, 0), m.q.take(noise, 0)
         own = np.einsum("nd,nd->n", p, q) + m.b[targets] - self.log_noise[targets]
-        other = p @ m.q[noise].T + m.b[noise] - self.log_noise[noise]
-        g_own = (-1 / (1 + np.exp(np.clip(own, -30, 30)))).astype("f4")
-        g_other = (1 / (1 + np.exp(np.clip(-other, -30, 30)))).astype("f4")
-        gp = g_own[:, None] * q + g_other @ m.q[noise]
-        gq = _sums(np.concatenate([targets, noise]), np.concatenate([g_own[:, None] * p, g_other.T @ p]), s.outputs)
-        gb = np.bincount(np.concatenate([targets, noise]), np.concatenate([g_own, g_other.sum(0)]), s.outputs).astype("f4")
-        gr = _sums(contexts.T.ravel(), np.concatenate([gp * c for c in m.c]), s.outputs)
-        gc = np.array([(gp * v).sum(0) for v in vectors], "f4")
+        with np.errstate(over="ignore"):  # an infinite exponential gives 0, as it should
+            g_own = -1 / (1 + np.exp(own))
+            g_other = p @ -drawn.T
+            g_other += self.log_noise[noise] - m.b[noise]
+            np.exp(g_other, out=g_other)
+        g_other += np.float32(1)
+        np.divide(np.float32(1), g_other, out=g_other)
+        gp = g_other @ drawn
+        gp += g_own[:, None] * q
+        both = np.concatenate([targets, noise])
+        gq = self._sums(both, np.concatenate([g_own[:, None] * p, g_other.T @ p]))
+        gb = np.bincount(both, np.concatenate([g_own, g_other.sum(0)]), s.outputs).astype("f4")
+        gr = self._sums(contexts.ravel(), gp @ places.T)
+        gc = np.einsum("nkd,nd->kd", vectors.reshape(n, s.context, -1), gp)
         for k, g in enumerate((gr, gq, gc, gb)):
-            self._add(k, g / n)
+            self._add(k, g / np.float32(n))
         self.seen += n
 
 
@@ -450,7 +466,7 @@ def train(docs: DataFrame, vocab: Vocabulary, lexicon, settings: Settings) -> Mo
                 ids, sizes = w.with_ends(lexicon.value(w)[0], 0)
                 if trainer is None:
                     trainer = Trainer(Model.of(start.value, settings), shares, settings, settings.seed + shard)
-                contexts = np.asfortranarray(contexts_of(ids, sizes, settings.context))
+                contexts = contexts_of(ids, sizes, settings.context)
                 for at in range(0, len(ids), settings.batch):
                     trainer.step(contexts[at : at + settings.batch], ids[at : at + settings.batch])
             if trainer is not None:

@@ -5,6 +5,7 @@ import os
 import random
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -184,6 +185,43 @@ def test_classes_by_company():
     assert Counter(lm.class_table(np.zeros((40, 6)), np.zeros(40), s).tolist()) == {0: 20, 1: 20}
 
 
+def test_lm_batches_equal_plain_sums_and_reuse_their_memory():
+    s = lm.Settings()
+    rng = np.random.default_rng(1)
+    shares = rng.dirichlet(np.ones(s.outputs))
+    model = lm.Model.new(shares, s)
+    ids = rng.choice(s.outputs, 6000, p=shares)
+    contexts = lm.contexts_of(ids, np.array([1, 2500, 3, 3496]), s.context)
+    trainer = lm.Trainer(model, shares, s, 1)
+    r, q, c, b = (x.astype("f8") for x in model.arrays())
+    x, y = contexts[: s.batch], ids[: s.batch]
+    noise = np.searchsorted(np.cumsum(shares), np.random.default_rng(1).random(s.noise) * np.cumsum(shares)[-1])
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    p = (r[x] * c).sum(1)
+    own = -sigmoid(np.log(s.noise * shares[y]) - (p * q[y]).sum(1) - b[y])
+    other = sigmoid(p @ q[noise].T + b[noise] - np.log(s.noise * shares[noise]))
+    gp = own[:, None] * q[y] + other @ q[noise]
+    grads = [np.zeros_like(v) for v in (r, q, c, b)]
+    np.add.at(grads[0], x, gp[:, None] * c)
+    np.add.at(grads[1], y, own[:, None] * p)
+    np.add.at(grads[1], noise, other.T @ p)
+    grads[2] += (r[x] * gp[:, None]).sum(0)
+    np.add.at(grads[3], y, own)
+    np.add.at(grads[3], noise, other.sum(0))
+    trainer.step(x, y)
+    for old, new, g in zip((r, q, c, b), model.arrays(), grads, strict=True):
+        g = g / s.batch
+        assert np.allclose(new, old - s.rate * g / np.sqrt(1e-3 + g * g), atol=1e-5)
+    scores = (model.r.astype("f8")[contexts] * model.c).sum(1) @ model.q.T.astype("f8") + model.b
+    tracemalloc.start()
+    got = model.log_probabilities(contexts, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, scores[np.arange(len(ids)), ids] - np.log(np.exp(scores).sum(1)), atol=1e-4)
+    assert peak < 900_000, "batches of 512 in fresh memory took 1.2 MB"
+
+
+
 def test_nce_learns():
     s = lm.Settings(words=3, classes=1, size=4, context=1, noise=8, batch=64, rate=0.3)
     shares = np.array([0.05, 0.3, 0.3, 0.3, 0.05])
